@@ -208,3 +208,15 @@ def identified(docs: DataFrame, model: Model | None = None, carry: tuple[str, ..
 
     out = rows.mapInArrow(predict, f"{fields}, l string, s double, r boolean")
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("l").alias("__lang"), F.col("s").alias("__score"), F.col("r").alias("__rejected"))
+
+
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents with their own columns, without those whose language is rejected."""
+    model = model or trained(docs)
+
+    def keep(batches):
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            yield b.filter(pa.array([not model.score(t.as_py())[2] for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

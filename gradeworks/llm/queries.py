@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import langid, mixing, sharding
+from gradeworks.llm import decontamination, langid, mixing, sharding, simhash, warc
 from gradeworks.sources.tables import table
 
 
@@ -25,5 +26,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op9_sharding": op9_sharding, "op10_language_id": op10_language_id}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.round_trip(table(spark, sf_dir, "pages"), with_data=False).where("is_last")
+    return chunks.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk_no") + 1).alias("n_chunks"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.grouped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.matched(docs, table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", (F.size("__items") > 0).alias("contaminated"), F.size("__items").alias("n_items"), F.col("__items").alias("items"), F.array_min("__distances").alias("least_distance")
+    )
+
+
+QUERIES = {
+    "op3_warc": op3_warc,
+    "op4_mixing": op4_mixing,
+    "op6_simhash": op6_simhash,
+    "op8_decontamination": op8_decontamination,
+    "op9_sharding": op9_sharding,
+    "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
+}
 ORACLES: dict[str, str] = {}
