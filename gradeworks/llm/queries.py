@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import decontamination, langid, mixing, sharding, simhash, warc
+from gradeworks.llm import decontamination, langid, mixing, pii, quality, sharding, simhash, warc
 from gradeworks.sources.tables import table
 
 
@@ -31,11 +31,25 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk_no") + 1).alias("n_chunks"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.grouped(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.extracted(table(spark, sf_dir, "documents"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    base, spans = F.coalesce("base", none), F.coalesce("spans", none)
+    kinds = F.transform(base, lambda s: s["kind"])
+    n = [F.size(F.array_remove(F.transform(kinds, lambda x: x == F.lit(k)), F.lit(False))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]  # noqa: B023
+    return out.select("doc_id", *n, F.sha2(pii.written_out(base), 256).alias("base_sha256"), pii.written_out(spans).alias("spans"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.matched(docs, table(spark, sf_dir, "benchmark"))
@@ -47,7 +61,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
