@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import decontamination, langid, mixing, pii, quality, sharding, simhash, warc
+from gradeworks.llm import decontamination, langid, lines, mixing, pii, quality, sharding, simhash, warc
 from gradeworks.sources.tables import table
 
 
@@ -26,6 +26,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.decided(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", (F.col("n_lines") - F.col("n_dropped")).alias("n_kept"), "dropped")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = warc.round_trip(table(spark, sf_dir, "pages"), with_data=False).where("is_last")
     return chunks.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk_no") + 1).alias("n_chunks"))
@@ -59,6 +63,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
