@@ -4,7 +4,8 @@ A document is contaminated by a benchmark item if some stretch of it is within
 the item's error budget in edit distance. Each item is split into one piece
 more than its budget, so at least one piece stands unchanged in any such
 stretch. An Aho-Corasick automaton finds all pieces in a text at once, and
-Myers' bit-parallel distance verifies the stretch around a hit.
+Myers' bit-parallel distance verifies the stretch around a hit, first for the
+short run of pieces that holds it and then for runs twice as long, up to the item.
 
 Texts and items are compared in lower case with single spaces. The benchmark
 is a stated query set: it is taken in blocks of bounded size, each matched
@@ -75,58 +76,73 @@ def distance_within(masks: dict[str, int], m: int, text: str, budget: int) -> in
     return best
 
 
+class Node:
+    """A run of an item's pieces: n pieces may hold n - 1 edits, so in any match one half of a matching run matches too."""
+
+    __slots__ = ("masks", "size", "start", "up", "width")
+
+    def __init__(self, item: str, cuts: list[tuple[int, str]], up: Node | None):
+        self.up, self.start, self.width = up, cuts[0][0], len(cuts)
+        self.size = sum(len(p) for _, p in cuts)
+        self.masks = peq(item[self.start : self.start + self.size])
+
+    def near(self, text: str, origin: int) -> int | None:
+        """Its distance to a stretch of the text in which the item starts near ``origin``."""
+        e, at = self.width - 1, origin + self.start
+        return distance_within(self.masks, self.size, text[max(0, at - e) : max(0, at + self.size + e)], e)
+
+
+def leaves(item: str, cuts: list[tuple[int, str]], up: Node | None = None):
+    """(piece, offset, parent) of all pieces under a balanced tree of runs."""
+    if len(cuts) == 1:
+        yield cuts[0][1], cuts[0][0], up
+        return
+    node, half = Node(item, cuts, up), len(cuts) // 2
+    yield from leaves(item, cuts[:half], node)
+    yield from leaves(item, cuts[half:], node)
+
+
 class Matcher:
     """Finds which items of one benchmark block stand in a text."""
 
     def __init__(self, items: list[tuple[int | None, str]], budget: float):
-        self.items = []
-        at: dict[str, list[tuple[int, int]]] = {}
+        self.ids: list[int | None] = []
+        at: dict[str, list[tuple[int, int, Node | None]]] = {}
         for item_id, text in items:
             if text:
-                k = math.floor(len(text) * budget)
-                for offset, piece in pieces(text, k):
-                    at.setdefault(piece, []).append((len(self.items), offset))
-                self.items.append((item_id, text, k, peq(text)))
+                for piece, offset, parent in leaves(text, pieces(text, math.floor(len(text) * budget))):
+                    at.setdefault(piece, []).append((len(self.ids), offset, parent))
+                self.ids.append(item_id)
         self.automaton = ahocorasick.Automaton()
         for piece, where in at.items():
             self.automaton.add_word(piece, (len(piece), where))
         if at:
             self.automaton.make_automaton()
-        self.any = bool(at)
 
     def found(self, text: str | None) -> list[tuple[int | None, int]]:
-        """(item id, distance) of every item within its budget."""
-        if not self.any or not (t := normal(text)):
+        """(item id, distance) of every item within its budget.
+
+        A hit is verified upwards from its piece, through runs twice as long
+        each time; a chance hit ends at a short run. Hits of an item that start
+        it at a place where it was already found are not verified again.
+        """
+        if not self.ids or not (t := normal(text)):
             return []
-        diagonals: dict[int, set[int]] = {}
+        best: dict[int, int] = {}
+        known: set[tuple[int, int]] = set()
         for end, (n, where) in self.automaton.iter(t):
-            for i, offset in where:
-                diagonals.setdefault(i, set()).add(end + 1 - n - offset)
-        out = []
-        for i, starts in sorted(diagonals.items()):
-            item_id, item, k, masks = self.items[i]
-            if item in t:
-                out.append((item_id, 0))
-                continue
-            best = None
-            for a, b in merged(sorted(starts), len(item), k):
-                d = distance_within(masks, len(item), t[max(0, a) : b], k)
-                best = d if best is None or d is not None and d < best else best
-            if best is not None:
-                out.append((item_id, best))
-        return out
-
-
-def merged(starts: list[int], m: int, k: int) -> list[tuple[int, int]]:
-    """Stretches of text to verify: an item that starts near a diagonal, with its budget on either side."""
-    out: list[tuple[int, int]] = []
-    for s in starts:
-        a, b = s - k, s + m + k
-        if out and a <= out[-1][1] - m:  # the union holds every stretch that either would
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+            for i, offset, node in where:
+                origin = end + 1 - n - offset
+                if best.get(i) == 0 or (i, origin) in known:
+                    continue
+                d: int | None = 0
+                while node and d is not None:
+                    d = node.near(t, origin)
+                    node = node.up
+                if d is not None:
+                    known.add((i, origin))
+                    best[i] = min(d, best.get(i, d))
+        return [(self.ids[i], d) for i, d in sorted(best.items())]
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
