@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import decontamination, langid, lines, mixing, pii, quality, sharding, simhash, warc
+from gradeworks.llm import decontamination, langid, lines, mixing, pii, quality, sharding, simhash, substrings, warc
 from gradeworks.sources.tables import table
 
 
@@ -30,6 +30,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.decided(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", (F.col("n_lines") - F.col("n_dropped")).alias("n_kept"), "dropped")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_out(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = warc.round_trip(table(spark, sf_dir, "pages"), with_data=False).where("is_last")
     return chunks.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk_no") + 1).alias("n_chunks"))
@@ -64,6 +68,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
