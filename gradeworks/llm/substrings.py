@@ -16,9 +16,10 @@ windows is missed, and about one position in 185 is an anchor.
    bytes. A bucket sorts suffixes, and the reversed bytes before them, by multikey
    quicksort and takes the common prefix lengths of neighbours. Two windows are
    equal if they fall into one class of both orders at their offset.
-4. Tokens that reach over a bucket's edge are compared across boundaries: their
-   windows are hashed, counted with map-side combining and joined back, so that
-   a token of any frequency needs no task of its own.
+4. A token's contexts go to one bucket, unless there are more than a bucket may
+   hold. Those tokens are split by the bytes that follow, and are compared across
+   the buckets' boundaries: their windows are hashed, counted with map-side
+   combining and joined back, so a token of any frequency needs no task of its own.
 
 Defined results: null is the empty text; texts under ``LENGTH`` bytes keep all;
 equal rows repeat each other, so both lose what they share; ids may be null or
@@ -42,8 +43,8 @@ LENGTH, TOKEN = 400, 32
 BLOCK = 1 << 20
 #: Suffixes that a bucket is meant to hold.
 BUCKET_ROWS = 12_000
-#: Up to so many rows, a list of documents is broadcast; a longer one is joined by a shuffle.
-BROADCAST_DOCS = 500_000
+#: Contexts of one token that may share a bucket (about 1.2 KB of memory each); a token with more is split over buckets.
+TOKEN_ROWS = 50_000
 PLACE_BITS = 21
 
 
@@ -199,27 +200,26 @@ def stretches(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]
 
 
 def near(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    """Join documents with a table by ``__id`` and ``__th``; broadcast only where it was counted to be short."""
-    side = F.broadcast(table) if table.count() <= BROADCAST_DOCS else table
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), how)
+    """Join documents with a table by ``__id`` and ``__th``; how is Spark's choice, as the table grows with the documents."""
+    return docs.join(table, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), how)
 
 
-def covered(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def covered(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, bucket_rows: int = BUCKET_ROWS, token_rows: int = TOKEN_ROWS) -> DataFrame:
     """``doc_id, th, s, e``: stretches of bytes that repeated strings cover; they may touch and overlap."""
     kind = dict(docs.dtypes)["doc_id"]
     anchors = written(anchors_of(docs, length, token), "anchors")
     groups = anchors.groupBy("token", "context").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "at", "lead", "more")])
     kinds = written(groups, "contexts")
-    shared = kinds.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("k > 1 and single > 0").select("token")
+    shared = kinds.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("k > 1 and single > 0").select("token", (F.col("k") > token_rows).alias("split"))
     whole = anchors.join(kinds.where("n > 1").select("token", "context"), ["token", "context"]).select("doc_id", "th", F.col("at").alias("s"), (F.col("at") + F.col("more") + length).alias("e"))
 
     # contexts of tokens that stand in several, with their bytes
-    asked = kinds.join(shared, "token").groupBy("doc_id", "th").agg(F.collect_list(F.struct("token", "context", "n", "at", "lead", "more")).alias("asked"))
+    asked = kinds.join(shared, "token").groupBy("doc_id", "th").agg(F.collect_list(F.struct("token", "context", "n", "at", "lead", "more", "split")).alias("asked"))
     asked = written(asked.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "asked"), "asked")
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     # rows that repeat an id and text give the same contexts, which then simply meet themselves: one row of them asks
     held = near(texts, asked, "inner").select("doc_id", "th", "text", "asked")
-    shape = f"doc_id {kind}, token long, context long, n long, th long, at long, lead int, more int, suffix binary, before binary"
+    shape = f"doc_id {kind}, token long, context long, n long, th long, at long, lead int, more int, split boolean, suffix binary, before binary"
 
     def fetch(batches):
         for b in batches:
@@ -229,7 +229,7 @@ def covered(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, bucket_ro
                 for x in asked_of:
                     first = int(offsets[d]) + x["at"]
                     anchor = first + x["lead"]
-                    rows.append((doc_id, x["token"], x["context"], x["n"], th, x["at"], x["lead"], x["more"], data[anchor : first + x["more"] + length].tobytes(), data[first:anchor][::-1].tobytes()))
+                    rows.append((doc_id, x["token"], x["context"], x["n"], th, x["at"], x["lead"], x["more"], x["split"], data[anchor : first + x["more"] + length].tobytes(), data[first:anchor][::-1].tobytes()))
                     if len(rows) >= 8192:
                         yield batch_of(rows, b.schema.field("doc_id").type)
                         rows = []
@@ -251,11 +251,12 @@ def covered(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, bucket_ro
         hits = repeated_windows(right, left, lead, more, length, token)
         yield from found_batches(t, [lead[i] - np.flatnonzero(hits[i])[::-1] for i in range(len(lead))], edges(right, t.column("token").to_pylist()), length)
 
-    ranged = contexts.repartitionByRange(n, F.substring("suffix", 1, 64), F.substring("before", 1, 32), "context")
+    further = [F.when(F.col("split"), x) for x in (F.substring("suffix", 1, 64), F.substring("before", 1, 32), F.col("context"))]
+    ranged = contexts.repartitionByRange(n, F.substring("suffix", 1, token), *further)
     sorted_out = written(ranged.mapInArrow(sort, found_shape), "sorted")
     over = sorted_out.where("edge is not null").groupBy("edge").count().where("count > 1").select(F.col("edge").alias("token"))
 
-    # tokens over a bucket's edge: their windows meet by hash
+    # tokens on both sides of a bucket's edge: their windows meet by hash
     def windows(batches):
         for b in batches:
             got: list[tuple[int, int, int]] = []
@@ -284,8 +285,8 @@ def has_repeats(texts: DataFrame, asked: DataFrame) -> bool:
 
 
 def batch_of(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    names = ["doc_id", "token", "context", "n", "th", "at", "lead", "more", "suffix", "before"]
-    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "token", "context", "n", "th", "at", "lead", "more", "split", "suffix", "before"]
+    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
