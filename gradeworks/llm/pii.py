@@ -9,7 +9,8 @@ to be of that kind, an unseen instance is believed as far as its best accepted
 pattern. Patterns that end with high confidence and enough distinct support
 mark the unseen identifiers beside them.
 
-Texts without a digit hold no entity of any kind and are passed by. Matches of
+Texts without a digit or an at sign hold no entity of any kind and are passed
+by. Matches of
 a kind are placed by splitting the text at them: a match starts after all the
 pieces and matches before it. That running sum is a window over one document's
 matches. The regular expressions start only where a run of their first
@@ -137,9 +138,9 @@ def extracted(docs: DataFrame, **how) -> DataFrame:
     where a text has none. Starts and ends count code points, ends are exclusive.
     """
     spark = docs.sparkSession
-    marked = docs.select("doc_id", F.when(F.col("text").rlike("[0-9]"), F.col("text")).alias("text"))
+    marked = docs.select("doc_id", F.when(F.col("text").rlike("[0-9@]"), F.col("text")).alias("text"))
     # row numbers are given once and written, so that every later plan sees the same
-    held = written(marked.withColumn("uid", F.monotonically_increasing_id()), "texts-with-digits")
+    held = written(marked.withColumn("uid", F.monotonically_increasing_id()), "texts-that-may-match")
     found = written(matches(held.where("text is not null")), "matches")
     rows = written(apart(found), "apart")
     dropped(found)
