@@ -30,6 +30,9 @@ RANK_GROUP = 1000
 BROADCAST_ROWS = 200_000
 
 
+COLUMNS = ("__size", "__source_size", "__target", "__copies")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -60,26 +63,32 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int, dp_words: int = DP_W
         return take
     if budget >= total:
         return count.astype(np.int64)
-    share = count * (budget / total)
-    take = np.floor(share).astype(np.int64)
-    left = budget - int((take * length).sum())
-    order = np.lexsort((length, -(share - take)))
-    for i in order:
-        if left <= dp_words:
-            break
-        more = int(min(count[i] - take[i], left // length[i]))
-        more = min(more, 1) if more else 0
-        take[i] += more
-        left -= more * int(length[i])
-    for i in np.argsort(-length, kind="stable"):
-        if left <= dp_words:
-            break
-        more = int(min(count[i] - take[i], left // length[i]))
-        take[i] += more
-        left -= more * int(length[i])
+    share = np.floor(count * (budget / total)).astype(np.int64)
+    order = np.lexsort((length, share - count * (budget / total)))
+    back = 0
+    while True:  # where what is left cannot be met, some of the share is given back and fitted as well
+        take, missing = fit_rest(length, count, np.maximum(share - back, 0), order, budget, dp_words)
+        gap = budget - int((take * length).sum())
+        if back == 0 or gap < best_gap:
+            best, best_gap = take, gap
+        if not best_gap or not share.any() or back > share.max() or missing > dp_words:
+            return best
+        back = 2 * back + 1
+
+
+def fit_rest(length: np.ndarray, count: np.ndarray, take: np.ndarray, order: np.ndarray, budget: int, dp_words: int) -> tuple[np.ndarray, int]:
+    """(documents of each length, words that the share left) where the rest is filled greedily down to what the dynamic program takes."""
+    take = take.copy()
+    left = missing = budget - int((take * length).sum())
+    for turn, most in ((order, 1), (np.argsort(-length, kind="stable"), None)):
+        for i in turn:
+            if left <= dp_words:
+                break
+            more = int(min(count[i] - take[i], left // length[i]))
+            more = min(more, most) if most else more
+            take[i] += more
+            left -= more * int(length[i])
     cap = int(left)
-    if cap <= 0:
-        return take
     reach, last, pieces = np.zeros(cap + 1, dtype=bool), np.full(cap + 1, -1, dtype=np.int64), []
     reach[0] = True
     for i in order:
@@ -101,20 +110,22 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int, dp_words: int = DP_W
         i, part = pieces[last[at]]
         take[i] += part
         at -= part * int(length[i])
-    return take
+    return take, missing
 
 
-def mixed(docs: DataFrame, carry: list[str] | None = None, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, carry: list[str] | None = None, seed: int = SEED, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Each document with its words, its source's words and target, and how often the mix takes it.
 
-    Columns are those of ``carry`` (``doc_id`` if none are given) and
-    ``__size, __source_size, __target, __copies``. Only one row a source comes
+    Columns are those of ``carry`` (``doc_id`` if none are given) and the four
+    of ``columns``, which must not be among them. Only one row a source comes
     to the driver; length counts are combined before they are shuffled and
     fitted in one group a source, which has a row for each distinct length.
     """
     spark = docs.sparkSession
     carry = carry or ["doc_id"]
-    rows = docs.select(*carry, F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), F.xxhash64(F.lit(seed), "doc_id").alias("__h"))
+    # the carried columns go under names of their own, as any name may stand among them
+    names = [f"__c{i}" for i in range(len(carry))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), F.xxhash64(F.lit(seed), "doc_id").alias("__h"), F.col("doc_id").alias("__id"))
     if "text" not in carry:  # then each text is read once
         rows = written(rows, "mix-rows")
     lengths = written(rows.groupBy("__source", "__size").agg(F.count("*").alias("n")), "lengths")
@@ -150,13 +161,15 @@ def mixed(docs: DataFrame, carry: list[str] | None = None, seed: int = SEED) ->
         joined = joined.join(groups, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__z") == F.col("__z2")) & (F.col("__b") == F.col("__g")))
     else:
         joined = joined.withColumn("__before", F.lit(0).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("__s", "__z", "__b").orderBy("__h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("__s", "__z", "__b").orderBy("__h", "__id"))
     ranked = joined.withColumn("__k", rank + F.col("__before"))
     copies = (F.col("passes") + F.when(F.col("__k") <= F.col("extra"), 1).otherwise(0)).cast("int")
-    return ranked.select(*carry, "__size", "__source_size", "__target", F.when(F.col("__size") > 0, copies).otherwise(0).alias("__copies"))
+    own = [F.col(n).alias(c) for c, n in zip(carry, names, strict=True)]
+    return ranked.select(*own, F.col("__size").alias(columns[0]), F.col("__source_size").alias(columns[1]), F.col("__target").alias(columns[2]), F.when(F.col("__size") > 0, copies).otherwise(0).alias(columns[3]))
 
 
 def remixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents with their own columns, each as often as the mix takes it."""
-    out = mixed(docs, docs.columns, seed).where("__copies > 0")
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    free = tuple("_" * (1 + max(map(len, docs.columns))) + c for c in COLUMNS)
+    out = mixed(docs, docs.columns, seed, free).where(F.col(free[3]) > 0)
+    return out.withColumn(free[0], F.explode(F.sequence(F.lit(1), F.col(free[3])))).select(*docs.columns)
