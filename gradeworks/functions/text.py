@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Filler words.
 FILLERS = ("uh", "um", "er", "ah", "erm", "hmm", "mm", "uhm")
@@ -95,7 +96,7 @@ def word_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def word_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     """Word-level edit distance of two array columns, in Arrow batches (built-in ``levenshtein`` compares characters)."""
     return pd.Series([word_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)])

@@ -20,3 +20,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def _fill() -> None:
+    from gradeworks.plans import modelling, ordered, relational, textual, vectorial  # noqa: F401  (they register themselves)
+
+
+_fill()
