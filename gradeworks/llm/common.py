@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeworks.sources.scratch import new_path
+
 #: Fixed value: a word is a run of code points outside space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests in local mode) a temporary folder takes its place.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if there:
-        return there.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradeworks-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gradeworks-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder, which lost executors do not take along."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -50,6 +32,12 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files that no plan needs any more: it acts when the driver collects garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
