@@ -1,20 +1,19 @@
 """Fuzzy line dedup (operator 1), in DataFrame functions only.
 
 Lines are normalised (lower case, single spaces) and equal ones become one node.
-Nodes get a 64-bit SimHash of their distinct words. Fingerprints are cut into five
-blocks: two that differ in at most three bits agree in at least two blocks, so
-a node stands in the buckets of all ten pairs of blocks and meets every node
-that near in one of them. Pairs are verified by edit similarity, links form
-groups, and of each group's occurrences the first (least document id, then
-place) is kept.
-
-Bits are counted in packed sums: a hash gives eight longs of eight one-byte
-counters for up to 127 words (so that no sum overflows), which are widened when they are added up.
-
-A bucket does not compare all pairs. Its least node (the hub) is compared with
-every other; groups follow from the verified links. Then only nodes outside the
-hub's group are compared with those of other groups in the bucket. Pairs within
-a group cannot change the groups, so the result is that of all pairs.
+Nodes get a 64-bit SimHash of their distinct words. Fingerprints are cut into m
+blocks: two that differ in at most three bits agree in at least m - 3 of them,
+so a node stands in the bucket of each choice of m - 3 blocks and meets every
+node that near in one of them. m grows slowly with the number of nodes, so that
+strangers seldom meet; it changes the work, not the pairs. Pairs are verified by
+edit similarity, links form groups, and of each group's occurrences the first
+(least document id, then place) is kept.
+
+A bucket does not compare all pairs. Two nodes alone are a pair. In a larger
+bucket the least node (the hub) is compared with every other, and groups follow
+from the verified links. Then only nodes outside the hub's group are compared
+with those of other groups in the bucket. Pairs within a group cannot change the
+groups, so the result is that of all pairs.
 
 Defined results: null and blank texts have no lines; lines without a word are
 kept and not counted; a null id comes before all others; rows that repeat an id
@@ -24,42 +23,64 @@ no rows; further columns are left alone.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import GAP, components, dropped, hamming, written
+from gradeworks.llm.common import components, dropped, hamming, released, written
 
-BITS, BLOCKS = 3, 5
+BITS = 3
 SIMILARITY = 0.8
-LANE = 0x0101010101010101
+#: Four counters of 16 bits in a long; no sum of so many hashes overflows one.
+LANES, COUNTED = 0x0001000100010001, 16_383
+#: White space that is not a single space.
+WIDE_GAP = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 #: Candidate nodes up to this number are broadcast to fetch their lines; beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 400_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``uid, doc_id, th, pos, key, norm`` of every line; key is null for lines without a word."""
-    text = F.coalesce("text", F.lit(""))
+    """``uid, doc_id, th, pos, key, norm, size`` of every line; key is null for lines without a word."""
+    text = F.lower(F.coalesce("text", F.lit("")))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), text.alias("text"))
     each = rows.select("uid", "doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), GAP, " "))
-    return each.select("uid", "doc_id", "th", "pos", norm.alias("norm")).select("uid", "doc_id", "th", "pos", F.when(F.col("norm") != "", F.xxhash64("norm")).alias("key"), "norm")
-
-
-def simhashed(nodes: DataFrame) -> DataFrame:
-    """``key, fp`` of nodes ``key, norm`` that are partitioned by key."""
-    each = nodes.select("key", F.posexplode(F.array_distinct(F.split("norm", " "))).alias("i", "w")).select("key", F.expr("i div 127").alias("part"), F.xxhash64("w").alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANE))).alias(f"s{b}") for b in range(8)]
-    packed = each.groupBy("key", "part").agg(*lanes, F.count("*").alias("n"))
-    count = lambda b: F.shiftrightunsigned(f"s{b % 8}", b // 8 * 8).bitwiseAND(F.lit(255))
-    wide = packed.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(count(b)).alias(f"c{b}") for b in range(64)])
-    one = [F.when(F.col(f"c{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)) for b in range(64)]
-    return wide.select("key", reduce(lambda x, y: x.bitwiseOR(y), one).alias("fp"))
-
-
-def bucket_keys(fp: Column, bits: int = BITS, blocks: int = BLOCKS) -> list[Column]:
+    norm = F.trim(F.regexp_replace("line", WIDE_GAP, " "))
+    each = each.select("uid", "doc_id", "th", "pos", norm.alias("norm"))
+    return each.select("uid", "doc_id", "th", "pos", F.when(F.col("norm") != "", F.xxhash64("norm")).alias("key"), "norm", F.length("norm").alias("size"))
+
+
+def simhashed(lines: DataFrame) -> DataFrame:
+    """``key, fp`` of the distinct lines.
+
+    A hash is counted bit by bit in sixteen longs of four 16-bit counters, for
+    each line by itself and before anything is shuffled. Lines that could have
+    more distinct words than such a counter holds are counted in 64 sums.
+    """
+    rows = lines.where("key is not null").select("key", "size", F.monotonically_increasing_id().alias("line"), "norm")
+    hashed = lambda df: df.select("key", "line", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("key", "line", F.xxhash64("w").alias("h"))
+    packed = hashed(rows.where(F.col("size") < 2 * COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)], F.count("*").alias("n"))
+    wide = hashed(rows.where(F.col("size") >= 2 * COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"c{b}") for b in range(64)], F.count("*").alias("n"))
+    # a counter above half of n reaches bit 14 once what half of n lacks to that is added, for four counters at once
+    lack = (COUNTED - F.floor(F.col("n") / 2)) * LANES
+    ones = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{b}") + F.col("lack"), 14).bitwiseAND(F.lit(LANES)), b) for b in range(16)]
+    either = lambda xs: reduce(lambda x, y: x.bitwiseOR(y), xs)
+    short = packed.withColumn("lack", lack).select("key", either(ones).alias("fp"))
+    bits = [F.when(F.col(f"c{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)) for b in range(64)]
+    return short.union(wide.select("key", either(bits).alias("fp"))).groupBy("key").agg(F.first("fp").alias("fp"))
+
+
+def n_blocks(nodes: int, bits: int = BITS) -> int:
+    """Blocks to cut into: the more nodes, the more bits a bucket fixes, so that strangers seldom share one."""
+    m = bits + 2
+    while 64 * (m - bits) / m < math.log2(max(nodes, 1)) + 4 and m < 4 * bits:
+        m += 1
+    return m
+
+
+def bucket_keys(fp: Column, bits: int, blocks: int) -> list[Column]:
     """One long for each choice of ``blocks - bits`` blocks, holding their bits and which choice it is."""
     cut = [64 * i // blocks for i in range(blocks + 1)]
     out = []
@@ -70,49 +91,83 @@ def bucket_keys(fp: Column, bits: int = BITS, blocks: int = BLOCKS) -> list[Colu
     return out
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A table to broadcast where it was counted to be short, else as it is."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs ``u, v`` of nodes whose normalised lines are similar."""
+    """Those pairs ``u, v`` of nodes whose normalised lines are similar.
+
+    Words that both lines start or end with go first, which leaves the distance
+    as it is. What the words in between would cost to replace one by one, or as
+    a whole, bounds the distance from above and settles most pairs; the others
+    get their distance, within narrow bands before the widest that is allowed.
+    """
     pairs = written(pairs.distinct(), "line-pairs")
     keys = written(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "line-pair-keys")
-    few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = written(lines.select("key", "norm").join(few, "key", "left_semi").groupBy("key").agg(F.first("norm").alias("norm")), "line-texts")
-    a, b = texts.select(F.col("key").alias("u"), F.col("norm").alias("x")), texts.select(F.col("key").alias("v"), F.col("norm").alias("y"))
+    texts = written(lines.select("key", "norm").join(few(keys), "key", "left_semi").groupBy("key").agg(F.first("norm").alias("norm")), "line-texts")
+    side = lambda c, text, words: texts.select(F.col("key").alias(c), F.length("norm").alias(text), F.split("norm", " ").alias(words))
+    both = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v")
+    allowed = F.floor(F.greatest("n", "m") * (1 - similarity) + 1e-9).cast("int")
+    both = both.withColumn("allowed", allowed).where(F.abs(F.col("n") - F.col("m")) <= F.col("allowed"))
+
+    def alike(a: Column, b: Column) -> Column:
+        """How many words two lists start with alike."""
+        least = F.least(F.size(a), F.size(b))
+        first = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        return F.when(first > 0, F.least(first.cast("int") - 1, least)).otherwise(least)
+
+    both = both.withColumns({"p": alike(F.col("a"), F.col("b")), "q": alike(F.reverse("a"), F.reverse("b"))})
+    both = both.withColumn("q", F.least("q", F.least(F.size("a"), F.size("b")) - F.col("p")))
+    core = lambda c: F.slice(F.col(c), F.col("p") + 1, F.size(c) - F.col("p") - F.col("q"))
+    both = both.select("u", "v", "allowed", core("a").alias("a"), core("b").alias("b"))
+    both = written(both.select("u", "v", "allowed", "a", "b", F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y")), "line-cores")
     n, m = F.length("x"), F.length("y")
-    allowed = F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9).cast("int")
-    near = F.when(F.abs(n - m) > allowed, False).otherwise(F.levenshtein("x", "y") <= allowed)
-    out = written(pairs.join(a, "u").join(b, "v").where(near).select("u", "v"), "line-links")
-    for t in (pairs, keys, texts):
+    whole = F.greatest(n, m) + F.when((n == 0) | (m == 0), 1).otherwise(0)  # a run that only one line has brings its space along
+    words = F.zip_with("a", "b", lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y))))
+    one_by_one = F.when(F.size("a") == F.size("b"), F.aggregate(words, F.lit(0), lambda s, w: s + w))
+    within = lambda t: F.call_function("levenshtein", F.col("x"), F.col("y"), t) >= 0
+    near = F.when(whole <= F.col("allowed"), True).when((n == 0) | (m == 0), False).when(F.coalesce(one_by_one <= F.col("allowed"), F.lit(False)), True)
+    for band in (4, 32, 256):
+        near = near.when(within(F.least(F.col("allowed"), F.lit(band))), True).when(F.col("allowed") <= band, False)
+    out = written(both.where(near.otherwise(within(F.col("allowed")))).select("u", "v"), "line-links")
+    for t in (pairs, keys, texts, both):
         dropped(t)
     return out
 
 
 def grouped(lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``id, component`` of the nodes that have a link."""
-    nodes = lines.where("key is not null").groupBy("key").agg(F.first("norm").alias("norm"))
-    rows = simhashed(nodes).select("key", "fp", F.explode(F.array(*bucket_keys(F.col("fp"), bits, bits + 2))).alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    rows = rows.withColumns({"n": F.count("*").over(bucket), "hub": F.min(F.struct("key", "fp")).over(bucket)}).where("n > 1")
-    shared = written(rows.select("bucket", "key", "fp", F.col("hub.key").alias("hub"), F.col("hub.fp").alias("hub_fp")), "line-buckets")
-    first = shared.where((F.col("key") != F.col("hub")) & (hamming(F.col("fp"), F.col("hub_fp")) <= bits)).select(F.col("hub").alias("u"), F.col("key").alias("v"))
-    links = verified(first, lines, similarity)
-    labels = written(components(links, "line-groups"), "line-labels")
+    fps = written(simhashed(lines), "line-fingerprints")
+    blocks = n_blocks(fps.count(), bits)
+    stood = fps.select("key", "fp", F.explode(F.array(*bucket_keys(F.col("fp"), bits, blocks))).alias("bucket"))
+    # of two in a bucket, the exclusive or of their fingerprints is what they differ in
+    buckets = stood.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.min("key").alias("hub"), F.max("key").alias("other"))
+    buckets = written(buckets.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= bits)), "line-buckets")
+    released(lines.sparkSession)
+    pairs = buckets.where("n = 2").select(F.col("hub").alias("u"), F.col("other").alias("v"))
+    larger = buckets.where("n > 2").select("bucket", "hub")
+    hubs = fps.select(F.col("key").alias("hub"), F.col("fp").alias("hub_fp"))
+    members = written(stood.join(few(larger), "bucket").join(hubs, "hub").select("bucket", "key", "fp", "hub", "hub_fp"), "line-members")
+    first = members.where((F.col("key") != F.col("hub")) & (hamming(F.col("fp"), F.col("hub_fp")) <= bits)).select(F.col("hub").alias("u"), F.col("key").alias("v"))
+    links = verified(pairs.union(first), lines, similarity)
+    found = components(links, "line-groups")
+    labels = written(found, "line-labels")
     of = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name))
-    told = shared.join(of("key", "g"), "key", "left").join(of("hub", "hub_g"), "hub", "left")
-    told = told.select("bucket", "key", "fp", F.coalesce("g", "key").alias("g"), F.coalesce("hub_g", "hub").alias("hub_g"), F.col("hub"))
-    told = written(told, "line-buckets-told")
-    dropped(shared)
+    told = members.join(of("key", "g"), "key", "left").join(of("hub", "hub_g"), "hub", "left")
+    told = written(told.select("bucket", "key", "fp", F.coalesce("g", "key").alias("g"), F.coalesce("hub_g", "hub").alias("hub_g"), "hub"), "line-members-told")
+    dropped(members)
     apart = told.where("g <> hub_g").select("bucket", F.col("key").alias("k2"), F.col("fp").alias("f2"), F.col("g").alias("g2"))
     # both of a pair may be apart from the hub's group: it is then met twice, and listed once
-    second = (
-        told.where("key <> hub").join(apart, "bucket").where((F.col("g") != F.col("g2")) & (hamming(F.col("fp"), F.col("f2")) <= bits)).select(F.least("key", "k2").alias("u"), F.greatest("key", "k2").alias("v"))
-    )
-    more = verified(second, lines, similarity)
-    return components(links.union(more), "line-groups")
+    second = told.where("key <> hub").join(apart, "bucket").where((F.col("g") != F.col("g2")) & (hamming(F.col("fp"), F.col("f2")) <= bits))
+    more = verified(second.select(F.least("key", "k2").alias("u"), F.greatest("key", "k2").alias("v")), lines, similarity)
+    return components(links.union(more), "line-groups") if more.limit(1).count() else labels
 
 
 def decided(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, th, n_lines, n_dropped, dropped`` (places of the lines to drop, sorted)."""
-    lines = written(lines_of(docs), "lines")
+    lines = written(lines_of(docs), "lines", "zstd")
     groups = written(grouped(lines, bits, similarity), "line-components")
     occurrences = lines.select("uid", "doc_id", "th", "pos", "key")
     some = occurrences.where("key is not null").join(groups, F.col("key") == F.col("id"), "left").select("uid", "doc_id", "th", "pos", F.coalesce("component", "key").alias("g"))
