@@ -79,4 +79,16 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+#: The digest's 160 bits come as 40 hexadecimal digits: five of them make four letters.
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::bigint) AS g FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to,
+  CASE WHEN page_id > first THEN 1 ELSE greatest(1, ceil(payload_bytes / 1048576.0)) END::bigint AS n_chunks
+FROM g
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL}
