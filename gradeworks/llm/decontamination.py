@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Edits allowed for each character of an item.
 BUDGET = 0.1
 #: Characters of benchmark text that one pass holds.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def normal(text: str | None) -> str:
@@ -79,16 +79,18 @@ def distance_within(masks: dict[str, int], m: int, text: str, budget: int) -> in
 class Node:
     """A run of an item's pieces: n pieces may hold n - 1 edits, so in any match one half of a matching run matches too."""
 
-    __slots__ = ("masks", "size", "start", "up", "width")
+    __slots__ = ("item", "masks", "size", "start", "up", "width")
 
     def __init__(self, item: str, cuts: list[tuple[int, str]], up: Node | None):
-        self.up, self.start, self.width = up, cuts[0][0], len(cuts)
+        self.item, self.up, self.start, self.width = item, up, cuts[0][0], len(cuts)
         self.size = sum(len(p) for _, p in cuts)
-        self.masks = peq(item[self.start : self.start + self.size])
+        self.masks: dict[str, int] | None = None  # made at the first hit: most runs never have one
 
     def near(self, text: str, origin: int) -> int | None:
         """Its distance to a stretch of the text in which the item starts near ``origin``."""
         e, at = self.width - 1, origin + self.start
+        if self.masks is None:
+            self.masks = peq(self.item[self.start : self.start + self.size])
         return distance_within(self.masks, self.size, text[max(0, at - e) : max(0, at + self.size + e)], e)
 
 
