@@ -125,7 +125,7 @@ def mixed(docs: DataFrame, carry: list[str] | None = None, seed: int = SEED, col
     carry = carry or ["doc_id"]
     # the carried columns go under names of their own, as any name may stand among them
     names = [f"__c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), F.xxhash64(F.lit(seed), "doc_id").alias("__h"), F.col("doc_id").alias("__id"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("__h"), F.col("doc_id").alias("__id"))
     if "text" not in carry:  # then each text is read once
         rows = written(rows, "mix-rows")
     lengths = written(rows.groupBy("__source", "__size").agg(F.count("*").alias("n")), "lengths")
