@@ -55,6 +55,11 @@ def s3(spark, sf_dir):
     return spark.createDataFrame([(ident, label)], "id_column string, label_column string")
 
 
+@query("s4_file_resolution", "SELECT 'nation.parquet' AS file")
+def s4(spark, sf_dir):
+    return spark.createDataFrame([(files.resolved(spark, sf_dir, "nation", ".parquet").rsplit("/", 1)[1],)], "file string")
+
+
 @query(
     "s5_metadata_union",
     """SELECT CASE WHEN o_orderkey % 5 <> 0 THEN 'train' ELSE 'test' END AS split, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS label,

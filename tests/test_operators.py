@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeworks.functions import metrics, scalars, text, vectors
-from gradeworks.operators import binning, blending, folds, heads, relations, resampling, sequences, stacking
+from gradeworks.operators import binning, blending, folds, heads, inference, relations, resampling, sequences, stacking
 from gradeworks.sources import files
 
 
@@ -222,3 +222,18 @@ def test_sources(spark, tmp_path):
     assert files.data_dir([str(tmp_path)]) == str(tmp_path / "deep")
     with pytest.raises(FileNotFoundError):
         files.resolved(spark, str(tmp_path), "missing")
+
+
+def test_models_run_on_executors_in_batches(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(10)], "id int, t string")
+
+    def load():
+        def model(values):
+            assert len(values) <= 4
+            return [[float(len(v)), 1.0] for v in values]
+
+        return model
+
+    got = {r.id: r.vec for r in inference.applied(df, "id", "t", load, batch=4).collect()}
+    assert got == {i: None if i == 3 else [float(i), 1.0] for i in range(10)}
+    assert inference.applied(df.where("false"), "id", "t", load).count() == 0
