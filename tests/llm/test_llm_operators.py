@@ -178,6 +178,14 @@ def test_lines_blocks_grow_with_nodes():
     assert lines.n_blocks(0) == lines.n_blocks(2_000_000) == 5 < lines.n_blocks(10**9) <= 12
 
 
+def test_lines_white_space(spark):
+    kinds = [" ", "\t", "\x0b", "\x0c", "\r"]
+    rng = random.Random(7)
+    data = [(i, "\n".join("".join(rng.choice(["a", "b", "cd", *kinds, *kinds]) for _ in range(12)) for _ in range(6)), "en", "s") for i in range(40)]
+    got = lines.decided(corpus(spark, data))
+    assert multiset((r.doc_id, r.n_lines, tuple(r.dropped)) for r in got.collect()) == multiset(brute_lines(data))
+
+
 def test_lines_cleaned_texts(spark, rows, empty):
     out = lines.deduplicated(corpus(spark, [(1, "A line\nother", "en", "s"), (2, "a  LINE\nthird", "en", "s"), (3, None, "en", "s")]))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "A line\nother", 2: "third", 3: None}
