@@ -157,7 +157,7 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """All columns of the documents, and ``__items`` (ids of the items found, sorted) and ``__distances``."""
+    """All columns of the documents, and ``__items`` (ids of the items found) and ``__distances``, names that the documents must not have."""
     out = docs.withColumns({"__items": F.array().cast("array<long>"), "__distances": F.array().cast("array<int>")})
     for items in benchmark_blocks(benchmark, block_chars):
         matcher: list[Matcher] = []
@@ -176,6 +176,17 @@ def matched(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with their own columns, without those that hold a benchmark item."""
-    return matched(docs, benchmark, budget).where(F.size("__items") == 0).select(*docs.columns)
+    out = docs
+    for items in benchmark_blocks(benchmark, block_chars):
+        matcher: list[Matcher] = []
+
+        def keep(batches, items=items, matcher=matcher):
+            matcher = matcher or [Matcher(items, budget)]
+            for b in batches:
+                at = b.schema.get_field_index("text")
+                yield b.filter(pa.array([not matcher[0].found(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(keep, out.schema)
+    return out

@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import written
+from gradeworks.llm.common import fresh, written
 from gradeworks.sources.scratch import new_path
 
 SLOTS = 8192
@@ -126,9 +126,10 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
 
 
 def with_shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """The records with all their columns and a shard; the texts are not shuffled."""
+    """The records with all their columns, ``virtual_slot`` and ``shard`` (which replace columns of those names); texts are not shuffled."""
+    slot, shard = fresh(docs, "own_slot", "own_shard")
     v = virtual_slot(F.col("doc_id"), F.col("text"), slots)
     sizes = slot_sizes(docs.select(record_size(F.col("text")).alias("size"), v.alias("v")))
-    plan = map_table(docs.sparkSession, first_map(sizes, shards, slots), sizes).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    kept = [F.col(c) for c in docs.columns if c not in ("shard", "virtual_slot")]
-    return docs.withColumn("__slot", v).join(F.broadcast(plan), "__slot").select(*kept, F.col("__slot").alias("virtual_slot"), F.col("__shard").alias("shard"))
+    plan = map_table(docs.sparkSession, first_map(sizes, shards, slots), sizes).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ("shard", "virtual_slot")]
+    return docs.withColumn(slot, v).join(F.broadcast(plan), slot).select(*kept, F.col(slot).alias("virtual_slot"), F.col(shard).alias("shard"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import components, written
+from gradeworks.llm.common import components, fresh, written
 
 SHINGLE = 4
 SEED = 42
@@ -194,14 +194,18 @@ def linked(fps: DataFrame, bits: int = BITS, shard_rows: int = SHARD_ROWS, least
 
 
 def grouped(docs: DataFrame, bits: int = BITS, **shape) -> DataFrame:
-    """``doc_id, th, fp, component_id`` for every document."""
+    """``doc_id, th, fp, component, component_id`` for every document.
+
+    ``component`` is the least fingerprint of the group, which names it even
+    where ids repeat or are missing.
+    """
     rows = written(fingerprinted(docs), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = components(linked(fps.select("fp"), bits, **shape), "simhash")
-    groups = written(fps.join(found, fps.fp == found.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("c")), "groups")
-    least = groups.groupBy("c").agg(F.min("first").alias("component_id"))
-    ids = written(groups.join(least, "c").select("fp", "component_id"), "component-ids")
-    return rows.join(ids, "fp").select("doc_id", "th", "fp", "component_id")
+    groups = written(fps.join(found, fps.fp == found.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "groups")
+    least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = written(groups.join(least, "component").select("fp", "component", "component_id"), "component-ids")
+    return rows.join(ids, "fp").select("doc_id", "th", "fp", "component", "component_id")
 
 
 def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -210,10 +214,9 @@ def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
     Of rows that share that id the one whose text hash is least stays, once.
     Components without any id keep the row with the least text hash.
     """
-    rows = grouped(docs, bits)
-    keep = written(
-        rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("th").alias("__th")).withColumnRenamed("component_id", "__id"), "kept-ids"
-    )
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th"))
-    return own.join(keep, match, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    ident, th, own = fresh(docs, "kept_id", "kept_th", "own_th")
+    first = grouped(docs, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("th").alias(th))
+    keep = written(first.select(F.col("component_id").alias(ident), th), "kept-ids")
+    told = docs.withColumn(own, F.xxhash64("text"))
+    match = F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(th))
+    return told.join(keep, match, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)

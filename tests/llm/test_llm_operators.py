@@ -403,11 +403,19 @@ def test_simhash_groups_against_brute_force(spark, rows, docs):
         least[g.root(i)] += [ident] if ident is not None else []
     want = multiset((r[0], fps[i], min(least[g.root(i)], default=None)) for i, r in enumerate(rows))
     assert multiset((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.grouped(docs).collect()) == want
-    kept = simhash.deduplicated(docs)
-    assert kept.columns == docs.columns
+    kept = simhash.deduplicated(docs.withColumns({c: F.lit("x") for c in ("kept_id", "kept_th", "own_th")}))
+    assert kept.columns == [*docs.columns, "kept_id", "kept_th", "own_th"]
     assert kept.count() == len({g.root(i) for i in range(len(rows))})
 
 
+def test_simhash_keeps_one_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    data = [(None, a, "en", "s"), (None, a, "en", "s"), (None, b, "en", "s"), (1, c, "en", "s"), (1, d, "en", "s"), (1, d, "en", "s"), (2, c, "en", "s")]
+    got = simhash.deduplicated(corpus(spark, data)).collect()
+    assert multiset((r.doc_id, r.text) for r in got) == multiset([(None, a), (None, b), (1, c), (1, d)])
+
+
 def test_vantage_point_join_finds_all_components():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 600, dtype=np.uint64) * np.uint64(2)
@@ -524,7 +532,7 @@ def test_decontamination(spark, docs, empty, block):
     data = [(1, "x y the quick brown fox jumped over the lazy dog near\nthe river bank z", "en", "s"), (2, "the quick brown fox", "en", "s"), (3, None, "en", "s"), (4, "see: an item without an id that is fairly long", "en", "s")]
     got = {r.doc_id: (r["__items"], r["__distances"]) for r in decontamination.matched(corpus(spark, data), bench, block_chars=block).collect()}
     assert got == {1: ([1], [2]), 2: ([], []), 3: ([], []), 4: ([None], [0])}
-    out = decontamination.decontaminated(corpus(spark, data), bench)
+    out = decontamination.decontaminated(corpus(spark, data), bench, block_chars=block)
     assert sorted(r.doc_id for r in out.collect()) == [2, 3] and out.columns == corpus(spark, data).columns
     assert decontamination.decontaminated(docs, bench.where("false")).count() == docs.count() and decontamination.matched(empty, bench).count() == 0
 
