@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def quantile_edges(df: DataFrame, x: str, bins: int) -> list[float]:
-    """Distinct edges of ``bins`` quantile bins (linear interpolation), rounded to settle the last digits."""
-    got = df.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()["e"]
+def quantile_edges(df: DataFrame, x: str, bins: int, accuracy: int | None = None) -> list[float]:
+    """Distinct edges of ``bins`` quantile bins (linear interpolation), rounded to settle the last digits.
+
+    Exact quantiles hold a count for each distinct value; for columns with very
+    many of them, ``accuracy`` asks for a sketch of that size instead.
+    """
+    shares = [i / bins for i in range(bins + 1)]
+    edges = F.percentile_approx(x, shares, accuracy) if accuracy else F.percentile(x, F.array(*map(F.lit, shares)))
+    got = df.agg(edges.alias("e")).first()["e"]
     return sorted({round(e, 9) for e in got or []})
 
 
-def quantile_bins(df: DataFrame, x: str, bins: int, name: str = "bin") -> DataFrame:
+def quantile_bins(df: DataFrame, x: str, bins: int, name: str = "bin", accuracy: int | None = None) -> DataFrame:
     """Right-closed quantile bins; the lowest value falls into the first. Edges that coincide make one."""
-    edges = quantile_edges(df, x, bins)
+    edges = quantile_edges(df, x, bins, accuracy)
     above = sum((F.when(F.col(x) > e, 1).otherwise(0) for e in edges), F.lit(0))
     return df.withColumn(name, F.when(F.col(x).isNotNull(), F.greatest(F.lit(0), above - 1)))
 

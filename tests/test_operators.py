@@ -49,6 +49,9 @@ def test_importance_weights(spark):
 def test_bins_of_constant_and_empty_columns(spark):
     flat = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
     assert sorted((r.bin is None, r.bin) for r in binning.equal_bins(flat, "x", 8).collect()) == [(False, 0), (False, 0), (True, None)]
+    spread = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    counts = lambda **how: sorted(r["count"] for r in binning.quantile_bins(spread, "x", 5, **how).groupBy("bin").count().collect())
+    assert counts() == [200] * 5 and all(abs(n - 200) <= 2 for n in counts(accuracy=10_000))
     empty = flat.where("false")
     assert binning.quantile_bins(empty, "x", 5).count() == 0
     assert [r.n for r in binning.histogram(flat.select(F.lit(1).alias("b")), "b", 3).orderBy("b").collect()] == [0, 3, 0]
