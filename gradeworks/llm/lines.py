@@ -30,39 +30,42 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import components, dropped, hamming, released, written
+from gradeworks.llm.common import components, dropped, fresh, hamming, released, written
 
 BITS = 3
 SIMILARITY = 0.8
 #: Four counters of 16 bits in a long; no sum of so many hashes overflows one.
 LANES, COUNTED = 0x0001000100010001, 16_383
-#: White space that is not a single space.
-WIDE_GAP = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
+#: Runs of white space other than a single space. Such runs are rare, so lines are first searched for what each of them holds.
+WIDE_GAP = r"[\x09-\x0D\x20](?:(?<!\x20)[\x09-\x0D\x20]*|[\x09-\x0D\x20]+)"
 #: Candidate nodes up to this number are broadcast to fetch their lines; beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 400_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``uid, doc_id, th, pos, key, norm, size`` of every line; key is null for lines without a word."""
+    """``uid, doc_id, th, pos, key, norm, words`` of every line; key is null for lines without a word, words is 0 where they are few."""
     text = F.lower(F.coalesce("text", F.lit("")))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), text.alias("text"))
     each = rows.select("uid", "doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    norm = F.trim(F.regexp_replace("line", WIDE_GAP, " "))
+    wide = F.contains("line", F.lit("  ")) | F.col("line").rlike(r"[\x09-\x0D]")
+    norm = F.trim(F.when(wide, F.regexp_replace("line", WIDE_GAP, " ")).otherwise(F.col("line")))
     each = each.select("uid", "doc_id", "th", "pos", norm.alias("norm"))
-    return each.select("uid", "doc_id", "th", "pos", F.when(F.col("norm") != "", F.xxhash64("norm")).alias("key"), "norm", F.length("norm").alias("size"))
+    many = F.when(F.octet_length("norm") > COUNTED, F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).otherwise(0)
+    return each.select("uid", "doc_id", "th", "pos", F.when(F.col("norm") != "", F.xxhash64("norm")).alias("key"), "norm", many.alias("words"))
 
 
 def simhashed(lines: DataFrame) -> DataFrame:
     """``key, fp`` of the distinct lines.
 
     A hash is counted bit by bit in sixteen longs of four 16-bit counters, for
-    each line by itself and before anything is shuffled. Lines that could have
-    more distinct words than such a counter holds are counted in 64 sums.
+    each line by itself and before anything is shuffled. Lines with more words
+    than such a counter holds are counted in 64 sums; they are rare, and the
+    scan for them passes by what holds none.
     """
-    rows = lines.where("key is not null").select("key", "size", F.monotonically_increasing_id().alias("line"), "norm")
+    rows = lines.where("key is not null").select("key", "words", F.monotonically_increasing_id().alias("line"), "norm")
     hashed = lambda df: df.select("key", "line", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("key", "line", F.xxhash64("w").alias("h"))
-    packed = hashed(rows.where(F.col("size") < 2 * COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)], F.count("*").alias("n"))
-    wide = hashed(rows.where(F.col("size") >= 2 * COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"c{b}") for b in range(64)], F.count("*").alias("n"))
+    packed = hashed(rows.where(F.col("words") <= COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)], F.count("*").alias("n"))
+    wide = hashed(rows.where(F.col("words") > COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"c{b}") for b in range(64)], F.count("*").alias("n"))
     # a counter above half of n reaches bit 14 once what half of n lacks to that is added, for four counters at once
     lack = (COUNTED - F.floor(F.col("n") / 2)) * LANES
     ones = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{b}") + F.col("lack"), 14).bitwiseAND(F.lit(LANES)), b) for b in range(16)]
@@ -129,7 +132,7 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     one_by_one = F.when(F.size("a") == F.size("b"), F.aggregate(words, F.lit(0), lambda s, w: s + w))
     within = lambda t: F.call_function("levenshtein", F.col("x"), F.col("y"), t) >= 0
     near = F.when(whole <= F.col("allowed"), True).when((n == 0) | (m == 0), False).when(F.coalesce(one_by_one <= F.col("allowed"), F.lit(False)), True)
-    for band in (4, 32, 256):
+    for band in (32, 256):
         near = near.when(within(F.least(F.col("allowed"), F.lit(band))), True).when(F.col("allowed") <= band, False)
     out = written(both.where(near.otherwise(within(F.col("allowed")))).select("u", "v"), "line-links")
     for t in (pairs, keys, texts, both):
@@ -162,7 +165,7 @@ def grouped(lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY)
     # both of a pair may be apart from the hub's group: it is then met twice, and listed once
     second = told.where("key <> hub").join(apart, "bucket").where((F.col("g") != F.col("g2")) & (hamming(F.col("fp"), F.col("f2")) <= bits))
     more = verified(second.select(F.least("key", "k2").alias("u"), F.greatest("key", "k2").alias("v")), lines, similarity)
-    return components(links.union(more), "line-groups") if more.limit(1).count() else labels
+    return components(labels.select("component", "id").toDF("u", "v").union(more), "line-groups") if more.limit(1).count() else labels
 
 
 def decided(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
@@ -183,8 +186,9 @@ def decided(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents with their own columns, ``text`` without the dropped lines."""
-    by = decided(docs, **how).where("n_dropped > 0").dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped"))
-    at = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__dropped", i))
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    ident, th, places = fresh(docs, "dropped_id", "dropped_th", "dropped_places")
+    by = decided(docs, **how).where("n_dropped > 0").dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias(ident), F.col("th").alias(th), F.col("dropped").alias(places))
+    at = F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(th))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(places, i))
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return docs.join(by, at, "left").select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
