@@ -15,6 +15,12 @@ from the verified links. Then only nodes outside the hub's group are compared
 with those of other groups in the bucket. Pairs within a group cannot change the
 groups, so the result is that of all pairs.
 
+With ``pieces`` the search is wider. All that meet in a bucket within ``REACH``
+bits are candidates, and lines also meet by a piece of their own words, which an
+edit elsewhere leaves as it is: lines of eight words or more by what they start
+and end with, shorter ones by what is left without one word. The edit similarity
+alone then decides.
+
 Defined results: null and blank texts have no lines; lines without a word are
 kept and not counted; a null id comes before all others; rows that repeat an id
 hold the same occurrences and keep or lose them together; an empty table gives
@@ -34,6 +40,10 @@ from gradeworks.llm.common import components, dropped, fresh, hamming, released,
 
 BITS = 3
 SIMILARITY = 0.8
+#: Bits within which two that share a bucket are candidates of the wider search.
+REACH = 10
+#: Words from which a line is met by its start and its end, each a quarter to a half of it.
+PIECED = 8
 #: Four counters of 16 bits in a long; no sum of so many hashes overflows one.
 LANES, COUNTED = 0x0001000100010001, 16_383
 #: Runs of white space other than a single space. Such runs are rare, so lines are first searched for what each of them holds.
@@ -75,6 +85,28 @@ def simhashed(lines: DataFrame) -> DataFrame:
     return short.union(wide.select("key", either(bits).alias("fp"))).groupBy("key").agg(F.first("fp").alias("fp"))
 
 
+def pieced(lines: DataFrame) -> DataFrame:
+    """``bucket, key``: the hashes of each line's pieces, again for each line that is equal."""
+    norm, words, n, h = F.col("norm"), F.col("w"), F.col("n"), F.col("h")
+    rows = lines.where("key is not null").select("key", "norm", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    # the runs double with the line; from the last length on they no longer grow
+    level = F.lit(0)
+    for k in (PIECED // 2 << k for k in range(12)):
+        level = F.when(n >= 2 * k, k).otherwise(level)
+    rows = rows.select("key", "norm", "n", level.alias("h"), F.when(n < PIECED + 2, F.split("norm", " ")).alias("w"))
+    run = lambda side, h: F.xxhash64(F.lit(side), h, F.call_function("substring_index", norm, F.lit(" "), h * side))
+    none = F.array().cast("array<bigint>")
+    short = F.concat(F.array(F.xxhash64("norm")), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.array_join(F.filter(words, lambda w, j: j != i), " "))))
+    half = (h / 2).cast("int")
+    out = F.concat(
+        F.when((n >= 2) & (n < PIECED + 2), short).otherwise(none),
+        F.when(h > 0, F.array(run(1, h), run(-1, h))).otherwise(none),
+        # a line of little more than the level's words also meets those that fall just short of it
+        F.when((h >= PIECED) & (n * 2 < h * 5), F.array(run(1, half), run(-1, half))).otherwise(none),
+    )
+    return rows.select(F.explode(out).alias("bucket"), "key")
+
+
 def n_blocks(nodes: int, bits: int = BITS) -> int:
     """Blocks to cut into: the more nodes, the more bits a bucket fixes, so that strangers seldom share one."""
     m = bits + 2
@@ -140,20 +172,30 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     return out
 
 
-def grouped(lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def grouped(lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, pieces: bool = False) -> DataFrame:
     """``id, component`` of the nodes that have a link."""
+    reach = REACH if pieces else bits
     fps = written(simhashed(lines), "line-fingerprints")
     blocks = n_blocks(fps.count(), bits)
     stood = fps.select("key", "fp", F.explode(F.array(*bucket_keys(F.col("fp"), bits, blocks))).alias("bucket"))
+    if pieces:
+        released(lines.sparkSession)
+        shared = pieced(lines).groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("other"))
+        shared = written(shared.where("hub < other").select("bucket", "hub"), "line-pieces")
+        released(lines.sparkSession)
     # of two in a bucket, the exclusive or of their fingerprints is what they differ in
     buckets = stood.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.min("key").alias("hub"), F.max("key").alias("other"))
-    buckets = written(buckets.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= bits)), "line-buckets")
+    buckets = written(buckets.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= reach)), "line-buckets")
     released(lines.sparkSession)
     pairs = buckets.where("n = 2").select(F.col("hub").alias("u"), F.col("other").alias("v"))
     larger = buckets.where("n > 2").select("bucket", "hub")
     hubs = fps.select(F.col("key").alias("hub"), F.col("fp").alias("hub_fp"))
-    members = written(stood.join(few(larger), "bucket").join(hubs, "hub").select("bucket", "key", "fp", "hub", "hub_fp"), "line-members")
-    first = members.where((F.col("key") != F.col("hub")) & (hamming(F.col("fp"), F.col("hub_fp")) <= bits)).select(F.col("hub").alias("u"), F.col("key").alias("v"))
+    members = stood.join(few(larger), "bucket").join(hubs, "hub").select("bucket", "key", "fp", "hub", "hub_fp")
+    if pieces:  # these are candidates whatever their fingerprints
+        none = F.lit(0).cast("long")
+        members = members.union(pieced(lines).join(few(shared), "bucket").select("bucket", "key", none.alias("fp"), "hub", none.alias("hub_fp")).distinct())
+    members = written(members, "line-members")
+    first = members.where((F.col("key") != F.col("hub")) & (hamming(F.col("fp"), F.col("hub_fp")) <= reach)).select(F.col("hub").alias("u"), F.col("key").alias("v"))
     links = verified(pairs.union(first), lines, similarity)
     found = components(links, "line-groups")
     labels = written(found, "line-labels")
@@ -163,15 +205,15 @@ def grouped(lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY)
     dropped(members)
     apart = told.where("g <> hub_g").select("bucket", F.col("key").alias("k2"), F.col("fp").alias("f2"), F.col("g").alias("g2"))
     # both of a pair may be apart from the hub's group: it is then met twice, and listed once
-    second = told.where("key <> hub").join(apart, "bucket").where((F.col("g") != F.col("g2")) & (hamming(F.col("fp"), F.col("f2")) <= bits))
+    second = told.where("key <> hub").join(apart, "bucket").where((F.col("g") != F.col("g2")) & (hamming(F.col("fp"), F.col("f2")) <= reach))
     more = verified(second.select(F.least("key", "k2").alias("u"), F.greatest("key", "k2").alias("v")), lines, similarity)
     return components(labels.select("component", "id").toDF("u", "v").union(more), "line-groups") if more.limit(1).count() else labels
 
 
-def decided(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def decided(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, pieces: bool = False) -> DataFrame:
     """One row per document: ``doc_id, th, n_lines, n_dropped, dropped`` (places of the lines to drop, sorted)."""
     lines = written(lines_of(docs), "lines", "zstd")
-    groups = written(grouped(lines, bits, similarity), "line-components")
+    groups = written(grouped(lines, bits, similarity, pieces), "line-components")
     occurrences = lines.select("uid", "doc_id", "th", "pos", "key")
     some = occurrences.where("key is not null").join(groups, F.col("key") == F.col("id"), "left").select("uid", "doc_id", "th", "pos", F.coalesce("component", "key").alias("g"))
     some = written(some, "line-occurrences")

@@ -27,7 +27,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.decided(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", (F.col("n_lines") - F.col("n_dropped")).alias("n_kept"), "dropped")
+    return lines.decided(table(spark, sf_dir, "documents"), pieces=True).select("doc_id", "n_lines", "n_dropped", (F.col("n_lines") - F.col("n_dropped")).alias("n_kept"), "dropped")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

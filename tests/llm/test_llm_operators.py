@@ -186,6 +186,45 @@ def test_lines_white_space(spark):
     assert multiset((r.doc_id, r.n_lines, tuple(r.dropped)) for r in got.collect()) == multiset(brute_lines(data))
 
 
+def edited(rng, x):
+    """The line with a letter changed, a word changed, dropped or added, or a few letters changed in one half."""
+    w = x.split(" ")
+    k = rng.randrange(len(w))
+    kind = rng.randrange(5)
+    if kind == 0:
+        w[k] = w[k][:-1] + "z"
+    elif kind == 1:
+        w[k] = "qqq"
+    elif kind == 2 and len(w) > 2:
+        del w[k]
+    elif kind == 3:
+        w.insert(k, "qqq")
+    else:
+        for j in range(k % 2, len(w) // 2, 3):
+            w[j] = w[j][:-1] + "y"
+    return " ".join(w)
+
+
+def test_lines_query_meets_similar_lines_without_the_bit_bound(spark, tmp_path):
+    rng = random.Random(21)
+    pairs = []
+    while len(pairs) < 300:
+        a = " ".join(rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(rng.choice([3, 5, 7, 8, 11, 15, 16, 31, 32, 33, 64, 120])))
+        b = edited(rng, a)
+        if a != b and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            pairs.append((a, b))
+    other = [prose(rng, 30) for _ in range(50)]
+    data = [(2 * i + j, t, "en", "s") for i, p in enumerate(pairs) for j, t in enumerate(p)] + [(1000 + i, t, "en", "s") for i, t in enumerate(other)]
+    spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in data], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_dropped for r in llm_queries.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()}
+    found = sum(got[2 * i + 1] for i in range(len(pairs)))
+    narrow = sum((line_fingerprint(a) ^ line_fingerprint(b)).bit_count() <= 3 for a, b in pairs)
+    print(f"op1 recall on edited lines: {found} of {len(pairs)}, within three bits {narrow}")
+    assert found >= 0.95 * len(pairs) and narrow < 0.5 * len(pairs)
+    # strangers, and the first of each pair, stay
+    assert not any(n for i, n in got.items() if i >= 1000 or i % 2 == 0)
+
+
 def test_lines_cleaned_texts(spark, rows, empty):
     out = lines.deduplicated(corpus(spark, [(1, "A line\nother", "en", "s"), (2, "a  LINE\nthird", "en", "s"), (3, None, "en", "s")]))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "A line\nother", 2: "third", 3: None}
