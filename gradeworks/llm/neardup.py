@@ -1,0 +1,126 @@
+"""Near-duplicate documents by exact shingle similarity, for the pipeline.
+
+Two texts are near copies when the Jaccard similarity of their sets of five-word
+shingles is 0.8 or more. Words are lower case (ASCII) and parted by white space;
+a text of fewer words is one shingle, one without words is the empty set, and
+equal word sequences are one node. Candidates share one of 25 bands of five
+MinHashes: a pair at 0.8 is met with probability 0.99995, and more above.
+
+A bucket does not compare all pairs. Its least node (the hub) is compared with
+every other; then only nodes outside the hub's group are compared with those of
+other groups in the bucket. Pairs within a group cannot change the groups.
+
+Defined results: of a group the least id that is not null stays, and of rows
+with that id the one whose text hash is least, once; groups without any id keep
+the row with the least text hash; an empty table gives no rows; further columns
+are left alone.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gradeworks.llm.common import components, fresh, written
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 25, 5
+BLOCK = 1 << 11
+_RNG = np.random.default_rng(20)
+#: Odd factors and offsets of the MinHashes.
+FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+OFFSETS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> set[bytes]:
+    w = words_of(text)
+    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar(a: str | None, b: str | None, least: float = SIMILARITY) -> bool:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= least * len(x | y) - 1e-9
+
+
+def band_keys(parts: set[bytes]) -> np.ndarray:
+    """One hash for each band, of the whole text's MinHashes."""
+    if not parts:
+        return np.zeros(0, dtype=np.int64)
+    h = np.fromiter((xxhash.xxh64_intdigest(p) for p in parts), dtype=np.uint64, count=len(parts))
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), BLOCK):
+        x = h[at : at + BLOCK, None] * FACTORS + OFFSETS
+        # the low bits of a product hang on low bits only
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], dtype=np.uint64).view(np.int64)
+
+
+def banded(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, node, bands`` of every document."""
+
+    def work(batches):
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            node = np.array([xxhash.xxh64_intdigest(b" ".join(words_of(t)), 42) for t in texts], dtype=np.uint64)
+            bands = pa.array([band_keys(shingles(t)) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), bands], names=["doc_id", "th", "node", "bands"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, node long, bands array<long>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs ``u, v`` of nodes whose texts are similar."""
+    pairs = written(pairs.distinct(), "near-pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    # any text of a node will do: its words are the node's
+    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(one, "th").groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(texts, "near-texts")
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+
+    def work(batches):
+        for b in batches:
+            keep = [similar(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return written(both.select("u", "v", "a", "b").mapInArrow(work, "u long, v long"), "near-links")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, node, component`` of every document."""
+    rows = written(banded(docs), "near-bands")
+    stood = rows.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
+    stood = written(stood, "near-stood")
+    hubs = stood.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("bucket", "hub")
+    members = written(stood.join(hubs, "bucket"), "near-members")
+    links = verified(members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), rows, docs)
+    labels = written(components(links, "near"), "near-labels")
+    of = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name))
+    told = members.join(of("node", "g"), "node", "left").join(of("hub", "hub_g"), "hub", "left")
+    told = written(told.select("bucket", "node", F.coalesce("g", "node").alias("g"), F.coalesce("hub_g", "hub").alias("hub_g"), "hub"), "near-told")
+    apart = told.where("g <> hub_g").select("bucket", F.col("node").alias("n2"), F.col("g").alias("g2"))
+    second = told.where("node <> hub").join(apart, "bucket").where("g <> g2").select(F.least("node", "n2").alias("u"), F.greatest("node", "n2").alias("v"))
+    more = verified(second, rows, docs)
+    if more.limit(1).count():
+        labels = written(components(labels.select("component", "id").toDF("u", "v").union(more), "near"), "near-labels")
+    return rows.join(labels, rows.node == labels.id, "left").select("doc_id", "th", "node", F.coalesce("component", "node").alias("component"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents with their own columns, one of each group of near copies."""
+    ident, th, own = fresh(docs, "kept_id", "kept_th", "own_th")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = grouped(docs).groupBy("component").agg(F.min(place).alias("p"))
+    keep = written(first.select(F.col("p.doc_id").alias(ident), F.col("p.th").alias(th)), "kept-ids")
+    told = docs.withColumn(own, F.xxhash64("text"))
+    match = F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(th))
+    return told.join(keep, match, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)

@@ -1,6 +1,7 @@
 """The corpus pipeline against the same decisions made by brute force, stage by stage."""
 
 import collections
+import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -55,3 +56,32 @@ def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0 and sharding.SLOTS == 8192
+
+
+def test_near_dedup_keeps_one_of_each_group_of_similar_texts(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        texts.append(base)
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, " "), (902, "a b"), (903, "A  b"), (904, "a c"), (None, " ".join(texts[0]))]
+    five = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))}
+    sets = [five(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    want = {min(r[0] for r, x in zip(rows, root, strict=True) if x == g and r[0] is not None) for g in set(root)}
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept_id string"), SF)
+    assert out.columns == ["doc_id", "text", "kept_id"]
+    assert sorted(r.doc_id for r in out.collect()) == sorted(want)
+    narrow = sum((simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1])).bit_count() <= 4 for a, b in zip(rows[0:160:4], rows[1:160:4], strict=True))
+    assert narrow < 20
