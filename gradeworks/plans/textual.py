@@ -41,8 +41,8 @@ query("w9_fixed_chunks", f"SELECT sum(len(c))::bigint AS chunks FROM {CHUNKS}")(
 
 
 def turns(spark, sf_dir):
-    """A turn's words beside those of the next turn."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(T.tokens(F.col("text")), 1, 40).alias("t"))
+    """A turn's words, all of them, beside those of the next turn."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("t"))
     return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u")), ["conv_id", "turn"])
 
 

@@ -240,3 +240,19 @@ def test_models_run_on_executors_in_batches(spark):
     got = {r.id: r.vec for r in inference.applied(df, "id", "t", load, batch=4).collect()}
     assert got == {i: None if i == 3 else [float(i), 1.0] for i in range(10)}
     assert inference.applied(df.where("false"), "id", "t", load).count() == 0
+
+
+def test_turn_edits_are_those_of_whole_texts(spark, tmp_path):
+    from gradeworks.plans import registry
+
+    a = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70)]
+    b = a[:50] + ["other"] + a[51:60] + a[61:] + ["more"]
+    spark.createDataFrame([(1, 0, " ".join(a)), (1, 1, " ".join(b))], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[:], i
+        for j, y in enumerate(b, 1):
+            row[j] = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y))
+    got = {n: registry.QUERIES[n](spark, str(tmp_path)).first() for n in ("t4_word_levenshtein", "t5_edit_rate", "t6_word_error_rate")}
+    assert row[-1] == 3 == got["t4_word_levenshtein"].edits
+    assert got["t5_edit_rate"].edit_rate == got["t6_word_error_rate"].wer == round(3 / 70, 6)
