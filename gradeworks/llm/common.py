@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,3 +94,69 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     # settled links are stars around the least id
     found = links.select(F.col("v").alias("id"), F.col("u").alias("component"))
     return found.union(links.select(F.col("u").alias("id"), F.col("u").alias("component"))).distinct()
+
+
+#: Ranks by which a bucket's hub is chosen: buckets with many nodes in common get one of four hubs.
+TURNS = (0, 0x5A3C6B1D2E4F7081, -0x1E2D3C4B5A697887, 0x33CC55AA0FF0A55A)
+
+
+def same_group(members: DataFrame, near: Callable, verify: Callable, label: str, pairs: DataFrame | None = None, rounds: int = 2) -> DataFrame:
+    """``id, component`` of the nodes that have a link, from ``members`` (bucket, node and further long columns).
+
+    Nodes of a bucket are candidates where ``near`` says so of their columns,
+    and linked where ``verify`` keeps the pair ``(u, v)``. ``pairs`` are further
+    candidates. The groups are those of all pairs of a bucket, without comparing
+    all: one node of a bucket (the hub) is compared with every other, groups
+    follow from the verified links, and then another hub outside the first one's
+    group is compared with what is not yet in its own. Only nodes that are still
+    apart from the last hub's group are then compared with all nodes of other
+    groups. Pairs within a group cannot change the groups. A hub is found by an
+    aggregate that combines before its shuffle.
+    """
+    attrs = [c for c in members.columns if c not in ("bucket", "node")]
+    told = written(members.withColumn("g", F.col("node")).withColumn("apart", F.lit(True)), f"{label}-members")
+    labels = None
+
+    def settled(links: DataFrame) -> DataFrame:
+        nonlocal labels
+        if labels is not None:
+            links = links.union(labels.select("component", "id"))
+        after = written(components(links, label), f"{label}-labels")
+        if labels is not None:
+            dropped(labels)
+        labels = after
+        return after
+
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+    for turn in range(rounds):
+        if turn and not told.limit(1).count():
+            return labels
+        rank = F.col("node").bitwiseXOR(F.get(F.array(*map(F.lit, TURNS)), F.pmod(F.col("bucket") + turn, F.lit(4)).cast("int")))
+        hubs = told.where("apart").groupBy("bucket").agg(*[F.min_by(c, rank).alias(f"hub_{c}") for c in ("node", "g", *attrs)])
+        hubs = written(hubs, f"{label}-hubs")
+        other = {c: F.col(f"hub_{c}") for c in attrs}
+        met = told.join(hubs, "bucket").where((F.col("g") != F.col("hub_g")) & near({c: F.col(c) for c in attrs}, other)).select(*ordered("node", "hub_node"))
+        links = verify(met if turn or pairs is None else met.union(pairs))
+        new = settled(links)
+        of = lambda c, name: new.select(F.col("id").alias(c), F.col("component").alias(name))  # noqa: B023, E731
+        now = told.drop("g", "apart").join(hubs.select("bucket", "hub_node"), "bucket").join(of("node", "g"), "node", "left").join(of("hub_node", "hub_g"), "hub_node", "left")
+        now = now.withColumns({"g": F.coalesce("g", "node"), "hub_g": F.coalesce("hub_g", "hub_node")}).withColumn("apart", F.col("g") != F.col("hub_g"))
+        now = written(now.select("bucket", "node", *attrs, "g", "apart"), f"{label}-members")
+        open_ = now.where("apart").select("bucket").distinct()
+        after = written(now.join(open_, "bucket", "left_semi"), f"{label}-members")
+        for t in (told, hubs, now, links):
+            dropped(t)
+        told = after
+    if not told.limit(1).count():
+        return labels
+    left = told.where("apart").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "g", *attrs)])
+    # of two that are both apart, each meets the other: they are listed once
+    rest = told.join(left, "bucket").where((F.col("g") != F.col("other_g")) & near({c: F.col(c) for c in attrs}, {c: F.col(f"other_{c}") for c in attrs}))
+    more = verify(rest.select(*ordered("node", "other_node")))
+    if more.limit(1).count():
+        settled(more)
+    for t in (told, more):
+        dropped(t)
+    return labels

@@ -9,17 +9,13 @@ strangers seldom meet; it changes the work, not the pairs. Pairs are verified by
 edit similarity, links form groups, and of each group's occurrences the first
 (least document id, then place) is kept.
 
-A bucket does not compare all pairs. Two nodes alone are a pair. In a larger
-bucket the least node (the hub) is compared with every other, and groups follow
-from the verified links. Then only nodes outside the hub's group are compared
-with those of other groups in the bucket. Pairs within a group cannot change the
-groups, so the result is that of all pairs.
-
-With ``pieces`` the search is wider. All that meet in a bucket within ``REACH``
-bits are candidates, and lines also meet by a piece of their own words, which an
-edit elsewhere leaves as it is: lines of eight words or more by what they start
-and end with, shorter ones by what is left without one word. The edit similarity
-alone then decides.
+With ``pieces`` the search is wider: lines also meet by a piece of their own
+words, which an edit elsewhere leaves as it is, lines of eight words or more by
+what they start and end with, shorter ones by what is left without one word. Of
+those the fingerprints may differ in up to ``REACH`` bits. All candidates are
+within the lengths that the similarity allows. None of these bounds changes with
+the size of the table. How a bucket is searched without comparing all its pairs
+is told in ``common.same_group``.
 
 Defined results: null and blank texts have no lines; lines without a word are
 kept and not counted; a null id comes before all others; rows that repeat an id
@@ -36,75 +32,75 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import components, dropped, fresh, hamming, released, written
+from gradeworks.llm.common import dropped, fresh, hamming, released, same_group, written
 
 BITS = 3
 SIMILARITY = 0.8
-#: Bits within which two that share a bucket are candidates of the wider search.
-REACH = 10
+#: Bits within which two lines that share a piece are candidates.
+REACH = 18
 #: Words from which a line is met by its start and its end, each a quarter to a half of it.
 PIECED = 8
 #: Four counters of 16 bits in a long; no sum of so many hashes overflows one.
 LANES, COUNTED = 0x0001000100010001, 16_383
 #: Runs of white space other than a single space. Such runs are rare, so lines are first searched for what each of them holds.
 WIDE_GAP = r"[\x09-\x0D\x20](?:(?<!\x20)[\x09-\x0D\x20]*|[\x09-\x0D\x20]+)"
+#: Characters that stand for words while two lines are compared: the first one's code point, and how many words they serve.
+CODES = (0x3400, 20_000)
 #: Candidate nodes up to this number are broadcast to fetch their lines; beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 400_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``uid, doc_id, th, pos, key, norm, words`` of every line; key is null for lines without a word, words is 0 where they are few."""
+    """``uid, doc_id, th, pos, key, norm, words`` of every line; key is null for lines without a word."""
     text = F.lower(F.coalesce("text", F.lit("")))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), text.alias("text"))
     each = rows.select("uid", "doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     wide = F.contains("line", F.lit("  ")) | F.col("line").rlike(r"[\x09-\x0D]")
     norm = F.trim(F.when(wide, F.regexp_replace("line", WIDE_GAP, " ")).otherwise(F.col("line")))
     each = each.select("uid", "doc_id", "th", "pos", norm.alias("norm"))
-    many = F.when(F.octet_length("norm") > COUNTED, F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).otherwise(0)
-    return each.select("uid", "doc_id", "th", "pos", F.when(F.col("norm") != "", F.xxhash64("norm")).alias("key"), "norm", many.alias("words"))
+    words = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return each.select("uid", "doc_id", "th", "pos", F.when(F.col("norm") != "", F.xxhash64("norm")).alias("key"), "norm", words.alias("words"))
 
 
 def simhashed(lines: DataFrame) -> DataFrame:
-    """``key, fp`` of the distinct lines.
+    """``key, fp, len`` of the distinct lines; len counts code points.
 
     A hash is counted bit by bit in sixteen longs of four 16-bit counters, for
     each line by itself and before anything is shuffled. Lines with more words
     than such a counter holds are counted in 64 sums; they are rare, and the
     scan for them passes by what holds none.
     """
-    rows = lines.where("key is not null").select("key", "words", F.monotonically_increasing_id().alias("line"), "norm")
-    hashed = lambda df: df.select("key", "line", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("key", "line", F.xxhash64("w").alias("h"))
-    packed = hashed(rows.where(F.col("words") <= COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)], F.count("*").alias("n"))
-    wide = hashed(rows.where(F.col("words") > COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"c{b}") for b in range(64)], F.count("*").alias("n"))
+    rows = lines.where("key is not null").select("key", "words", F.monotonically_increasing_id().alias("line"), "norm", F.length("norm").cast("long").alias("len"))
+    hashed = lambda df: df.select("key", "line", "len", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("key", "line", "len", F.xxhash64("w").alias("h"))
+    packed = hashed(rows.where(F.col("words") <= COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)], F.count("*").alias("n"), F.first("len").alias("len"))
+    wide = hashed(rows.where(F.col("words") > COUNTED)).groupBy("key", "line").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"c{b}") for b in range(64)], F.count("*").alias("n"), F.first("len").alias("len"))
     # a counter above half of n reaches bit 14 once what half of n lacks to that is added, for four counters at once
     lack = (COUNTED - F.floor(F.col("n") / 2)) * LANES
     ones = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{b}") + F.col("lack"), 14).bitwiseAND(F.lit(LANES)), b) for b in range(16)]
     either = lambda xs: reduce(lambda x, y: x.bitwiseOR(y), xs)
-    short = packed.withColumn("lack", lack).select("key", either(ones).alias("fp"))
+    short = packed.withColumn("lack", lack).select("key", either(ones).alias("fp"), "len")
     bits = [F.when(F.col(f"c{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)) for b in range(64)]
-    return short.union(wide.select("key", either(bits).alias("fp"))).groupBy("key").agg(F.first("fp").alias("fp"))
+    return short.union(wide.select("key", either(bits).alias("fp"), "len")).groupBy("key").agg(F.first("fp").alias("fp"), F.first("len").alias("len"))
 
 
 def pieced(lines: DataFrame) -> DataFrame:
     """``bucket, key``: the hashes of each line's pieces, again for each line that is equal."""
-    norm, words, n, h = F.col("norm"), F.col("w"), F.col("n"), F.col("h")
-    rows = lines.where("key is not null").select("key", "norm", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    norm, n, h = F.col("norm"), F.col("n"), F.col("h")
+    rows = lines.where("key is not null").select("key", "norm", F.col("words").alias("n"))
     # the runs double with the line; from the last length on they no longer grow
     level = F.lit(0)
     for k in (PIECED // 2 << k for k in range(12)):
         level = F.when(n >= 2 * k, k).otherwise(level)
-    rows = rows.select("key", "norm", "n", level.alias("h"), F.when(n < PIECED + 2, F.split("norm", " ")).alias("w"))
-    run = lambda side, h: F.xxhash64(F.lit(side), h, F.call_function("substring_index", norm, F.lit(" "), h * side))
-    none = F.array().cast("array<bigint>")
-    short = F.concat(F.array(F.xxhash64("norm")), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.array_join(F.filter(words, lambda w, j: j != i), " "))))
+    rows = rows.select("key", "norm", "n", level.alias("h"))
+    part = lambda k: F.call_function("substring_index", norm, F.lit(" "), k)
+    run = lambda side, h: F.xxhash64(F.lit(side), h, part(h * side))
+    without = lambda j: F.when(n > j, F.xxhash64(F.trim(F.concat(part(F.lit(j)), F.lit(" "), part(F.lit(j + 1) - n)))))
     half = (h / 2).cast("int")
-    out = F.concat(
-        F.when((n >= 2) & (n < PIECED + 2), short).otherwise(none),
-        F.when(h > 0, F.array(run(1, h), run(-1, h))).otherwise(none),
-        # a line of little more than the level's words also meets those that fall just short of it
-        F.when((h >= PIECED) & (n * 2 < h * 5), F.array(run(1, half), run(-1, half))).otherwise(none),
-    )
-    return rows.select(F.explode(out).alias("bucket"), "key")
+    # a line of little more than the level's words also meets those that fall just short of it
+    lower = lambda side: F.when((h >= PIECED) & (n * 2 < h * 5), run(side, half))
+    most = PIECED + 2
+    own = F.when(n < 2, F.array().cast("array<bigint>")).when(n < most, F.array(F.xxhash64("norm"), *map(without, range(most - 1)), *[F.when(h > 0, run(side, h)) for side in (1, -1)]))
+    return rows.select(F.explode(own.otherwise(F.array(run(1, h), run(-1, h), lower(1), lower(-1)))).alias("bucket"), "key").where("bucket is not null")
 
 
 def n_blocks(nodes: int, bits: int = BITS) -> int:
@@ -157,13 +153,18 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     both = both.withColumn("q", F.least("q", F.least(F.size("a"), F.size("b")) - F.col("p")))
     core = lambda c: F.slice(F.col(c), F.col("p") + 1, F.size(c) - F.col("p") - F.col("q"))
     both = both.select("u", "v", "allowed", core("a").alias("a"), core("b").alias("b"))
-    both = written(both.select("u", "v", "allowed", "a", "b", F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y")), "line-cores")
+    both = written(both.select("u", "v", "allowed", "a", "b", F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y"), F.array_distinct(F.concat("a", "b")).alias("kinds")), "line-cores")
     n, m = F.length("x"), F.length("y")
     whole = F.greatest(n, m) + F.when((n == 0) | (m == 0), 1).otherwise(0)  # a run that only one line has brings its space along
     words = F.zip_with("a", "b", lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y))))
     one_by_one = F.when(F.size("a") == F.size("b"), F.aggregate(words, F.lit(0), lambda s, w: s + w))
     within = lambda t: F.call_function("levenshtein", F.col("x"), F.col("y"), t) >= 0
     near = F.when(whole <= F.col("allowed"), True).when((n == 0) | (m == 0), False).when(F.coalesce(one_by_one <= F.col("allowed"), F.lit(False)), True)
+    # no edit of whole words costs more than the longest of them and a space, so their number bounds the distance too
+    longest = F.array_max(F.transform("kinds", lambda w: F.length(w))) + 1
+    coded = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.hex(F.array_position("kinds", w) + CODES[0])), "UTF-16BE")), "")
+    by_words = F.floor(F.col("allowed") / longest).cast("int")
+    near = near.when((F.size("kinds") < CODES[1]) & (by_words > 0) & (F.call_function("levenshtein", coded("a"), coded("b"), by_words) >= 0), True)
     for band in (32, 256):
         near = near.when(within(F.least(F.col("allowed"), F.lit(band))), True).when(F.col("allowed") <= band, False)
     out = written(both.where(near.otherwise(within(F.col("allowed")))).select("u", "v"), "line-links")
@@ -174,40 +175,33 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
 
 def grouped(lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, pieces: bool = False) -> DataFrame:
     """``id, component`` of the nodes that have a link."""
-    reach = REACH if pieces else bits
     fps = written(simhashed(lines), "line-fingerprints")
     blocks = n_blocks(fps.count(), bits)
     stood = fps.select("key", "fp", F.explode(F.array(*bucket_keys(F.col("fp"), bits, blocks))).alias("bucket"))
     if pieces:
         released(lines.sparkSession)
-        shared = pieced(lines).groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("other"))
-        shared = written(shared.where("hub < other").select("bucket", "hub"), "line-pieces")
+        shared = pieced(lines).groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+        shared = written(shared.where("least < most").select("bucket"), "line-pieces")
         released(lines.sparkSession)
     # of two in a bucket, the exclusive or of their fingerprints is what they differ in
-    buckets = stood.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.min("key").alias("hub"), F.max("key").alias("other"))
-    buckets = written(buckets.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= reach)), "line-buckets")
+    buckets = stood.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.min("key").alias("least"), F.max("key").alias("most"))
+    buckets = written(buckets.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= bits)), "line-buckets")
     released(lines.sparkSession)
-    pairs = buckets.where("n = 2").select(F.col("hub").alias("u"), F.col("other").alias("v"))
-    larger = buckets.where("n > 2").select("bucket", "hub")
-    hubs = fps.select(F.col("key").alias("hub"), F.col("fp").alias("hub_fp"))
-    members = stood.join(few(larger), "bucket").join(hubs, "hub").select("bucket", "key", "fp", "hub", "hub_fp")
-    if pieces:  # these are candidates whatever their fingerprints
-        none = F.lit(0).cast("long")
-        members = members.union(pieced(lines).join(few(shared), "bucket").select("bucket", "key", none.alias("fp"), "hub", none.alias("hub_fp")).distinct())
-    members = written(members, "line-members")
-    first = members.where((F.col("key") != F.col("hub")) & (hamming(F.col("fp"), F.col("hub_fp")) <= reach)).select(F.col("hub").alias("u"), F.col("key").alias("v"))
-    links = verified(pairs.union(first), lines, similarity)
-    found = components(links, "line-groups")
-    labels = written(found, "line-labels")
-    of = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name))
-    told = members.join(of("key", "g"), "key", "left").join(of("hub", "hub_g"), "hub", "left")
-    told = written(told.select("bucket", "key", "fp", F.coalesce("g", "key").alias("g"), F.coalesce("hub_g", "hub").alias("hub_g"), "hub"), "line-members-told")
-    dropped(members)
-    apart = told.where("g <> hub_g").select("bucket", F.col("key").alias("k2"), F.col("fp").alias("f2"), F.col("g").alias("g2"))
-    # both of a pair may be apart from the hub's group: it is then met twice, and listed once
-    second = told.where("key <> hub").join(apart, "bucket").where((F.col("g") != F.col("g2")) & (hamming(F.col("fp"), F.col("f2")) <= reach))
-    more = verified(second.select(F.least("key", "k2").alias("u"), F.greatest("key", "k2").alias("v")), lines, similarity)
-    return components(labels.select("component", "id").toDF("u", "v").union(more), "line-groups") if more.limit(1).count() else labels
+    pairs = buckets.where("n = 2").select(F.col("least").alias("u"), F.col("most").alias("v"))
+    members = stood.join(few(buckets.where("n > 2").select("bucket")), "bucket").select("bucket", F.col("key").alias("node"), F.lit(bits).cast("long").alias("reach"))
+    if pieces:
+        met = pieced(lines).join(few(shared), "bucket").select("bucket", F.col("key").alias("node"), F.lit(REACH).cast("long").alias("reach"))
+        members = members.union(met.distinct())
+    members = members.join(fps.withColumnRenamed("key", "node"), "node").select("bucket", "node", "fp", "len", "reach")
+
+    def near(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        length = F.abs(a["len"] - b["len"]) <= F.greatest(a["len"], b["len"]) * (1 - similarity) + 1e-9
+        return length & (hamming(a["fp"], b["fp"]) <= a["reach"])
+
+    labels = same_group(members, near, lambda found: verified(found, lines, similarity), "line", pairs)
+    for t in (fps, buckets):
+        dropped(t)
+    return labels
 
 
 def decided(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, pieces: bool = False) -> DataFrame:
