@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 #: Filler words.
 FILLERS = ("uh", "um", "er", "ah", "erm", "hmm", "mm", "uhm")
@@ -52,10 +50,22 @@ def adjacent_repeats(words: Column) -> Column:
 
 
 def mattr(words: Column, window: int = 25) -> Column:
-    """Mean share of distinct words over full windows; over the whole text where it is shorter."""
+    """Mean share of distinct words over full windows; over the whole text where it is shorter.
+
+    A window's distinct words are the occurrences in it that no equal word in it
+    precedes. So each occurrence counts for the windows that reach it and start
+    after the equal word before it, which sorted words have as their neighbour.
+    """
     n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
-    total = F.aggregate(starts, F.lit(0), lambda s, i: s + F.size(F.array_distinct(F.slice(words, i, window))))
+    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def first_in(s: Column, x: Column, k: Column) -> Column:
+        before = F.get(s, k - 1)
+        after = F.when((k > 0) & (before["w"] == x["w"]), before["i"] + 1).otherwise(0)
+        return F.greatest(F.least(x["i"], n - window) - F.greatest(x["i"] - (window - 1), after) + 1, F.lit(0))
+
+    # the array of one binds the sorted words, which are then made once
+    total = F.get(F.transform(F.array(ranked), lambda s: F.aggregate(F.transform(s, lambda x, k: first_in(s, x, k)), F.lit(0), lambda a, c: a + c)), F.lit(0))
     return F.when(n >= window, total / (n - window + 1) / float(window)).otherwise(F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)))
 
 
@@ -86,20 +96,22 @@ def text_rates(text: Column, seconds: Column, words: Column) -> dict[str, Column
     }
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
-    """Edits between two word lists."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+#: The first of the characters that stand for words: above it are enough for a million different ones.
+FIRST_CODE = 0x10000
+
+
+def word_levenshtein(a: Column, b: Column) -> Column:
+    """Word-level edit distance of two array columns.
+
+    Each different word of the two becomes one character, so the built-in
+    distance of characters counts words.
+    """
 
+    def coded(words: Column, kinds: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(kinds, w) + FIRST_CODE), 8, "0")), "UTF-32")), "")
 
-@F.pandas_udf(IntegerType())
-def word_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Word-level edit distance of two array columns, in Arrow batches (built-in ``levenshtein`` compares characters)."""
-    return pd.Series([word_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+    kinds = F.array_distinct(F.concat(a, b))
+    return F.get(F.transform(F.array(kinds), lambda k: F.levenshtein(coded(a, k), coded(b, k))), F.lit(0))
 
 
 def word_error_rate(reference: Column, other: Column, most: float = 2.0) -> Column:

@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeworks.sources.scratch import written
 
-def quantile_edges(df: DataFrame, x: str, bins: int, accuracy: int | None = None) -> list[float]:
-    """Distinct edges of ``bins`` quantile bins (linear interpolation), rounded to settle the last digits.
 
-    Exact quantiles hold a count for each distinct value; for columns with very
-    many of them, ``accuracy`` asks for a sketch of that size instead.
+def values_at(df: DataFrame, x: str, ranks: list[int], counted: DataFrame | None = None) -> dict[int, float]:
+    """The values at some ranks (from 0) of a column in order, exactly.
+
+    Values are counted, dealt out in ranges of values and numbered by a running
+    count within a range after the counts of the ranges before it. Only a row
+    for each range and for each asked rank comes to the driver.
     """
+    counted = counted if counted is not None else value_counts(df, x)
+    sizes = sorted((r["part"], r["n"]) for r in counted.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    before, start = 0, []
+    for part, n in sizes:
+        start.append((part, before))
+        before += n
+    if not start or not ranks:
+        return {}
+    offset = F.broadcast(df.sparkSession.createDataFrame(start, "part int, start long"))
+    placed = counted.join(offset, "part").withColumn("above", F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+    wanted = F.explode(F.filter(F.array(*[F.lit(r).cast("long") for r in sorted(set(ranks))]), lambda r: (r < F.col("above")) & (r >= F.col("above") - F.col("n"))))
+    return {r["rank"]: r["v"] for r in placed.select(wanted.alias("rank"), "v").collect()}
+
+
+def value_counts(df: DataFrame, x: str) -> DataFrame:
+    """``v, n, part``: how often each value stands, in ranges of values that are numbered in order."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return written(counts.repartitionByRange(F.col("v")).withColumn("part", F.spark_partition_id()), "value-counts")
+
+
+def quantile_edges(df: DataFrame, x: str, bins: int, accuracy: int | None = None) -> list[float]:
+    """Distinct edges of ``bins`` quantile bins (linear interpolation), rounded to settle the last digits; ``accuracy`` asks for a sketch of that size instead."""
     shares = [i / bins for i in range(bins + 1)]
-    edges = F.percentile_approx(x, shares, accuracy) if accuracy else F.percentile(x, F.array(*map(F.lit, shares)))
-    got = df.agg(edges.alias("e")).first()["e"]
-    return sorted({round(e, 9) for e in got or []})
+    if accuracy:
+        return sorted({round(e, 9) for e in df.agg(F.percentile_approx(x, shares, accuracy).alias("e")).first()["e"] or []})
+    counted = value_counts(df, x)
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    places = [s * (n - 1) for s in shares] if n else []
+    at = values_at(df, x, [r for p in places for r in (math.floor(p), math.ceil(p))], counted)
+    return sorted({round(at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)), 9) for p in places})
 
 
 def quantile_bins(df: DataFrame, x: str, bins: int, name: str = "bin", accuracy: int | None = None) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Regression heads on sums that Spark makes in one pass: ridge over folds by Gram subtraction, kernel ridge, boosted trees."""
+"""Regression heads on sums that Spark makes in one pass: ridge over folds by Gram subtraction, kernel ridge by Fourier features, boosted trees."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,69 +76,82 @@ def chosen_alpha(by_part: dict[int, np.ndarray], alphas: tuple[float, ...]) -> i
     return int(np.argmin(error))
 
 
-def cv_ridge(df: DataFrame, ident: str, x: str, y: str, fold: str, inner: str, k: int, inner_k: int = 3, alphas: tuple[float, ...] = ALPHAS, w: str | None = None, augmented: DataFrame | None = None):
+def fold_model(parts: dict[int, np.ndarray], alphas: tuple[float, ...]) -> tuple[float, list[float], float]:
+    """(alpha, coefficients, intercept) from the training sums of each inner part, standardised by the training rows alone."""
+    _, mean, sd = scaled(sum(parts.values()))
+    t = np.eye(len(mean) + 2)
+    t[0, 1:-1], t[range(1, len(mean) + 1), range(1, len(mean) + 1)] = -mean / sd, 1 / sd
+    standard = {p: t.T @ g @ t for p, g in parts.items()}
+    at = chosen_alpha(standard, alphas)
+    coef, intercept = ridge(sum(standard.values()), alphas)[at]
+    return alphas[at], (coef / sd).tolist(), float(intercept - (coef * mean / sd).sum())
+
+
+def cv_models(df: DataFrame, x: str, y: str, fold: str, inner: str, k: int, inner_k: int, alphas: tuple[float, ...], w: str | None, augmented: DataFrame | None, by: str | None = None) -> list[tuple]:
+    """``(by, fold, alpha, coefficients, intercept)`` of every fold, from one pass over the rows whatever the number of folds and values of ``by``."""
+    cells = k * inner_k
+    cell = F.col(fold) * inner_k + F.col(inner) + (F.col(by) * cells if by else F.lit(0))
+    sources = [grams(d.withColumn("__k", cell), x, y, "__k", w) for d in (df, augmented) if d is not None]
+    out = []
+    for v in sorted({key // cells for g in sources for key in g}):
+        for f in range(k):
+            parts: dict[int, np.ndarray] = {}
+            for source in sources:
+                for key, g in source.items():
+                    if key // cells == v and key % cells // inner_k != f:
+                        parts[key % inner_k] = parts.get(key % inner_k, 0) + g
+            if parts:
+                out.append((v, f, *fold_model(parts, alphas)))
+    return out
+
+
+def cv_ridge(
+    df: DataFrame, ident: str, x: str, y: str, fold: str, inner: str, k: int, inner_k: int = 3, alphas: tuple[float, ...] = ALPHAS, w: str | None = None, augmented: DataFrame | None = None, by: str | None = None,
+) -> tuple[DataFrame, dict]:
     """Out-of-fold predictions ``id, fold, y, pred`` and the alpha of each fold, from one pass for sums and one to predict.
 
     ``augmented`` rows (same columns) join the training side only: those whose
-    source is in the fold stay out of it, as they carry the source's fold.
+    source is in the fold stay out of it, as they carry the source's fold. With
+    ``by`` (a small integer column, returned too) there is a model for each of
+    its values, all from the same pass.
     """
-    cell = F.col(fold) * inner_k + F.col(inner)
-    own = grams(df.withColumn("__k", cell), x, y, "__k", w)
-    more = grams(augmented.withColumn("__k", cell), x, y, "__k", w) if augmented is not None else {}
-    models, picked = [], {}
-    for f in range(k):
-        parts: dict[int, np.ndarray] = {}
-        for source in (own, more):
-            for key, g in source.items():
-                if key // inner_k != f:
-                    parts[key % inner_k] = parts.get(key % inner_k, 0) + g
-        if not parts:
-            continue
-        _, mean, sd = scaled(sum(parts.values()))
-        t = np.eye(len(mean) + 2)
-        t[0, 1:-1], t[range(1, len(mean) + 1), range(1, len(mean) + 1)] = -mean / sd, 1 / sd
-        standard = {p: t.T @ g @ t for p, g in parts.items()}
-        at = chosen_alpha(standard, alphas)
-        coef, intercept = ridge(sum(standard.values()), alphas)[at]
-        picked[f] = alphas[at]
-        models.append((f, (coef / sd).tolist(), float(intercept - (coef * mean / sd).sum())))
-    table = df.sparkSession.createDataFrame(models, "m int, coef array<double>, b double")
+    models = cv_models(df, x, y, fold, inner, k, inner_k, alphas, w, augmented, by)
+    table = df.sparkSession.createDataFrame([(v, f, c, b) for v, f, _, c, b in models], "__v int, __m int, coef array<double>, b double")
     pred = F.aggregate(F.zip_with(F.col(x).cast("array<double>"), "coef", lambda a, c: a * c), F.col("b"), lambda s, v: s + v)
-    out = df.join(F.broadcast(table), F.col(fold) == F.col("m")).select(ident, F.col(fold).alias("fold"), F.col(y).alias("y"), pred.alias("pred"))
-    return out, picked
+    at = (F.col(fold) == F.col("__m")) & ((F.col(by) if by else F.lit(0)) == F.col("__v"))
+    # a row for each fold and value of ``by``
+    out = df.join(F.broadcast(table), at).select(ident, *([by] if by else []), F.col(fold).alias("fold"), F.col(y).alias("y"), pred.alias("pred"))
+    return out, {(v, f) if by else f: alpha for v, f, alpha, _, _ in models}
 
 
 def layer_profile(df: DataFrame, ident: str, layer: str, x: str, y: str, fold: str, inner: str, k: int) -> DataFrame:
-    """``layer, rmse, pearson, composite`` of out-of-fold ridge on each layer; there are few layers."""
+    """``layer, n, rmse, pearson, composite`` of out-of-fold ridge on each layer, all layers in the same two passes."""
     from gradeworks.functions.metrics import report
 
-    out = None
-    for v in sorted(r[0] for r in df.select(layer).distinct().collect()):
-        oof, _ = cv_ridge(df.where(F.col(layer) == v), ident, x, y, fold, inner, k)
-        one = report(oof, [], "y", "pred").withColumn("layer", F.lit(v))
-        out = one if out is None else out.union(one)
-    return out.select("layer", "n", "rmse", "pearson", "composite")
-
-
-def kernel_ridge(df: DataFrame, ident: str, x: str, y: str, fold: str, alpha: float = 0.3, gamma: float = 0.1) -> DataFrame:
-    """Out-of-fold RBF kernel ridge, its closed form in one group a fold: for tables of a few thousand rows."""
-    numbers = df.select(F.col(fold).alias("m")).distinct()
-    spread = df.select(F.col(ident).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("f")).crossJoin(F.broadcast(numbers))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        held = (part["f"] == part["m"]).to_numpy()
-        if held.all():
-            return pd.DataFrame({"id": [], "pred": []}).astype({"id": "int64"})
-        xx = np.array(part["x"].tolist())
-        mean, sd = xx[~held].mean(0), xx[~held].std(0) + 1e-6
-        xx = (xx - mean) / sd
-        square = (xx * xx).sum(1)
-        kernel = lambda a, b: np.exp(-gamma * np.maximum(square[a][:, None] + square[b][None, :] - 2 * xx[a] @ xx[b].T, 0))
-        yy = part["y"].to_numpy()[~held]
-        dual = np.linalg.solve(kernel(~held, ~held) + alpha * np.eye(len(yy)), yy - yy.mean())
-        return pd.DataFrame({"id": part["id"].to_numpy()[held], "pred": kernel(held, ~held) @ dual + yy.mean()})
-
-    return spread.groupBy("m").applyInPandas(fit, "id long, pred double")
+    oof, _ = cv_ridge(df, ident, x, y, fold, inner, k, by=layer)
+    return report(oof, [layer], "y", "pred").select(F.col(layer).alias("layer"), "n", "rmse", "pearson", "composite")
+
+
+def fourier_features(df: DataFrame, x: str, names: int, features: int = 64, gamma: float = 0.1, seed: int = 0, name: str = "phi") -> DataFrame:
+    """``name``: cosines whose products approach the kernel ``exp(-gamma |a - b|^2)`` of the standardised ``names`` numbers in ``x``.
+
+    Directions and phases are drawn once from a seed; the more features, the
+    nearer the kernel (the error falls with the square root of their number).
+    """
+    gram = grams(df.withColumns({"__y": F.lit(0.0), "__k": F.lit(0)}), x, "__y", "__k")
+    if not gram:
+        return df.withColumn(name, F.array().cast("array<double>"))
+    _, mean, sd = scaled(gram[0])
+    rng = np.random.default_rng(seed)
+    turn = rng.normal(size=(features, names)) * np.sqrt(2 * gamma) / sd
+    phase = rng.uniform(0, 2 * np.pi, features) - turn @ mean
+    value = lambda j: sum((F.get(x, F.lit(i)) * float(turn[j, i]) for i in range(names)), F.lit(float(phase[j])))
+    return df.withColumn(name, F.array(*[F.cos(value(j)) * float(np.sqrt(2 / features)) for j in range(features)]))
+
+
+def kernel_ridge(df: DataFrame, ident: str, x: str, names: int, y: str, fold: str, inner: str, k: int, features: int = 64, gamma: float = 0.1, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """Out-of-fold RBF kernel ridge for any number of rows: ridge on Fourier features, every row fitted and predicted."""
+    return cv_ridge(fourier_features(df, x, names, features, gamma), ident, "phi", y, fold, inner, k, alphas=alphas)[0]
 
 
 def boosted_trees(df: DataFrame, features: list[str], y: str, fold: str, k: int, **params) -> DataFrame:

@@ -55,6 +55,18 @@ def tumbling(df: DataFrame, key: str, t: str, width: float, least_tail: float) -
 
 
 def segment_means(df: DataFrame, key: str, array: str, segments: int) -> DataFrame:
-    """Mean of each of ``segments`` runs of an array of numbers; an index belongs to run ``floor(i * segments / n)``."""
-    rows = df.select(key, F.size(array).alias("__n"), F.posexplode(array).alias("i", "x"))
-    return rows.groupBy(key, F.floor(F.col("i") * segments / F.col("__n")).cast("int").alias("segment")).agg(F.avg("x").alias("mean"))
+    """``key, segment, mean`` of ``segments`` runs of an array, between evenly spaced edges rounded half to even.
+
+    A run without a value takes the one at its edge, so every array that is not
+    empty has all segments.
+    """
+    n = F.size(array)
+    edge = lambda j: F.rint(j * (n / F.lit(segments))).cast("int")
+
+    def mean(j):
+        a, b = F.least(edge(j), n - 1), edge(j + 1)
+        run = F.slice(array, a + 1, F.greatest(b - a, F.lit(1)))
+        return F.aggregate(run, F.lit(0.0), lambda s, x: s + x) / F.size(run)
+
+    means = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), mean)
+    return df.where(n > 0).select(key, F.posexplode(means).alias("segment", "mean"))

@@ -70,29 +70,92 @@ def composite_of(gram: np.ndarray, coef: np.ndarray, intercept: float) -> float:
     return float(0.6 * error + 0.4 * (1 - r))
 
 
-def nested(by_fold: dict[int, np.ndarray], columns: list[int] | None = None) -> tuple[float, dict[int, tuple[np.ndarray, float]]]:
-    """Mean composite over held-out folds of stacks fitted on the others, and each fold's weights; folds' sums are subtracted."""
-    total = sum(by_fold.values())
-    pick = [0, *[c + 1 for c in (columns if columns is not None else range(len(total) - 2))], len(total) - 1]
+def moments_of(gram: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Sums ``n, p, y, pp, py, yy`` of a linear prediction, from the sums of ``[1, x..., y]``."""
+    n, y = gram[0, 0], gram[-1]
+    return np.array([n, line @ gram[0], y[0], line @ gram @ line, line @ y, y[-1]])
+
+
+def composite_of_moments(m: np.ndarray) -> float:
+    """0.6 RMSE + 0.4 (1 - r) from the sums ``n, p, y, pp, py, yy``."""
+    n, p, y, pp, py, yy = m
+    vp, vy, c = pp / n - (p / n) ** 2, yy / n - (y / n) ** 2, py / n - p * y / n**2
+    # below this a variance is rounding
+    flat = min(vp / max(pp / n, 1e-300), vy / max(yy / n, 1e-300)) < 1e-12
+    r = 0.0 if flat else c / np.sqrt(vp * vy)
+    return float(0.6 * np.sqrt(max((pp - 2 * py + yy) / n, 0)) + 0.4 * (1 - r))
+
+
+def by_population(gram) -> dict:
+    return gram if isinstance(gram, dict) else {None: gram}
+
+
+def fitted_stack(train: dict) -> tuple[np.ndarray, float, float, dict]:
+    """(weights, intercept, slope, intercept of each population): non-negative weights over all rows, then one slope and an intercept a population.
+
+    ``train`` holds the sums of each population. Populations without rows get
+    the mean intercept of the others when the stack is applied.
+    """
+    coef, c = nnls(sum(train.values()))
+    line = np.concatenate(([c], coef, [0.0]))
+    sums = {q: moments_of(g, line) for q, g in train.items() if g[0, 0] > 0}
+    xy = sum(m[4] - m[1] * m[2] / m[0] for m in sums.values())
+    xx = sum(m[3] - m[1] * m[1] / m[0] for m in sums.values())
+    slope = float(xy / xx) if xx > 0 else 0.0
+    return coef, c, slope, {q: float((m[2] - slope * m[1]) / m[0]) for q, m in sums.items()}
+
+
+def nested(by_fold: dict, columns: list[int] | None = None, judged: dict | None = None) -> tuple[float, dict[int, tuple[np.ndarray, float]]]:
+    """Mean composite over held-out folds of stacks fitted on the others, and each fold's weights; folds' sums are subtracted.
+
+    ``by_fold`` holds the sums of each fold, or of each population of each fold:
+    then predictions are calibrated by population. Sums made with weights fit by
+    these weights; ``judged`` are sums to score by, where they differ.
+    """
+    parts = {f: by_population(g) for f, g in by_fold.items()}
+    held = {f: by_population(g) for f, g in (judged or by_fold).items()}
+    size = len(next(iter(next(iter(parts.values())).values())))
+    pick = [0, *[c + 1 for c in (columns if columns is not None else range(size - 2))], size - 1]
+    at = np.ix_(pick, pick)
     fits, scores = {}, []
-    for f, g in by_fold.items():
-        g = g[np.ix_(pick, pick)]
-        fits[f] = nnls(total[np.ix_(pick, pick)] - g)
-        scores.append(composite_of(g, *fits[f]))
+    for f in parts:
+        train: dict = {}
+        for other, groups in parts.items():
+            for q, g in groups.items():
+                if other != f:
+                    train[q] = train.get(q, 0) + g[at]
+        coef, c, slope, level = fitted_stack(train)
+        fits[f] = (coef, c)
+        if list(train) == [None]:  # no populations: the stack is not calibrated further
+            slope, level = 1.0, {None: 0.0}
+        mean = float(np.mean(list(level.values())))
+        lines = {q: np.concatenate(([slope * c + level.get(q, mean)], slope * coef, [0.0])) for q in held[f]}
+        scores.append(composite_of_moments(sum(moments_of(g[at], lines[q]) for q, g in held[f].items())))
     return float(np.mean(scores)), fits
 
 
-def pruned(by_fold: dict[int, np.ndarray], most: int = 15, tolerance: float = 1e-4) -> tuple[list[int], float]:
-    """Backward elimination: the model whose loss costs least goes while that costs at most the tolerance, or too many remain."""
-    keep = list(range(len(next(iter(by_fold.values()))) - 2))
-    best = nested(by_fold, keep)[0]
-    while len(keep) > 1:
-        score, out = min((nested(by_fold, [c for c in keep if c != j])[0], j) for j in keep)
-        if score > best + tolerance and len(keep) <= most:
+def removal_path(by_fold: dict, judged: dict | None = None) -> list[tuple[float, tuple[int, ...]]]:
+    """(score, models) from all models down to one, each without the model that is missed least."""
+    size = len(next(iter(by_population(next(iter(by_fold.values()))).values()))) - 2
+    path = [(nested(by_fold, list(range(size)), judged)[0], tuple(range(size)))]
+    while len(path[-1][1]) > 1:
+        kept = path[-1][1]
+        smaller = [tuple(c for c in kept if c != out) for out in kept]
+        scores = np.array([nested(by_fold, list(c), judged)[0] for c in smaller])
+        least = int(scores.argmin())
+        path.append((float(scores[least]), smaller[least]))
+    return path
+
+
+def pruned(by_fold: dict, most: int = 15, tolerance: float = 1e-4, judged: dict | None = None) -> tuple[list[int], float]:
+    """Backward elimination: as far along the removal path as each step costs at most the tolerance, and at least down to ``most`` models."""
+    path = removal_path(by_fold, judged)
+    best, at = path[0][0], 0
+    for step, (score, _) in enumerate(path[1:], 1):
+        if score > best + tolerance and len(path[at][1]) <= most:
             break
-        keep.remove(out)
-        best = min(best, score)
-    return keep, best
+        best, at = min(best, score), step
+    return list(path[at][1]), best
 
 
 def stacked(df: DataFrame, p: str, coef: np.ndarray, intercept: float, low: float, high: float, name: str = "pred") -> DataFrame:

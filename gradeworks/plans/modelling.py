@@ -44,27 +44,76 @@ def r1(spark, sf_dir):
     return spark.createDataFrame([(a, round(float(c[0]), 6)) for a, (c, _) in zip(alphas, path, strict=True)], "alpha double, coef double")
 
 
-@query("r1_ridge_path")
+# Two features have a closed form, so SQL can follow the folds, the inner folds and every alpha.
+
+SUMS = ("n", "s1", "s2", "sy", "s11", "s12", "s22", "s1y", "s2y", "syy")
+ADDED = ", ".join(f"sum({m}) AS {m}" for m in SUMS)
+LESS = ", ".join(f"t.{m} - p.{m} AS {m}" for m in SUMS)
+
+
+def moments_sql(x1: str, x2: str, y: str, w: str = "1.0") -> str:
+    """The sums of two features, the truth and their products."""
+    parts = ("1", x1, x2, y, f"{x1} * {x1}", f"{x1} * {x2}", f"{x2} * {x2}", f"{x1} * {y}", f"{x2} * {y}", f"{y} * {y}")
+    return ", ".join(f"sum(({w}) * ({part})) AS {name}" for name, part in zip(SUMS, parts, strict=True))
+
+
+#: Coefficients ``k1, k2`` and intercept ``b0`` of ridge with penalty ``a`` on features that are divided by ``d1, d2``, from the sums of a row.
+SOLVED = """SELECT *, sy / n - k1 * s1 / n - k2 * s2 / n AS b0 FROM (SELECT *, (c * u - b * v) / (p * c - b * b) / d1 AS k1, (p * v - b * u) / (p * c - b * b) / d2 AS k2
+ FROM (SELECT *, (s11 - s1 * s1 / n) / (d1 * d1) + a AS p, (s12 - s1 * s2 / n) / (d1 * d2) AS b, (s22 - s2 * s2 / n) / (d2 * d2) + a AS c, (s1y - s1 * sy / n) / d1 AS u, (s2y - s2 * sy / n) / d2 AS v FROM ({})))"""
+DEVIATIONS = "sqrt(greatest(s11 / n - (s1 / n) ** 2, 0)) + 1e-6 AS d1, sqrt(greatest(s22 / n - (s2 / n) ** 2, 0)) + 1e-6 AS d2"
+GRID = "(SELECT 10 ** (i / 2.0) AS a FROM range(0, 11) r(i))"
+X1, X2, Y = "l_quantity", "l_linenumber", "l_extendedprice / 1000"
+NOISE = [f"0.05 * {{u}}".replace("{u}", "(((((12345 * 7919 + l_orderkey * 104729 + 17) % 1000003) * 7919 + (l_linenumber + {i}) * 104729 + 17) % 1000003) / 1000003.0)".format(i=i)) for i in (0, 1)]
+
+
+def cv_sql(augmented: bool) -> str:
+    """Tables ``chosen`` (fold and alpha) and ``model`` (fold, k1, k2, b0) of cross-validated ridge."""
+    own = f"SELECT (l_orderkey % 5)::int AS fold, (l_suppkey % 3)::int AS part, {moments_sql(X1, X2, Y)} FROM lineitem GROUP BY 1, 2"
+    more = f" UNION ALL SELECT (l_orderkey % 5)::int, (l_suppkey % 3)::int, {moments_sql(f'({X1} + {NOISE[0]})', f'({X2} + {NOISE[1]})', Y)} FROM lineitem GROUP BY 1, 2" if augmented else ""
+    return f"""cells AS ({own}{more}), f AS (SELECT k::int AS f FROM range(0, 5) r(k)),
+    parts AS (SELECT f, part, {ADDED} FROM cells, f WHERE fold <> f GROUP BY 1, 2), total AS (SELECT f, {ADDED} FROM parts GROUP BY 1), dev AS (SELECT f, {DEVIATIONS} FROM total),
+    inner_fit AS ({SOLVED.format(f"SELECT t.f, p.part, {LESS}, d1, d2, a FROM total t JOIN parts p ON t.f = p.f JOIN dev ON dev.f = t.f, {GRID}")}),
+    loss AS (SELECT i.f, i.a, sum(p.syy - 2 * (k1 * p.s1y + k2 * p.s2y + b0 * p.sy) + k1 * k1 * p.s11 + 2 * k1 * k2 * p.s12 + k2 * k2 * p.s22 + 2 * b0 * (k1 * p.s1 + k2 * p.s2) + b0 * b0 * p.n) AS e
+      FROM inner_fit i JOIN parts p ON i.f = p.f AND i.part = p.part GROUP BY 1, 2),
+    chosen AS (SELECT f AS fold, a FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY e, a) AS r FROM loss) WHERE r = 1),
+    model AS ({SOLVED.format("SELECT t.*, d1, d2, a FROM total t JOIN dev ON dev.f = t.f JOIN chosen ON chosen.fold = t.f")})"""
+
+
+def oof_sql(augmented: bool) -> str:
+    return f"""WITH {cv_sql(augmented)}, o AS (SELECT f AS fold, {Y} AS y, b0 + k1 * {X1} + k2 * {X2} AS p FROM lineitem JOIN model ON l_orderkey % 5 = f),
+    m AS (SELECT fold, count(*) AS n, sqrt(avg((y - p) ** 2)) AS rmse, covar_pop(y, p) / sqrt(var_pop(y) * var_pop(p)) AS pearson FROM o GROUP BY 1)
+    SELECT fold, n, round(rmse, 4) AS rmse, round(pearson, 4) AS pearson, round(0.6 * rmse + 0.4 * (1 - pearson), 4) AS composite FROM m"""
+
+
+def two(spark, sf_dir):
+    return design(spark, sf_dir).withColumn("x", F.array(F.get("x", F.lit(0)), F.get("x", F.lit(3))))
+
+
+@query(
+    "r1_ridge_path",
+    f"WITH t AS (SELECT {moments_sql(X1, X2, Y, 'l_quantity')} FROM lineitem) SELECT round(a, 6) AS alpha, round(k1 * d1, 6) AS first, round(k2 * d2, 6) AS second, round(sy / n, 6) AS intercept FROM ({SOLVED.format(f'SELECT *, {DEVIATIONS} FROM t, {GRID}')})",
+)
 def r1p(spark, sf_dir):
-    gram = heads.scaled(sum(heads.grams(design(spark, sf_dir), "x", "y", "fold", "w").values()))[0]
-    return spark.createDataFrame([(a, [round(float(v), 6) for v in c], round(b, 6)) for a, (c, b) in zip(heads.ALPHAS, heads.ridge(gram, heads.ALPHAS), strict=True)], "alpha double, coef array<double>, intercept double")
+    gram = heads.scaled(sum(heads.grams(two(spark, sf_dir), "x", "y", "fold", "w").values()))[0]
+    path = zip(heads.ALPHAS, heads.ridge(gram, heads.ALPHAS), strict=True)
+    return spark.createDataFrame([(round(a, 6), *[round(float(v), 6) for v in c], round(b, 6)) for a, (c, b) in path], "alpha double, first double, second double, intercept double")
 
 
-@query("r2_inner_alpha")
+@query("r2_inner_alpha", f"WITH {cv_sql(False)} SELECT fold, round(a, 6) AS alpha FROM chosen")
 def r2(spark, sf_dir):
-    _, picked = heads.cv_ridge(design(spark, sf_dir), "l_orderkey", "x", "y", "fold", "inner", 5)
-    return spark.createDataFrame(sorted(picked.items()), "fold int, alpha double")
+    _, picked = heads.cv_ridge(two(spark, sf_dir), "l_orderkey", "x", "y", "fold", "inner", 5)
+    return spark.createDataFrame([(f, round(a, 6)) for f, a in sorted(picked.items())], "fold int, alpha double")
 
 
-@query("r3_grouped_cv_ridge")
+@query("r3_grouped_cv_ridge", oof_sql(False))
 def r3(spark, sf_dir):
-    oof, _ = heads.cv_ridge(design(spark, sf_dir), "l_orderkey", "x", "y", "fold", "inner", 5)
+    oof, _ = heads.cv_ridge(two(spark, sf_dir), "l_orderkey", "x", "y", "fold", "inner", 5)
     return metrics.report(oof, ["fold"], "y", "pred").select("fold", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "pearson", "composite")])
 
 
-@query("r3_augmented_cv_ridge")
+@query("r3_augmented_cv_ridge", oof_sql(True))
 def r3a(spark, sf_dir):
-    rows = design(spark, sf_dir)
+    rows = two(spark, sf_dir)
     noisy = rows.withColumn("x", F.transform("x", lambda v, i: v + 0.05 * S.hashed_unit(F.col("l_orderkey"), F.col("l_linenumber") + i)))
     oof, _ = heads.cv_ridge(rows, "l_orderkey", "x", "y", "fold", "inner", 5, augmented=noisy)
     return metrics.report(oof, ["fold"], "y", "pred").select("fold", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "pearson", "composite")])
@@ -72,9 +121,8 @@ def r3a(spark, sf_dir):
 
 @query("r4_kernel_ridge_cv")
 def r4(spark, sf_dir):
-    rows = design(spark, sf_dir).where("l_orderkey % 40 < 1").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    out = heads.kernel_ridge(rows, "id", "x", "y", "fold")
-    return out.join(rows.select("id", "y"), "id").agg(F.count("*").alias("n"), F.round(metrics.rmse(F.col("y"), F.col("pred")), 3).alias("rmse"))
+    out = heads.kernel_ridge(design(spark, sf_dir), "l_orderkey", "x", 4, "y", "fold", "inner", 5)
+    return metrics.report(out, ["fold"], "y", "pred").select("fold", "n", F.round("rmse", 3).alias("rmse"))
 
 
 @query("r4_boosted_trees_cv")
@@ -88,10 +136,17 @@ def model_grams(spark, sf_dir):
     return heads.grams(models(spark, sf_dir).withColumn("x", F.array("p1", "p2")), "x", "y", "fold")
 
 
-@query("k1_nnls")
+#: Two non-negative weights have a closed form: both, or the better one alone.
+NNLS = """SELECT *, sy / n - w1 * s1 / n - w2 * s2 / n AS b0 FROM (SELECT *, CASE WHEN e1 >= 0 AND e2 >= 0 THEN e1 WHEN g1 >= g2 THEN greatest(u / p, 0) ELSE 0 END AS w1, CASE WHEN e1 >= 0 AND e2 >= 0 THEN e2 WHEN g1 >= g2 THEN 0 ELSE greatest(v / c, 0) END AS w2
+ FROM (SELECT *, (c * u - b * v) / (p * c - b * b) AS e1, (p * v - b * u) / (p * c - b * b) AS e2, CASE WHEN u > 0 THEN u * u / p ELSE 0 END AS g1, CASE WHEN v > 0 THEN v * v / c ELSE 0 END AS g2
+ FROM (SELECT *, s11 - s1 * s1 / n AS p, s12 - s1 * s2 / n AS b, s22 - s2 * s2 / n AS c, s1y - s1 * sy / n AS u, s2y - s2 * sy / n AS v FROM ({}))))"""
+STACK = f"(SELECT {moments_sql('p1', 'p2', 'y')} FROM {MODELS})"
+
+
+@query("k1_nnls", f"WITH s AS ({NNLS.format('SELECT * FROM ' + STACK)}) SELECT 'p1' AS name, round(w1, 6) AS weight FROM s UNION ALL SELECT 'p2', round(w2, 6) FROM s UNION ALL SELECT 'intercept', round(b0, 6) FROM s")
 def k1(spark, sf_dir):
     coef, b = stacking.nnls(sum(model_grams(spark, sf_dir).values()))
-    return spark.createDataFrame([("p1", float(coef[0])), ("p2", float(coef[1])), ("intercept", b)], "name string, weight double")
+    return spark.createDataFrame([("p1", round(float(coef[0]), 6)), ("p2", round(float(coef[1]), 6)), ("intercept", round(b, 6))], "name string, weight double")
 
 
 CAL = f"""s AS (SELECT pop, count(*) AS n, sum(p1) AS x, sum(y) AS y, sum(p1 * p1) AS xx, sum(p1 * y) AS xy FROM {MODELS} GROUP BY 1), b AS (SELECT sum(xy - x * y / n) / sum(xx - x * x / n) AS b FROM s)"""
@@ -114,17 +169,32 @@ def k4(spark, sf_dir):
     return stacking.line(models(spark, sf_dir), "p2", "y").select(r6("a").alias("a"), r6("b").alias("b"))
 
 
-@query("k5_nested_stack")
+NESTED = f"""g AS (SELECT fold, {moments_sql('p1', 'p2', 'y')} FROM {MODELS} GROUP BY 1), t AS (SELECT f.fold, {', '.join(f'sum(o.{m}) AS {m}' for m in SUMS)} FROM g f JOIN g o ON o.fold <> f.fold GROUP BY 1),
+ w AS ({NNLS.format('SELECT * FROM t')}), q AS (SELECT m.fold, y, b0 + w1 * p1 + w2 * p2 AS p FROM {MODELS} m JOIN w ON m.fold = w.fold),
+ c AS (SELECT avg(score) AS composite FROM (SELECT fold, 0.6 * sqrt(avg((y - p) ** 2)) + 0.4 * (1 - CASE WHEN var_pop(p) > 1e-9 THEN covar_pop(y, p) / sqrt(var_pop(y) * var_pop(p)) ELSE 0 END) AS score FROM q GROUP BY 1))"""
+
+
+@query("k5_nested_stack", f"WITH {NESTED} SELECT fold, round(w1, 6) AS w1, round(w2, 6) AS w2, round(b0, 6) AS intercept, round(composite, 6) AS composite FROM w, c")
 def k5(spark, sf_dir):
     score, fits = stacking.nested(model_grams(spark, sf_dir))
-    return spark.createDataFrame([(f, [float(c) for c in w], b, score) for f, (w, b) in sorted(fits.items())], "fold int, weights array<double>, intercept double, composite double")
+    rows = [(f, *[round(float(c), 6) for c in w], round(b, 6), round(score, 6)) for f, (w, b) in sorted(fits.items())]
+    return spark.createDataFrame(rows, "fold int, w1 double, w2 double, intercept double, composite double")
 
 
-@query("k6_final_stack")
+@query("k5_population_stack")
+def k5p(spark, sf_dir):
+    """The nested stack with an intercept for each population, fitted with one set of row weights and judged with another."""
+    rows = models(spark, sf_dir).withColumns({"x": F.array("p1", "p2"), "cell": F.col("fold") * 4 + F.col("pop"), "w": F.when(F.col("pop") == 0, 2.0).otherwise(1.0)})
+    sums = [{f: {q: g for k, g in got.items() if k // 4 == f for q in [k % 4]} for f in range(5)} for got in (heads.grams(rows, "x", "y", "cell"), heads.grams(rows, "x", "y", "cell", "w"))]
+    score, fits = stacking.nested(sums[0], judged=sums[1])
+    return spark.createDataFrame([(f, round(b, 6), round(score, 6)) for f, (_, b) in sorted(fits.items())], "fold int, intercept double, composite double")
+
+
+@query("k6_final_stack", f"WITH s AS ({NNLS.format('SELECT * FROM ' + STACK)}) SELECT count(*) AS n, round(min(p), 4) AS low, round(max(p), 4) AS high, round(avg(p), 4) AS mean FROM (SELECT greatest(1.0, least(90.0, b0 + w1 * p1 + w2 * p2)) AS p FROM {MODELS}, s)")
 def k6(spark, sf_dir):
     coef, b = stacking.nnls(sum(model_grams(spark, sf_dir).values()))
     out = stacking.stacked(models(spark, sf_dir).withColumn("p", F.array("p1", "p2")), "p", coef, b, 1.0, 90.0)
-    return out.agg(F.count("*").alias("n"), F.round(F.min("pred"), 4).alias("low"), F.round(F.max("pred"), 4).alias("high"))
+    return out.agg(F.count("*").alias("n"), *[F.round(f("pred"), 4).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.avg, "mean"))])
 
 
 @query("k7_greedy_pruning")
@@ -194,11 +264,20 @@ def l5(spark, sf_dir):
     return spark.createDataFrame([(n, float(x)) for n, x in blending.identify(0.6 * errors + 0.4 * (1 - r), var_p)], "formula string, misfit double")
 
 
-@query("l6_split_simulation")
+DRAWN = "(((((12345 * 7919 + l_orderkey * 104729 + 17) % 1000003) * 7919 + draw * 104729 + 17) % 1000003) / 1000003.0) < 0.6"
+SCORED = lambda p: f"0.6 * sqrt(avg((y - {p}) ** 2)) + 0.4 * (1 - covar_pop(y, {p}) / sqrt(var_pop(y) * var_pop({p})))"
+
+
+@query(
+    "l6_split_simulation",
+    f"""WITH s AS (SELECT draw, {DRAWN} AS public, {SCORED('p1')} AS p1, {SCORED('p2')} AS p2 FROM {MODELS}, range(0, 50) r(draw) GROUP BY 1, 2),
+    t AS (SELECT a.draw, CASE WHEN a.p1 <= a.p2 THEN 'p1' ELSE 'p2' END AS pick, b.p1, b.p2 FROM s a JOIN s b USING (draw) WHERE a.public AND NOT b.public)
+    SELECT pick, count(*) AS draws, round(avg(least(p1, p2)), 4) AS best, round(avg(CASE WHEN pick = 'p1' THEN p1 ELSE p2 END), 4) AS got FROM t GROUP BY 1""",
+)
 def l6(spark, sf_dir):
     """Draws of a part of the rows to choose a model on, and the rest to judge it by."""
     draws = spark.range(50).select(F.col("id").alias("draw"))
-    rows = models(spark, sf_dir).where("l_orderkey % 20 = 0").crossJoin(F.broadcast(draws)).withColumn("public", S.hashed_unit(F.col("l_orderkey"), F.col("draw")) < 0.6)
+    rows = models(spark, sf_dir).crossJoin(F.broadcast(draws)).withColumn("public", S.hashed_unit(F.col("l_orderkey"), F.col("draw")) < 0.6)
     score = lambda p: metrics.composite(metrics.rmse(F.col("y"), F.col(p)), metrics.pearson(F.col("y"), F.col(p)))
     s = rows.groupBy("draw", "public").agg(score("p1").alias("p1"), score("p2").alias("p2"))
     both = s.where("public").select("draw", F.when(F.col("p1") <= F.col("p2"), "p1").otherwise("p2").alias("pick")).join(s.where("not public"), "draw")
@@ -212,11 +291,12 @@ UNIT = U.format(a="id", b="resample")
 DRAWS = "CASE " + " ".join(f"WHEN {UNIT} < {p} THEN {k}" for k, p in enumerate(resampling.POISSON)) + f" ELSE {len(resampling.POISSON)} END"
 WP = "((sum(w * y * {p}) / sum(w) - sum(w * y) / sum(w) * sum(w * {p}) / sum(w)) / sqrt((sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) ** 2) * (sum(w * {p} * {p}) / sum(w) - (sum(w * {p}) / sum(w)) ** 2)))"
 BOOT = lambda p: f"0.6 * sqrt(sum(w * (y - {p}) * (y - {p})) / sum(w)) + 0.4 * (1 - {WP.format(p=p)})"
-SAMPLES = f"(SELECT resample, {BOOT('p1')} AS p1, {BOOT('p2')} AS p2 FROM (SELECT *, {DRAWS} AS w FROM (SELECT l_orderkey * 10 + l_linenumber AS id, y, p1, p2 FROM {MODELS} WHERE l_orderkey % 20 = 0), range(0, 200) r(resample)) GROUP BY 1)"
+SAMPLED = lambda weight: f"(SELECT resample, {BOOT('p1')} AS p1, {BOOT('p2')} AS p2 FROM (SELECT *, {DRAWS} * {weight} AS w FROM (SELECT l_orderkey * 10 + l_linenumber AS id, y, p1, p2 FROM {MODELS}), range(0, 200) r(resample)) GROUP BY 1)"
+SAMPLES = SAMPLED("1")
 
 
 def resamples(spark, sf_dir, w=None):
-    rows = models(spark, sf_dir).where("l_orderkey % 20 = 0").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = models(spark, sf_dir).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return resampling.resampled(rows, "id", "y", ["p1", "p2"], 200, w)
 
 
@@ -225,7 +305,7 @@ def e5(spark, sf_dir):
     return resampling.interval(resamples(spark, sf_dir), "p1").select(*[r6(c).alias(c) for c in ("low", "mid", "high")])
 
 
-@query("e6_weighted_bootstrap")
+@query("e6_weighted_bootstrap", f"SELECT round(quantile_cont(p1, 0.025), 4) AS low, round(quantile_cont(p1, 0.5), 4) AS mid, round(quantile_cont(p1, 0.975), 4) AS high FROM {SAMPLED('p2')}")
 def e6(spark, sf_dir):
     return resampling.interval(resamples(spark, sf_dir, "p2"), "p1").select(*[F.round(c, 4).alias(c) for c in ("low", "mid", "high")])
 

@@ -67,11 +67,12 @@ def w10(spark, sf_dir):
 
 @query(
     "w11_segment_means",
-    "SELECT vec_id, floor((i - 1) * 4 / 64)::int AS segment, round(avg(embedding[i]::double), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2",
+    """WITH e AS (SELECT j::int AS segment, round_even(j * (64 / 5), 0)::int AS a, round_even((j + 1) * (64 / 5), 0)::int AS b FROM range(0, 5) r(j))
+    SELECT vec_id, segment, round(avg(embedding[i]::double), 6) AS mean FROM embeddings, e, range(1, 65) r(i) WHERE i > a AND i <= b GROUP BY 1, 2""",
 )
 def w11(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return sequences.segment_means(e, "vec_id", "v", 4).select("vec_id", "segment", r6("mean").alias("mean"))
+    return sequences.segment_means(e, "vec_id", "v", 5).select("vec_id", "segment", r6("mean").alias("mean"))
 
 
 @query("w12_centre_window", "SELECT vec_id, round(list_sum(list_transform(embedding[25:40], lambda x: x::double)), 6) AS total, round(embedding[25]::double, 6) AS first FROM embeddings")

@@ -57,7 +57,7 @@ def s3(spark, sf_dir):
 
 @query("s4_file_resolution", "SELECT 'nation.parquet' AS file")
 def s4(spark, sf_dir):
-    return spark.createDataFrame([(files.resolved(spark, sf_dir, "nation", ".parquet").rsplit("/", 1)[1],)], "file string")
+    return spark.createDataFrame([(files.resolved(spark, sf_dir, "sf", "nation", ".parquet").rsplit("/", 1)[1],)], "file string")
 
 
 @query(

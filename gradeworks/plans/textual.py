@@ -13,12 +13,13 @@ from gradeworks.sources.tables import table
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z'']+')"
 PARTS = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
-EN = f"(SELECT doc_id, text, n_chars / 15.0 AS sec, {TOKENS} AS t, {PARTS} AS parts FROM documents WHERE lang = 'en')"
+SPOKEN = f"(SELECT doc_id, text, lang, n_chars / 15.0 AS sec, {TOKENS} AS t, {PARTS} AS parts FROM documents)"
 
 
-def english(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select("doc_id", "text", (F.col("n_chars") / 15.0).alias("sec"), T.tokens(F.col("text")).alias("t"))
+def spoken(spark, sf_dir):
+    """Every text with its words and the seconds it would take, at fifteen characters a second."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "text", "lang", (F.col("n_chars") / 15.0).alias("sec"), T.tokens(F.col("text")).alias("t"))
 
 
 @query("t1_tokens", f"SELECT doc_id, len(t)::int AS n, len(list_distinct(t))::int AS kinds FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
@@ -46,18 +47,29 @@ def turns(spark, sf_dir):
     return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u")), ["conv_id", "turn"])
 
 
-@query("t4_word_levenshtein")
+TURN = f"(SELECT conv_id, turn, {TOKENS} AS t FROM conversations)"
+#: Row by row of the distance table: a row's cells are first the least of what comes from above, then the running least from the left.
+EDITS = """WITH RECURSIVE p AS (SELECT a.conv_id, a.turn, {a} AS t, {b} AS u FROM {turn} a JOIN {turn} b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1),
+dp AS (SELECT conv_id, turn, 0 AS i, t, u, range(0, len(u) + 1) AS r FROM p
+  UNION ALL SELECT conv_id, turn, i + 1, t, u, list_transform(range(1, len(u) + 2), lambda j: list_min(s[1:j]) + j)
+  FROM (SELECT conv_id, turn, i, t, u, list_transform(range(1, len(u) + 2), lambda j: CASE WHEN j = 1 THEN i + 1 ELSE least(r[j] + 1, r[j - 1] + (t[i + 1] <> u[j - 1])::int) END - j) AS s FROM dp WHERE i < len(t))),
+e AS (SELECT conv_id, turn, len(t) AS n, r[len(u) + 1] AS edits FROM dp WHERE i = len(t))"""
+PLAIN = EDITS.format(a="a.t", b="b.t", turn=TURN)
+FILLED = EDITS.format(a="CASE WHEN len(a.t) > 0 THEN a.t ELSE ['x'] END", b="CASE WHEN len(b.t) > 0 THEN b.t ELSE ['x'] END", turn=TURN)
+
+
+@query("t4_word_levenshtein", f"{PLAIN} SELECT conv_id, turn, edits::int AS edits FROM e")
 def t4(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", T.word_levenshtein("t", "u").alias("edits"))
+    return turns(spark, sf_dir).select("conv_id", "turn", T.word_levenshtein(F.col("t"), F.col("u")).alias("edits"))
 
 
-@query("t5_edit_rate")
+@query("t5_edit_rate", f"{PLAIN} SELECT conv_id, round(sum(edits) / greatest(sum(n), 1), 6) AS edit_rate FROM e GROUP BY 1")
 def t5(spark, sf_dir):
-    e = turns(spark, sf_dir).select("conv_id", T.word_levenshtein("t", "u").alias("edits"), F.size("t").alias("n"))
+    e = turns(spark, sf_dir).select("conv_id", T.word_levenshtein(F.col("t"), F.col("u")).alias("edits"), F.size("t").alias("n"))
     return e.groupBy("conv_id").agg(r6(F.sum("edits") / F.greatest(F.sum("n"), F.lit(1))).alias("edit_rate"))
 
 
-@query("t6_word_error_rate")
+@query("t6_word_error_rate", f"{FILLED} SELECT conv_id, turn, round(least(edits / n, 2.0), 6) AS wer FROM e")
 def t6(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", r6(T.word_error_rate(F.col("t"), F.col("u"))).alias("wer"))
 
@@ -91,9 +103,9 @@ RATES = {
 
 
 def rate_query(name: str, sql: str) -> None:
-    @query(f"t11_{name}", f"SELECT doc_id, round({sql}, 12) AS {name} FROM {EN}")
+    @query(f"t11_{name}", f"SELECT doc_id, round({sql}, 12) AS {name} FROM {SPOKEN}")
     def run(spark, sf_dir):
-        rows = english(spark, sf_dir)
+        rows = spoken(spark, sf_dir)
         # twelve digits: a share of a power of two would sit on a tie at six
         return rows.select("doc_id", F.round(T.text_rates(F.col("text"), F.col("sec"), F.col("t"))[name], 12).alias(name))
 
@@ -101,21 +113,23 @@ def rate_query(name: str, sql: str) -> None:
 for _name, _sql in RATES.items():
     rate_query(_name, _sql)
 
-query("w3_adjacent_repeats", f"SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = t[i + 1]))::int AS n FROM {EN}")(lambda s, d: english(s, d).select("doc_id", T.adjacent_repeats(F.col("t")).alias("n")))
-query("w4_bigrams", f"SELECT doc_id, len({PAIRS})::int AS n, len(list_distinct({PAIRS}))::int AS kinds FROM {EN}")(
-    lambda s, d: english(s, d).select("doc_id", T.bigrams(F.col("t")).alias("b")).select("doc_id", F.size("b").alias("n"), F.size(F.array_distinct("b")).alias("kinds"))
+query("w3_adjacent_repeats", f"SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = t[i + 1]))::int AS n FROM {SPOKEN}")(lambda s, d: spoken(s, d).select("doc_id", T.adjacent_repeats(F.col("t")).alias("n")))
+query("w4_bigrams", f"SELECT doc_id, len({PAIRS})::int AS n, len(list_distinct({PAIRS}))::int AS kinds FROM {SPOKEN}")(
+    lambda s, d: spoken(s, d).select("doc_id", T.bigrams(F.col("t")).alias("b")).select("doc_id", F.size("b").alias("n"), F.size(F.array_distinct("b")).alias("kinds"))
+)
+query("w5_mattr_by_language", f"SELECT lang, count(*) AS n, round(avg({RATES['mattr']}), 6) AS mattr FROM {SPOKEN} GROUP BY lang")(
+    lambda s, d: spoken(s, d).groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg(T.mattr(F.col("t")))).alias("mattr"))
 )
-query("w5_mattr_by_language", f"SELECT count(*) AS n, round(avg({RATES['mattr']}), 6) AS mattr FROM {EN}")(lambda s, d: english(s, d).agg(F.count("*").alias("n"), r6(F.avg(T.mattr(F.col("t")))).alias("mattr")))
 
 LOGITS = "[len(t) / 100.0, len(parts) / 10.0, sec / 60.0]"
 E = f"list_transform({LOGITS}, lambda x: exp(x - list_max({LOGITS})))"
 P = f"list_transform({E}, lambda x: x / list_sum({E}))"
 
 
-@query("m12_softmax_expectation", f"SELECT doc_id, round(p[1] + 2 * p[2] + 3 * p[3], 6) AS expected, round(-list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0.0 END)), 6) AS entropy FROM (SELECT doc_id, {P} AS p FROM {EN})")
+@query("m12_softmax_expectation", f"SELECT doc_id, round(p[1] + 2 * p[2] + 3 * p[3], 6) AS expected, round(-list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0.0 END)), 6) AS entropy FROM (SELECT doc_id, {P} AS p FROM {SPOKEN})")
 def m12(spark, sf_dir):
     logits = F.array(F.size("t") / 100.0, F.size(T.sentences(F.col("text"))) / 10.0, F.col("sec") / 60.0)
-    p = english(spark, sf_dir).select("doc_id", S.softmax_terms(logits).alias("p"))
+    p = spoken(spark, sf_dir).select("doc_id", S.softmax_terms(logits).alias("p"))
     return p.select("doc_id", r6(S.expected(F.col("p"))).alias("expected"), r6(S.entropy(F.col("p"))).alias("entropy"))
 
 
@@ -133,7 +147,7 @@ def tfidf_digest(weights):
 
 WORDS = f"list_concat(t, {PAIRS})"
 WB = "list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: ' ' || w || ' ')"
-RUNS = ", ".join(f"flatten(list_transform({WB}, lambda w: list_transform(range(1, greatest(length(w) - {n - 1}, 1) + 1), lambda i: substring(w, i, {n}))))" for n in (2, 3))
+RUNS = ", ".join(f"flatten(list_transform({WB}, lambda w: list_transform(range(1, greatest(length(w) - {n - 1}, 1) + 1), lambda i: substring(w, i, {n}))))" for n in (2, 3, 4, 5))
 
 
 @query("v9_tfidf_words", tfidf_sql(WORDS, 2))
@@ -141,9 +155,9 @@ def v9(spark, sf_dir):
     return tfidf_digest(features.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", features.word_terms(F.col("text"))))
 
 
-@query("v9_tfidf_characters", tfidf_sql(f"list_concat({RUNS})", 3, 5000))
+@query("v9_tfidf_characters", tfidf_sql(f"list_concat({RUNS})", 3, 60_000))
 def v9c(spark, sf_dir):
-    return tfidf_digest(features.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", features.character_terms(F.col("text"), 2, 3), 3, 5000))
+    return tfidf_digest(features.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", features.character_terms(F.col("text"), 2, 5), 3, 60_000))
 
 
 def word_weights(spark, sf_dir):
@@ -152,10 +166,10 @@ def word_weights(spark, sf_dir):
 
 @query("v10_truncated_svd")
 def v10(spark, sf_dir):
-    out = features.truncated_svd(word_weights(spark, sf_dir), "doc_id", 8, buckets=128)
+    out = features.truncated_svd(word_weights(spark, sf_dir), "doc_id", 8)
     return out.select("doc_id", F.size("vec").alias("k"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
 
 
 @query("v12_topics")
 def v12(spark, sf_dir):
-    return features.topics(features.truncated_svd(word_weights(spark, sf_dir), "doc_id", 8, buckets=128), "doc_id", 10)
+    return features.topics(features.truncated_svd(word_weights(spark, sf_dir), "doc_id", 8), "doc_id", 10)

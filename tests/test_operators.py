@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeworks.functions import metrics, scalars, text, vectors
-from gradeworks.operators import binning, blending, folds, heads, inference, relations, resampling, sequences, stacking
+from gradeworks.operators import binning, blending, features, folds, heads, inference, relations, resampling, sequences, stacking
 from gradeworks.sources import files
 
 
@@ -188,9 +188,82 @@ def test_text_functions(spark):
     got = df.select(text.tokens(F.col("t")).alias("w"), text.sentences(F.col("t")).alias("s"), text.chunks(text.tokens(F.col("t")), 4).alias("c")).collect()
     assert got[0].w == ["well", "i", "i", "don't", "know", "is", "that", "so", "yes"] and got[0].s == ["Well, I I don't know.", "Is that so?", "Yes!"]
     assert got[1].s == [] and got[1].c == [""] and got[2].s == ["no stop"] and got[0].c == ["well i i don't", "know is that so", "yes"]
-    assert text.word_distance("he go to school".split(), "he goes school".split()) == 2
     pair = spark.createDataFrame([(["he", "go", "to", "school"], ["he", "goes", "school"]), ([], ["a", "b", "c"])], "a array<string>, b array<string>")
     assert [r[0] for r in pair.select(text.word_error_rate(F.col("a"), F.col("b"))).collect()] == [0.5, 2.0]
+    assert [r[0] for r in pair.select(text.word_levenshtein(F.col("a"), F.col("b"))).collect()] == [2, 3]
+
+
+def test_word_distance_and_window_shares_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    lists = [[f"w{rng.integers(0, kinds)}" for _ in range(n)] for kinds, n in ((3, 0), (3, 10), (5, 24), (5, 25), (8, 26), (400, 300), (4, 120), (70000, 900))]
+
+    def edits(a, b):
+        table = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        table[:, 0], table[0] = range(len(a) + 1), range(len(b) + 1)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = min(table[i, j + 1] + 1, table[i + 1, j] + 1, table[i, j] + (a[i] != b[j]))
+        return int(table[-1, -1])
+
+    def share(t, window=25):
+        runs = [t[i : i + window] for i in range(len(t) - window + 1)] or [t]
+        return float(np.mean([len(set(r)) / max(len(r), 1) for r in runs])) if t else 0.0
+
+    pairs = [(a, b) for a in lists[:6] for b in lists[:7]] + [(lists[7], lists[7][::2])]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(text.word_levenshtein(F.col("a"), F.col("b"))).collect()] == [edits(a, b) for a, b in pairs]
+    one = spark.createDataFrame([(x,) for x in lists], "t array<string>")
+    assert np.allclose([r[0] for r in one.select(text.mattr(F.col("t"))).collect()], [share(t) for t in lists])
+
+
+def test_segment_means_round_edges_half_to_even(spark):
+    df = spark.createDataFrame([(7, [float(i) for i in range(7)]), (3, [10.0, 20.0, 30.0]), (0, [])], "id int, v array<double>")
+    got = {(r.id, r.segment): r["mean"] for r in sequences.segment_means(df, "id", "v", 4).collect()}
+    want = {}
+    for n, v in ((7, np.arange(7.0)), (3, np.array([10.0, 20.0, 30.0]))):
+        edges = np.linspace(0, n, 5).round().astype(int)
+        want |= {(n, j): float(v[a:b].mean() if b > a else v[min(a, n - 1)]) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))}
+    assert got == want and len(got) == 8
+
+
+def test_truncated_svd_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    a = rng.random((40, 25)) * (rng.random((40, 25)) < 0.3) + np.outer(np.arange(40) % 3, np.arange(25) % 2) * 0.8
+    rows = [(i, f"t{j}", float(a[i, j])) for i in range(40) for j in range(25) if a[i, j]]
+    got = {r.id: r.vec for r in features.truncated_svd(spark.createDataFrame(rows, "id int, term string, weight double"), "id", 3, rounds=12).collect()}
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    want = a @ vt[:3].T
+    mine = np.array([got[i] for i in range(40)])
+    assert np.allclose(np.abs(mine), np.abs(want), atol=1e-3) and np.allclose(np.linalg.norm(mine, axis=0), s[:3], atol=1e-3)
+
+
+def test_fourier_features_approach_the_kernel(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2)) * [3.0, 0.5] + [1.0, -2.0]
+    df = spark.createDataFrame([(i, v.tolist(), float(np.sin(v[0]) + v[1]), i % 5, i % 3) for i, v in enumerate(x)], "id int, x array<double>, y double, fold int, inner int")
+    phi = np.array([r.phi for r in heads.fourier_features(df, "x", 2, features=1024, gamma=0.2).orderBy("id").collect()])
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    kernel = np.exp(-0.2 * ((z[:, None] - z[None]) ** 2).sum(2))
+    assert np.abs(phi @ phi.T - kernel).max() < 0.15
+    out = heads.kernel_ridge(df, "id", "x", 2, "y", "fold", "inner", 5)
+    assert out.count() == 60 and out.where("pred is null").count() == 0
+
+
+def test_populations_have_intercepts_of_their_own_in_the_stack():
+    rng = np.random.default_rng(6)
+    n = 400
+    x, pop = rng.normal(size=(n, 2)), rng.integers(0, 3, n)
+    y = 0.7 * x[:, 0] + 0.2 * x[:, 1] + np.array([0.0, 1.0, -2.0])[pop]
+    z = np.column_stack([np.ones(n), x, y])
+    fold = np.arange(n) % 4
+    plain = {f: z[fold == f].T @ z[fold == f] for f in range(4)}
+    split = {f: {q: z[(fold == f) & (pop == q)].T @ z[(fold == f) & (pop == q)] for q in range(3)} for f in range(4)}
+    assert stacking.nested(split)[0] < 0.1 < stacking.nested(plain)[0]
+    heavy = {f: {q: g * (5.0 if q == 0 else 1.0) for q, g in groups.items()} for f, groups in split.items()}
+    assert stacking.nested(split, judged=heavy)[0] != stacking.nested(split)[0]
+    path = stacking.removal_path(plain)
+    assert [len(c) for _, c in path] == [2, 1] and path[1][1] == (0,)
+    assert stacking.pruned(plain, most=1)[0] == [0]
 
 
 def test_vectors(spark):
@@ -221,10 +294,14 @@ def test_sources(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "c.wav").write_bytes(b"x")
     (tmp_path / "deep" / "train.csv").write_text("a\n")
-    assert files.resolved(spark, str(tmp_path), "c").endswith("deep/c.wav")
+    for place in ("audios/train", "test"):
+        (tmp_path / place).mkdir(parents=True)
+        (tmp_path / place / "d.WAV").write_bytes(b"x")
+    assert files.resolved(spark, str(tmp_path), "deep", "c").endswith("deep/c.wav")
+    assert files.resolved(spark, str(tmp_path), "train", "d.WAV").endswith("audios/train/d.WAV")
     assert files.data_dir([str(tmp_path)]) == str(tmp_path / "deep")
     with pytest.raises(FileNotFoundError):
-        files.resolved(spark, str(tmp_path), "missing")
+        files.resolved(spark, str(tmp_path), "train", "c")
 
 
 def test_models_run_on_executors_in_batches(spark):
