@@ -1,35 +1,46 @@
 """Quality rules with adaptive thresholds (operator 5), in DataFrame functions only.
 
-Every document is measured once, within its own row. Quantile sketches (KLL) of
-the measures are built for each language and source, merged into one for each
-language and one for all, and give the fences beyond which a document is out:
-they replace fixed cutoffs. A (language, source) pair with few documents takes
-its language's fences, a language with few takes those of all. The measured rows
-are then filtered by a join with the fences.
-
-A fence lies a stated number of spreads beyond a quartile, the spread being the
-interquartile range or a least spread where that is larger, so a measure that
-hardly varies does not put clean documents out.
+Every document is measured once, within its own row. For each language and
+source the measures are counted in buckets whose edges grow by a constant factor:
+a quantile sketch of two per cent relative error. Sketches are merged by adding
+counts, so the same documents give the same sketch in whatever order and
+partitions they come. Quantiles of a pair, of its language and of all are taken
+from the merged sketches; a pair's own count for as much as it has documents, its
+language's for ``PRIOR`` documents more, and a language's likewise against those
+of all. So small groups lean smoothly on larger ones.
+
+A fence lies ``SPREADS`` times the distance from the median to an outer quantile
+(rank 0.9, or 0.1 below) beyond that quantile: where a group's documents hardly
+vary the fence is near them. There are no fixed cutoffs. What a share counts must
+exceed the fence by a few occurrences (``SLACK``), as one symbol or one repeated
+line says nothing. The measured rows are then filtered by a join with the fences.
 
 Defined results: a null or blank text has no words and fails the base rules; a
 null language or source is a group of its own; repeated rows are measured each
-for themselves; an empty table gives no rows; further columns are left alone.
+for themselves; a very long text is one row's work, linear in its length but for
+the sort of its repeated windows; a value on a fence is inside; an empty table
+gives no rows; further columns are left alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeworks.llm.common import WORD, written
 
 #: White space that parts words, and symbol characters.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Documents that a group needs for fences of its own, and the sketches' size.
-LEAST_GROUP, SKETCH_K = 200, 200
-#: Spreads beyond the quartile. A measure's least spread, and whether low values are out as well.
-SPREADS = 4.0
-MEASURES = {"symbol_share": (0.01, False), "dup_line_share": (0.1, False), "repeat_share": (0.05, False), "mean_word_chars": (0.5, True)}
+#: Relative error of the sketches, and the factor between a bucket's edges that gives it.
+ERROR = 0.02
+GROWTH = math.log((1 + ERROR) / (1 - ERROR))
+#: Documents that a larger group's quantiles count for, spreads beyond the outer quantiles, and their ranks.
+PRIOR, SPREADS, RANKS = 100, 4.0, (0.1, 0.5, 0.9)
+#: Shares: what is counted, of what, and the occurrences by which it must exceed the fence.
+SHARES = {"symbol_share": ("n_symbols", "word_chars", 5), "dup_line_share": ("n_dup_lines", "n_lines", 5), "repeat_share": ("n_repeat_words", "n_words", 30)}
+MEASURES = (*SHARES, "mean_word_chars")
 
 
 def words(text: Column) -> Column:
@@ -71,35 +82,41 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "sourc
 
 def with_shares(rows: DataFrame) -> DataFrame:
     one = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
-    return rows.withColumns(
-        {
-            "symbol_share": F.col("n_symbols") / one("word_chars"),
-            "dup_line_share": F.col("n_dup_lines") / one("n_lines"),
-            "repeat_share": F.col("n_repeat_words") / one("n_words"),
-            "mean_word_chars": F.col("word_chars") / one("n_words"),
-        }
-    )
+    return rows.withColumns({**{name: F.col(count) / one(of) for name, (count, of, _) in SHARES.items()}, "mean_word_chars": F.col("word_chars") / one("n_words")})
+
+
+def sketched(rows: DataFrame) -> DataFrame:
+    """``lang, source, m, b, n``: documents of each pair in each bucket of each measure; zero has the least bucket. Counts combine before the shuffle."""
+    bucket = lambda m: F.when(F.col(m) > 0, F.ceil(F.log(F.col(m)) / GROWTH).cast("int")).otherwise(F.lit(-(1 << 31)).cast("int"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), bucket(m).alias("b")) for i, m in enumerate(MEASURES)])).alias("x")
+    return rows.select("lang", "source", each).groupBy("lang", "source", "x.m", "x.b").agg(F.count("*").alias("n"))
 
 
-def fences(rows: DataFrame, least_group: int = LEAST_GROUP, spreads: float = SPREADS) -> DataFrame:
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, docs`` and an array of the values at ``RANKS`` for each measure, from sketches merged by ``keys``. A window has a group's buckets, whatever its documents."""
+    merged = sketch.groupBy(*keys, "m", "b").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "m")
+    cum = merged.withColumns({"below": F.sum("n").over(group.orderBy("b")), "docs": F.sum("n").over(group)})
+    # the value that is off by the same factor from either edge of its bucket
+    value = lambda b: F.when(b == -(1 << 31), 0.0).otherwise(F.exp(b * GROWTH) * (1 - ERROR))
+    at = lambda i, r: value(F.min(F.when((F.col("m") == i) & (F.col("below") >= F.col("docs") * r), F.col("b"))))
+    return cum.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.array(*[at(i, r) for r in RANKS]).alias(m) for i, m in enumerate(MEASURES)])
+
+
+def fences(rows: DataFrame, prior: int = PRIOR, spreads: float = SPREADS) -> DataFrame:
     """``lang, source, low_*, high_*`` of each (language, source) pair, from merged sketches."""
-    sketches = written(
-        rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MEASURES]),
-        "sketches",
-    )
-    merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in MEASURES]]
-    by_lang, of_all = sketches.groupBy("lang").agg(*merge), sketches.agg(*merge)
-    by_lang = by_lang.select(F.col("lang").alias("__lang"), *[F.col(c).alias(f"l_{c}") for c in ("n", *MEASURES)])
-    of_all = of_all.select(*[F.col(c).alias(f"a_{c}") for c in ("n", *MEASURES)])
-    # the sketches of all are one row
-    rows = sketches.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang"))).join(F.broadcast(of_all), F.lit(True))
+    sketch = written(sketched(rows), "sketches")
+    own, by_lang, of_all = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch.withColumn("all", F.lit(0)), ["all"])
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+    # the sketches of all are one row, and a language has one
+    table = own.join(named(by_lang, "l"), F.col("lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(named(of_all, "a")), F.lit(True))
+    lean = lambda near, docs, far: F.zip_with(near, far, lambda x, y: (x * docs + y * prior) / (docs + prior))
     out = [F.col("lang"), F.col("source")]
-    for m, (least, both) in MEASURES.items():
-        own = F.when(F.col("n") >= least_group, F.col(m)).when(F.col("l_n") >= least_group, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
-        q = lambda r, own=own: F.kll_sketch_get_quantile_double(own, F.lit(r))
-        spread = F.greatest(q(0.75) - q(0.25), F.lit(least)) * spreads
-        out += [(q(0.75) + spread).alias(f"high_{m}"), (q(0.25) - spread if both else F.lit(float("-inf"))).alias(f"low_{m}")]
-    return rows.select(*out)
+    for m in MEASURES:
+        q = lean(F.col(m), F.col("docs"), lean(F.col(f"l_{m}"), F.col("l_docs"), F.col(f"a_{m}")))
+        low, mid, high = (F.get(q, F.lit(i)) for i in range(3))
+        out += [(low - spreads * (mid - low)).alias(f"low_{m}"), (high + spreads * (high - mid)).alias(f"high_{m}")]
+    return table.select(*out)
 
 
 def judged(docs: DataFrame, least_words: int = 50, most_repeat_percent: int = 50) -> DataFrame:
@@ -109,7 +126,7 @@ def judged(docs: DataFrame, least_words: int = 50, most_repeat_percent: int = 50
     shares = with_shares(rows).withColumn("base_failed", failed)
     table = written(fences(shares.where("not base_failed")), "fences").withColumnsRenamed({"lang": "__lang", "source": "__source"})
     at = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    within = F.lit(True)
-    for m in MEASURES:
-        within &= F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+    within = F.col("mean_word_chars").between(F.col("low_mean_word_chars"), F.col("high_mean_word_chars"))
+    for m, (count, of, slack) in SHARES.items():
+        within &= F.col(count) <= F.col(f"high_{m}") * F.col(of) + slack
     return shares.join(table, at, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
