@@ -17,7 +17,9 @@ matches. The regular expressions start only where a run of their first
 characters starts (or where the last match ended) and use possessive repeats,
 which finds the same matches in time linear in the text and without recursion.
 
-Defined results: a null or empty text has no spans; null and repeated ids are
+Defined results: a null or empty text has no spans; a very long text is one row's
+work, in time that grows like sorting its tokens; of patterns that are equally
+sure of an identifier the kind that is listed first wins; null and repeated ids are
 kept as they come, each row for itself; an empty table gives no rows; further
 columns are left alone.
 """
@@ -41,8 +43,8 @@ PATTERNS = (
 #: Tokens that may be unseen identifiers.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 BYTE_PART = r"^0*+(?:[0-9]?|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
-#: Code points of context that are looked at on either side, rounds of scoring, and what makes a pattern count.
-CONTEXT, ROUNDS, LEAST_CONFIDENCE, LEAST_SUPPORT = 40, 3, 0.9, 5
+#: Rounds of scoring, and what makes a pattern count.
+ROUNDS, LEAST_CONFIDENCE, LEAST_SUPPORT = 3, 0.9, 5
 
 
 def luhn(digits: Column) -> Column:
@@ -75,14 +77,13 @@ def matches(texts: DataFrame) -> DataFrame:
         F.struct(F.lit(k).alias("kind"), F.split("text", p, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hits")) for k, p in enumerate((*PATTERNS, CANDIDATE))
     ]
     kinds = texts.select("uid", F.explode(F.array(*each)).alias("m")).where(F.size("m.hits") > 0)
-    beside = lambda c: F.lower(c)
+    first_word = lambda c: F.lower(F.regexp_extract(c, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
     rows = kinds.select("uid", "m.kind", F.posexplode(F.arrays_zip(F.col("m.pieces").alias("piece"), F.col("m.hits").alias("hit"), F.expr("slice(m.pieces, 2, size(m.pieces))").alias("next")))).where(
         "col.hit is not null"
     )
     rows = rows.select(
         "uid", "kind", "pos", F.length("col.piece").cast("long").alias("gap"), F.length("col.hit").cast("long").alias("n"), F.col("col.hit").alias("hit"),
-        F.regexp_extract(beside(F.substring(F.col("col.piece"), -CONTEXT, CONTEXT)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1).alias("left"),
-        F.regexp_extract(beside(F.substring(F.col("col.next"), 1, CONTEXT)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1).alias("right"),
+        F.reverse(first_word(F.reverse("col.piece"))).alias("left"), first_word(F.col("col.next")).alias("right"),
     )
     before = Window.partitionBy("uid", "kind").orderBy("pos")
     start = F.sum(F.col("gap") + F.col("n")).over(before) - F.col("n")
@@ -92,10 +93,12 @@ def matches(texts: DataFrame) -> DataFrame:
 
 def apart(found: DataFrame) -> DataFrame:
     """The base matches, and those candidates that overlap none of them."""
-    along = Window.partitionBy("uid").orderBy("start", "kind")
+    along = Window.partitionBy("uid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    # what comes later is what came before in the other direction: a running minimum, where a frame to the end would be made anew for each row
+    back = Window.partitionBy("uid").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     base = F.col("kind") < 4
-    reached = F.max(F.when(base, F.col("end"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    coming = F.min(F.when(base, F.col("start"))).over(along.rowsBetween(1, Window.unboundedFollowing))
+    reached = F.max(F.when(base, F.col("end"))).over(along)
+    coming = F.min(F.when(base, F.col("start"))).over(back)
     free = ~F.coalesce(reached > F.col("start"), F.lit(False)) & ~F.coalesce(coming < F.col("end"), F.lit(False))
     return found.withColumn("free", base | free).where("free").drop("free")
 
