@@ -2,10 +2,13 @@
 
 Records hash into thousands of slots that never change. Bytes are summed for
 each slot, and a versioned table says which shard holds which slot. Moving a
-slot is an edit of that table: no record is hashed anew.
+slot is an edit of that table, saved as its next version: no record is hashed
+anew. With ``map_path`` the latest version there is loaded; it is kept as long as
+it suits the sizes and the number of shards, and else edited.
 
 Defined results: a null text has no bytes and counts 8; null ids hash like any
-other value; repeated rows share a slot; an empty table gives an empty map of
+other value; repeated rows share a slot, and of equal rows it is open which comes
+first; the length of a text does not matter; an empty table gives an empty map of
 zero bytes; further columns are left alone.
 """
 
@@ -20,6 +23,8 @@ from gradeworks.llm.common import fresh, written
 from gradeworks.sources.scratch import new_path
 
 SLOTS = 8192
+#: How far the fullest shard may be above the mean before a stored map is edited.
+SLACK = 0.05
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long, first long"
 
 
@@ -52,7 +57,7 @@ def first_map(sizes: list[tuple[int, int, int]], shards: int, slots: int = SLOTS
 def rebalanced(shard_of: dict[int, int], sizes: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
     """The next version of a map: moves few slots until sizes are near equal over ``shards`` shards.
 
-    Slots of shards that are gone move first; then, while it narrows the gap,
+    Slots of shards that are gone, and slots without a shard, move first; then, while it narrows the gap,
     the best fitting slot of the fullest shard goes to the emptiest.
     """
     bytes_of = {slot: size for slot, size, _ in sizes}
@@ -60,6 +65,7 @@ def rebalanced(shard_of: dict[int, int], sizes: list[tuple[int, int, int]], shar
     load = [0] * shards
     held: list[set[int]] = [set() for _ in range(shards)]
     homeless = []
+    after |= {slot: shards for slot, _, _ in sizes if slot not in after}
     for slot, s in sorted(after.items()):
         if s < shards:
             load[s] += bytes_of.get(slot, 0)
@@ -85,11 +91,45 @@ def rebalanced(shard_of: dict[int, int], sizes: list[tuple[int, int, int]], shar
         after[slot] = free
 
 
-def map_table(spark, shard_of: dict[int, int], sizes: list[tuple[int, int, int]], version: int = 1) -> DataFrame:
-    """The map as a table, written to the shared folder under its version.
+def versions(spark, map_path: str) -> list[int]:
+    """The versions of a map that were written completely, oldest first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(map_path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    whole = [f.getPath() for f in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in whole if p.getName().startswith("version="))
 
-    ``first`` is the place, within its shard, of a slot's first record.
-    """
+
+def loaded(spark, map_path: str, version: int) -> dict[int, int]:
+    """Which shard holds which slot, in a stored version: a row for each slot."""
+    rows = spark.read.schema(MAP_SCHEMA).parquet(f"{map_path.rstrip('/')}/version={version}").select("slot", "shard").collect()
+    return {r.slot: r.shard for r in rows}
+
+
+def fits(shard_of: dict[int, int], sizes: list[tuple[int, int, int]], shards: int) -> bool:
+    """Whether a map holds every used slot in the shards there are, none of them much above the mean."""
+    if max(shard_of.values(), default=-1) != shards - 1 or any(slot not in shard_of for slot, _, _ in sizes):
+        return False
+    load = [0] * shards
+    for slot, size, _ in sizes:
+        load[shard_of[slot]] += size
+    return max(load) <= (1 + SLACK) * sum(load) / shards
+
+
+def current_map(spark, sizes: list[tuple[int, int, int]], shards: int, slots: int, map_path: str | None) -> DataFrame:
+    """The map to use: the stored one, its edited next version, or a first one."""
+    known = versions(spark, map_path) if map_path else []
+    if not known:
+        return map_table(spark, first_map(sizes, shards, slots), sizes, 1, map_path)
+    before = loaded(spark, map_path, known[-1])
+    if fits(before, sizes, shards):
+        return placed(spark, before, sizes, known[-1])
+    return map_table(spark, rebalanced(before, sizes, shards), sizes, known[-1] + 1, map_path)
+
+
+def placed(spark, shard_of: dict[int, int], sizes: list[tuple[int, int, int]], version: int) -> DataFrame:
+    """The rows of a map: a slot's shard, its bytes and rows, and ``first``, the place of its first record within the shard."""
     known = {slot: (b, n) for slot, b, n in sizes}
     at: dict[int, int] = {}
     rows = []
@@ -97,12 +137,18 @@ def map_table(spark, shard_of: dict[int, int], sizes: list[tuple[int, int, int]]
         b, n = known.get(slot, (0, 0))
         rows.append((version, slot, shard, b, n, at.get(shard, 0)))
         at[shard] = at.get(shard, 0) + n
-    path = f"{new_path(spark, 'slot-map')}/version={version}"
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(path)
+    return spark.createDataFrame(rows, MAP_SCHEMA)
+
+
+def map_table(spark, shard_of: dict[int, int], sizes: list[tuple[int, int, int]], version: int = 1, map_path: str | None = None) -> DataFrame:
+    """The map as a table, written under its version, in the shared folder where no path is given. A version is never overwritten.
+    """
+    path = f"{(map_path or new_path(spark, 'slot-map')).rstrip('/')}/version={version}"
+    placed(spark, shard_of, sizes, version).coalesce(1).write.parquet(path)
     return spark.read.schema(MAP_SCHEMA).parquet(path)
 
 
-def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per record: ids, sizes, checksum, virtual slot, shard and place within the shard.
 
     The text is read once. A place is the record's rank within its slot plus
@@ -117,7 +163,7 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
         "sized",
     )
     sizes = slot_sizes(sized)
-    plan = map_table(spark, first_map(sizes, shards, slots), sizes)
+    plan = current_map(spark, sizes, shards, slots, map_path)
     within = Window.partitionBy("v").orderBy("doc_id", "text_crc32", "size")
     ranked = sized.withColumn("k", F.row_number().over(within))
     return ranked.join(F.broadcast(plan.select(F.col("slot").alias("v"), "shard", "first", "version")), "v").select(
@@ -125,11 +171,11 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def with_shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
+def with_shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """The records with all their columns, ``virtual_slot`` and ``shard`` (which replace columns of those names); texts are not shuffled."""
     slot, shard = fresh(docs, "own_slot", "own_shard")
     v = virtual_slot(F.col("doc_id"), F.col("text"), slots)
     sizes = slot_sizes(docs.select(record_size(F.col("text")).alias("size"), v.alias("v")))
-    plan = map_table(docs.sparkSession, first_map(sizes, shards, slots), sizes).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    plan = current_map(docs.sparkSession, sizes, shards, slots, map_path).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
     kept = [F.col(c) for c in docs.columns if c.lower() not in ("shard", "virtual_slot")]
     return docs.withColumn(slot, v).join(F.broadcast(plan), slot).select(*kept, F.col(slot).alias("virtual_slot"), F.col(shard).alias("shard"))
