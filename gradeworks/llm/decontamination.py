@@ -11,7 +11,9 @@ Texts and items are compared in lower case with single spaces. The benchmark
 is a stated query set: it is taken in blocks of bounded size, each matched
 against all documents without a shuffle.
 
-Defined results: null or blank texts match nothing, null or blank items are
+Defined results: a very long text is one row's work, linear in its length but for
+the stretches around hits; of stretches the least distance counts; null or blank
+texts match nothing, null or blank items are
 skipped, equal items are all reported, ids may be null (a null item id is not
 listed but still counts) or repeat, an empty table gives no rows, an empty
 benchmark leaves all documents clean; further columns are left alone.
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.llm.common import fresh
+
 #: Edits allowed for each character of an item.
 BUDGET = 0.1
 #: Characters of benchmark text that one pass holds.
@@ -149,16 +153,18 @@ class Matcher:
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     """The benchmark's items in blocks of about bounded size, by a hash of their text."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    rows = benchmark.select(F.col("item_id"), F.col("text").alias("text")).where("text is not null")
     n = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
     for i in range(n):
         got = rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == i).collect()
-        yield sorted(((r.item_id, normal(r.text)) for r in got), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield sorted(((r.item_id, normal(r.text)) for r in got), key=lambda x: ((1,) if x[0] is None else (0, x[0])) + (x[1],))
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """All columns of the documents, and ``__items`` (ids of the items found) and ``__distances``, names that the documents must not have."""
-    out = docs.withColumns({"__items": F.array().cast("array<long>"), "__distances": F.array().cast("array<int>")})
+    """All columns of the documents, and ``__items`` (ids of the items found) and ``__distances``; where the documents have such columns, more underscores stand before these names."""
+    kind = dict(benchmark.dtypes)["item_id"]
+    names = fresh(docs, "__items", "__distances")
+    out = docs.withColumns({names[0]: F.array().cast(f"array<{kind}>"), names[1]: F.array().cast("array<int>")})
     for items in benchmark_blocks(benchmark, block_chars):
         matcher: list[Matcher] = []
 
@@ -170,7 +176,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block
                 before = (b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())
                 ids = [old + [x[0] for x in new] for old, new in zip(before[0], got, strict=True)]
                 ds = [old + [x[1] for x in new] for old, new in zip(before[1], got, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(ds, pa.list_(pa.int32()))], schema=b.schema)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ids, b.schema.types[-2]), pa.array(ds, b.schema.types[-1])], schema=b.schema)
 
         out = out.mapInArrow(work, out.schema)
     return out

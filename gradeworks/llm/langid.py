@@ -13,7 +13,9 @@ are read, in blocks of bounded size.
 
 Defined results: null texts and texts without letters are ``und`` with score 0
 and are rejected; without any labelled row every text is ``und``; null
-languages are never learned from; ids may repeat or be null (a null id is not
+languages are never learned from; of languages that score alike the first by
+name wins; a very long text is read in blocks; ids may be of any type, repeat,
+or be null (a null id is not
 held out and not learned from); further columns are left alone.
 """
 
@@ -114,7 +116,7 @@ class Model:
 
 
 def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 4.0, seed: int = 1) -> Model:
-    """Train on (language, buckets, shares); every fifth row only calibrates."""
+    """Train on (language, buckets, shares); every fifth row only calibrates. With fewer than 50 rows all do both, as a tenth of so few would say nothing."""
     rows = [r for r in rows if len(r[1])]
     languages = sorted({r[0] for r in rows})
     if not rows:
@@ -181,11 +183,11 @@ def trained(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
         for b in batches:
             got = [counted(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("lang"), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in got], pa.list_(pa.float32()))],
+                [b.column("doc_id"), b.column("lang"), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in got], pa.list_(pa.float32()))],
                 names=["doc_id", "lang", "ids", "share"],
             )
 
-    got = picked.mapInArrow(shares, "doc_id long, lang string, ids array<int>, share array<float>").toArrow()
+    got = picked.mapInArrow(shares, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, ids array<int>, share array<float>").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "lang", "ids", "share")), strict=True), key=lambda r: (r[0], r[1]))
     return fitted([(lang, np.asarray(ids, dtype=np.int64), np.asarray(s, dtype=np.float64)) for _, lang, ids, s in rows])
 
