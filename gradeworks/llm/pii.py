@@ -6,8 +6,9 @@ seeds: the words next to a seed are its lexical patterns. Patterns and instances
 which is summed once over all documents. Rounds then score it: a pattern's
 confidence for a kind is the share of its occurrences whose instance is believed
 to be of that kind, an unseen instance is believed as far as its best accepted
-pattern. Patterns that end with high confidence and enough distinct support
-mark the unseen identifiers beside them.
+pattern. Identifiers that nobody knows count against a pattern, so one that stands
+beside many other things is not accepted. Patterns that end with enough confidence
+and distinct support mark the unseen identifiers beside them.
 
 Texts without a digit or an at sign hold no entity of any kind and are passed
 by. Matches of
@@ -44,7 +45,7 @@ PATTERNS = (
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 BYTE_PART = r"^0*+(?:[0-9]?|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 #: Rounds of scoring, and what makes a pattern count.
-ROUNDS, LEAST_CONFIDENCE, LEAST_SUPPORT = 3, 0.9, 5
+ROUNDS, LEAST_CONFIDENCE, LEAST_SUPPORT = 3, 0.6, 5
 
 
 def luhn(digits: Column) -> Column:
