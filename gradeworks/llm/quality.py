@@ -2,7 +2,7 @@
 
 Every document is measured once, within its own row. For each language and
 source the measures are counted in buckets whose edges grow by a constant factor:
-a quantile sketch of two per cent relative error. Sketches are merged by adding
+a quantile sketch of half a per cent relative error. Sketches are merged by adding
 counts, so the same documents give the same sketch in whatever order and
 partitions they come. Quantiles of a pair, of its language and of all are taken
 from the merged sketches; a pair's own count for as much as it has documents, its
@@ -34,7 +34,7 @@ from gradeworks.llm.common import WORD, written
 #: White space that parts words, and symbol characters.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Relative error of the sketches, and the factor between a bucket's edges that gives it.
-ERROR = 0.02
+ERROR = 0.005
 GROWTH = math.log((1 + ERROR) / (1 - ERROR))
 #: Documents that a larger group's quantiles count for, spreads beyond the outer quantiles, and their ranks.
 PRIOR, SPREADS, RANKS = 100, 4.0, (0.1, 0.5, 0.9)
@@ -115,7 +115,9 @@ def fences(rows: DataFrame, prior: int = PRIOR, spreads: float = SPREADS) -> Dat
     for m in MEASURES:
         q = lean(F.col(m), F.col("docs"), lean(F.col(f"l_{m}"), F.col("l_docs"), F.col(f"a_{m}")))
         low, mid, high = (F.get(q, F.lit(i)) for i in range(3))
-        out += [(low - spreads * (mid - low)).alias(f"low_{m}"), (high + spreads * (high - mid)).alias(f"high_{m}")]
+        # nearer values than its buckets are wide a sketch cannot tell apart
+        far = lambda d, at: F.greatest(d, at * (2 * ERROR)) * spreads
+        out += [(low - far(mid - low, low)).alias(f"low_{m}"), (high + far(high - mid, high)).alias(f"high_{m}")]
     return table.select(*out)
 
 
