@@ -55,7 +55,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, spans = F.coalesce("base", none), F.coalesce("spans", none)
     kinds = F.transform(base, lambda s: s["kind"])
     n = [F.size(F.array_remove(F.transform(kinds, lambda x: x == F.lit(k)), F.lit(False))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]  # noqa: B023
-    return out.select("doc_id", *n, F.sha2(pii.written_out(base), 256).alias("base_sha256"), pii.written_out(spans).alias("spans"))
+    return out.select("doc_id", *n, F.sha2(pii.written_out(base), 256).alias("base_sha256"), pii.written_out(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,19 @@ replication at depth d is near 1.68 ** d, and a fingerprint meets about
 n ** 0.75 others. That is the price of the method; the depth only grows with the
 number of distinct fingerprints, to keep a shard in memory.
 
+Near copies by a word-shingle similarity (``similar_groups``) lie further apart: at
+a Jaccard similarity of 0.8 of five-word shingles, fingerprints differ in 10 +- 3
+bits, a bound at which the triangle inequality prunes nothing (13 bits either way
+of 32 +- 4). Those candidates come from 36 bands of seven MinHashes instead, which
+meet a pair at 0.8 with probability 0.9998 and more above. Of them stay
+those whose fingerprints are within ``REACH`` bits, whose sizes allow the
+similarity, and whose MinHashes differ in the lowest bit no oftener than
+``UNLIKE`` times (at 0.8 that is 25 +- 5 of 252); the exact similarity of the
+whole texts decides. How a bucket is searched without comparing all its
+pairs is told in ``common.same_group``.
+
 Defined results: null, empty and blank texts have fingerprint zero, linked like
-any other; equal rows have equal fingerprints and so one component; a
+any other (by similarity they are one group, the empty set); equal rows have equal fingerprints and so one component; a
 component's id is the least id in it that is not null (null if there is none);
 an empty table gives no rows; further columns are left alone.
 """
@@ -33,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import components, fresh, written
+from gradeworks.llm.common import components, dropped, fresh, hamming, same_group, written
 
 SHINGLE = 4
 SEED = 42
@@ -45,6 +56,13 @@ LEAST_DEPTH = 5
 TREE_SAMPLE = 4096
 LEAF = 256
 BLOCK = 1 << 16
+#: Near copies by similarity: words of a shingle, least Jaccard similarity, bands and MinHashes of a band, bits that fingerprints may differ in, and lowest bits of MinHashes.
+NEAR_SHINGLE, SIMILARITY, BANDS, ROWS, REACH, UNLIKE = 5, 0.8, 36, 7, 20, 42
+MINHASH_BLOCK = 1 << 10
+_RNG = np.random.default_rng(20)
+#: Odd factors and offsets of the MinHashes.
+FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+OFFSETS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -208,15 +226,127 @@ def grouped(docs: DataFrame, bits: int = BITS, **shape) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", "th", "fp", "component", "component_id")
 
 
-def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents with their own columns, one of each component: that with the least id.
+def shingles(text: str | None, size: int = NEAR_SHINGLE) -> set[bytes]:
+    """The distinct shingles of a whole text; a shorter text is one shingle, one without words has none."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar(a: str | None, b: str | None, least: float = SIMILARITY) -> bool:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= least * len(x | y) - 1e-9
+
+
+def similar_parts(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+    """The same from 64-bit hashes of the distinct shingles."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def sketched(text: str | None) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """(hash of the text's words, fingerprint of its distinct shingles, their number, a hash for each band of MinHashes, their lowest bits in four longs)."""
+    words = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    parts = shingles(text)
+    node = xxhash.xxh64_intdigest(words, SEED)
+    if not parts:
+        return node, 0, 0, np.zeros(0, dtype=np.int64), np.zeros(4, dtype=np.int64)
+    h = np.fromiter((xxhash.xxh64_intdigest(p) for p in parts), dtype=np.uint64, count=len(parts))
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), MINHASH_BLOCK):
+        block = h[at : at + MINHASH_BLOCK]
+        x = block[:, None] * FACTORS + OFFSETS
+        # the low bits of a product hang on low bits only
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+        ones += np.unpackbits(block.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    fp = int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    bands = np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64)
+    # a bit of the hash of a MinHash: its own lowest bit hangs on the shingle's lowest bit alone
+    low = np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.uint8) & 1, bitorder="little")
+    return node, fp, len(h), bands.view(np.int64), low.view("<i8")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, node, fp, size, bands, low0...low3`` of every document."""
+    lows = [f"low{k}" for k in range(4)]
+
+    def work(batches):
+        for b in batches:
+            node, fp, size, bands, low = zip(*(sketched(t.as_py()) for t in b.column(2)), strict=True) if b.num_rows else [()] * 5
+            low = np.array(low, dtype=np.int64).reshape(-1, 4)
+            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (node, fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(low[:, k]) for k in range(4)]], names=["doc_id", "th", "node", "fp", "size", "bands", *lows])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, node long, fp long, size long, bands array<long>, {', '.join(f'{c} long' for c in lows)}")
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Those pairs ``u, v`` of nodes whose texts are similar."""
+    pairs = written(pairs.distinct(), "near-pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    # any text of a node will do: its words are the node's
+    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(one, "th").groupBy("node").agg(F.first("text").alias("text"))
+
+    def hashed(batches):
+        for b in batches:
+            parts = [np.array(sorted(xxhash.xxh64_intdigest(p) for p in shingles(t.as_py())), dtype=np.uint64).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int64()))], names=["node", "parts"])
+
+    # a text is cut into shingles once, however many pairs it is in
+    texts = written(texts.mapInArrow(hashed, "node long, parts array<long>"), "near-texts")
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+
+    def work(batches):
+        for b in batches:
+            keep = [similar_parts(x.values.to_numpy(), y.values.to_numpy(), least) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    out = written(both.select("u", "v", "a", "b").mapInArrow(work, "u long, v long"), "near-links")
+    for t in (pairs, texts):
+        dropped(t)
+    return out
+
+
+def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, th, node, component`` of every document: groups of texts whose shingles are similar."""
+    rows = written(sketches(docs), "near-sketches")
+    # equal texts are one node before anything is compared
+    lows = [f"low{k}" for k in range(4)]
+    nodes = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands", *lows)]), "near-nodes")
+    stood = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = stood.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
+    members = stood.join(shared, "bucket").join(nodes.drop("bands"), "node").select("bucket", "node", "fp", "size", *lows)
+
+    def near(a, b):
+        return (F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * least - 1e-9) & (hamming(a["fp"], b["fp"]) <= REACH) & (sum((hamming(a[c], b[c]) for c in lows), F.lit(0)) <= UNLIKE)
 
-    Of rows that share that id the one whose text hash is least stays, once.
-    Components without any id keep the row with the least text hash.
+    labels = same_group(members, near, lambda pairs: similar_pairs(pairs, rows, docs, least), "near")
+    return rows.join(labels, rows.node == labels.id, "left").select("doc_id", "th", "node", F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents with their own columns, one of each ``component`` in ``groups`` (``doc_id, th, component``).
+
+    The least id that is not null stays, of rows that share it the one whose
+    text hash is least, once. Components without any id keep the row with the
+    least text hash.
     """
     ident, th, own = fresh(docs, "kept_id", "kept_th", "own_th")
-    first = grouped(docs, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("th").alias(th))
-    keep = written(first.select(F.col("component_id").alias(ident), th), "kept-ids")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = groups.groupBy("component").agg(F.min(place).alias("p"))
+    keep = written(first.select(F.col("p.doc_id").alias(ident), F.col("p.th").alias(th)), "kept-ids")
     told = docs.withColumn(own, F.xxhash64("text"))
     match = F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(th))
     return told.join(keep, match, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
+
+
+def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """One document of each group of fingerprints within ``bits`` bits."""
+    return one_of_each(docs, grouped(docs, bits))
+
+
+def without_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One document of each group of texts whose word shingles are similar."""
+    return one_of_each(docs, similar_groups(docs, least))

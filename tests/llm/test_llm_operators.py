@@ -162,7 +162,7 @@ def near_lines(rng, n):
 def test_lines_against_brute_force(spark, rows, monkeypatch, blocks):
     monkeypatch.setattr(lines, "n_blocks", lambda nodes, bits=3: blocks)
     both = rows + [(1000 + i, *r) for i, *r in near_lines(random.Random(2), 60)]
-    got = lines.decided(corpus(spark, both))
+    got = lines.decided(corpus(spark, both), bits=3)
     assert multiset((r.doc_id, r.n_lines, tuple(r.dropped)) for r in got.collect()) == multiset(brute_lines(both))
 
 
@@ -170,19 +170,19 @@ def test_lines_shuffled_ways_agree(spark, monkeypatch):
     both = near_lines(random.Random(3), 30)
     monkeypatch.setattr(lines, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(lines, "COUNTED", 10)
-    got = lines.decided(corpus(spark, both))
+    got = lines.decided(corpus(spark, both), bits=3)
     assert multiset((r.doc_id, r.n_lines, tuple(r.dropped)) for r in got.collect()) == multiset(brute_lines(both))
 
 
 def test_lines_blocks_grow_with_nodes():
-    assert lines.n_blocks(0) == lines.n_blocks(2_000_000) == 5 < lines.n_blocks(10**9) <= 12
+    assert lines.n_blocks(0, 3) == lines.n_blocks(2_000_000, 3) == 5 < lines.n_blocks(10**9, 3) <= 12
 
 
 def test_lines_white_space(spark):
     kinds = [" ", "\t", "\x0b", "\x0c", "\r"]
     rng = random.Random(7)
     data = [(i, "\n".join("".join(rng.choice(["a", "b", "cd", *kinds, *kinds]) for _ in range(12)) for _ in range(6)), "en", "s") for i in range(40)]
-    got = lines.decided(corpus(spark, data))
+    got = lines.decided(corpus(spark, data), bits=3)
     assert multiset((r.doc_id, r.n_lines, tuple(r.dropped)) for r in got.collect()) == multiset(brute_lines(data))
 
 
@@ -225,6 +225,25 @@ def test_lines_query_meets_similar_lines_without_the_bit_bound(spark, tmp_path):
     assert not any(n for i, n in got.items() if i >= 1000 or i % 2 == 0)
 
 
+def test_lines_recall_over_a_whole_table(spark):
+    """All pairs of lines of six words or more that share a run of four words and are similar: seven in ten are in one group."""
+    table = lines.lines_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).persist()
+    text = {r.key: r.norm for r in table.where("key is not null").groupBy("key").agg(F.first("norm").alias("norm")).collect()}
+    at = collections.defaultdict(set)
+    for k, t in text.items():
+        w = t.split(" ")
+        for i in range(len(w) - 3 if len(w) > 5 else 0):
+            at[" ".join(w[i : i + 4])].add(k)
+    pairs = {(a, b) for s in at.values() if len(s) < 200 for a in s for b in s if a < b}
+    most = "cast(floor(greatest(length(x), length(y)) * 0.2 + 1e-9) as int)"
+    rows = spark.createDataFrame([(a, b, text[a], text[b]) for a, b in pairs], "u long, v long, x string, y string").repartition(8)
+    similar = rows.where(f"levenshtein(x, y, {most}) >= 0").select("u", "v").collect()
+    group = {r.id: r.component for r in lines.grouped(table, pieces=True).collect()}
+    found = sum(group.get(r.u, r.u) == group.get(r.v, r.v) for r in similar)
+    print(f"op1 recall at sf0.01: {found} of {len(similar)}")
+    assert len(similar) > 300 and found >= 0.7 * len(similar)
+
+
 def test_lines_cleaned_texts(spark, rows, empty):
     out = lines.deduplicated(corpus(spark, [(1, "A line\nother", "en", "s"), (2, "a  LINE\nthird", "en", "s"), (3, None, "en", "s")]))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "A line\nother", 2: "third", 3: None}
@@ -338,6 +357,15 @@ def test_warc_small_payloads_can_stay_whole_and_damage_is_seen(spark):
         list(warc.chunks(io.BytesIO(bad[:-8])))
 
 
+def test_warc_ids_of_any_type_and_records_of_their_own(spark):
+    data = [("a b\n", "u", "x" * 50), ("é%41", "u", "x" * 50), ("c", "u", "y"), ("c", "u", "y"), ("d", "u", "y"), (None, "u", "z"), (None, "u", "z")]
+    got = warc.round_trip(spark.createDataFrame(data, "page_id string, url string, html string")).where("is_last").collect()
+    assert multiset((r.page_id, r.record_type, r.refers_to) for r in got) == multiset(
+        [("a b\n", "response", None), ("é%41", "revisit", "a b\n"), ("c", "response", None), ("c", "response", None), ("d", "revisit", "c"), (None, "response", None), (None, "response", None)]
+    )
+    assert len({r.record_id for r in got}) == len(got)
+
+
 # 4 mixing
 
 
@@ -419,6 +447,39 @@ def test_quality_fences_put_odd_documents_out_and_keep_the_rest(spark, empty):
     assert quality.judged(empty).count() == 0
 
 
+def test_quality_sketches_are_near_exact_quantiles_and_repeatable(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, "en" if i % 3 else "fr", f"s{i % 2}", float(x), float(x) ** 2 * float(x > 1), 0.0 if i % 5 else 0.25, float(5 + x)) for i, x in enumerate(rng.lognormal(0, 1, 3000))]
+    df = spark.createDataFrame(data, "doc_id long, lang string, source string, symbol_share double, dup_line_share double, repeat_share double, mean_word_chars double")
+    got = quality.quantiles(quality.sketched(df), ["lang", "source"]).collect()
+    assert {(r.lang, r.source) for r in got} == {(a, b) for a in ("en", "fr") for b in ("s0", "s1")}
+    for r in got:
+        mine = [x for x in data if x[1:3] == (r.lang, r.source)]
+        assert r.docs == len(mine)
+        for k, m in enumerate(quality.MEASURES):
+            values = sorted(x[3 + k] for x in mine)
+            for q, found in zip(quality.RANKS, r[m], strict=True):
+                exact = values[int(np.ceil(len(values) * q)) - 1]
+                assert abs(found - exact) <= quality.ERROR * exact * 1.0001
+    one, two = (sorted(map(tuple, quality.fences(d).collect())) for d in (df, df.repartition(7, "symbol_share")))
+    assert one == two
+
+
+def test_quality_fences_follow_their_group(spark):
+    rng = random.Random(10)
+    lined = lambda marks: "\n".join(prose(rng, 8) + (" *#" if marks else "") for _ in range(12))
+    data = [(i, lined(i % 2), "en", f"s{i % 2}") for i in range(600)]
+    same = prose(rng, 8)
+    data += [(900, "\n".join([same] * 9 + [prose(rng, 8) for _ in range(18)]), "en", "s0"), (901, lined(True), "en", "s0"), (902, lined(True), "en", "s1"), (903, lined(False), "fr", "s9")]
+    df = corpus(spark, data)
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert not got[900].base_failed and not got[900].kept, "repeated lines beyond what its group has"
+    assert not got[901].kept and got[902].kept, "marks are usual in one source and not in the other"
+    assert got[903].kept and all(got[i].kept for i in range(600))
+    high = {(r.lang, r.source): r.high_symbol_share for r in quality.fences(quality.with_shares(quality.measured(df))).collect()}
+    assert high["en", "s1"] > 2 * high["en", "s0"] and high["fr", "s9"] > high["en", "s0"] >= 0
+
+
 # 6 SimHash
 
 
@@ -533,6 +594,36 @@ def test_personal_data_learns_contexts(spark, empty):
     assert pii.extracted(empty).count() == 0
 
 
+def test_personal_data_contexts_are_learned_from_many_and_only_telling_ones(spark):
+    rng = random.Random(8)
+    cues = {0: ["e-mail", "mailto", "inbox"], 3: ["phone", "mobile", "fax"]}
+    long = "averyveryverylongwordthatnamesacontextofitsownandnevercomesupotherwise"
+    data, truth = [], {}
+    for i in range(600):
+        kind = rng.choice([0, 3])
+        entity = f"user{i}@host{i % 7}.example.org" if kind == 0 else f"+49 {rng.randrange(10**9, 10**10)}"
+        data.append((i, f"{prose(rng, 10)} {rng.choice(cues[kind])} {entity} {prose(rng, 8)}", "en", "s"))
+    for i in range(600, 800):  # identifiers that no base pattern knows, beside a cue
+        kind = rng.choice([0, 3])
+        entity = f"user{i}@localhost" if kind == 0 else f"0{rng.randrange(10**7, 10**8)}x{i}"
+        head = f"{prose(rng, 10)} {rng.choice(cues[kind])} "
+        data.append((i, f"{head}{entity} {prose(rng, 8)}", "en", "s"))
+        truth[i] = (len(head), kind, len(head) + len(entity))
+    for i in range(800, 1200):  # numbers beside words that tell nothing
+        data.append((i, f"{prose(rng, 10)} {rng.choice(['room', 'page', 'year'])} {rng.randrange(2000)} {prose(rng, 8)}", "en", "s"))
+    data += [(1300 + i, f"{long} a{i}@b.example.org", "en", "s") for i in range(30)] + [(1400, f"{long} b7@intranet", "en", "s")]
+    truth[1400] = (len(long) + 1, 0, len(long) + 12)
+    found = {(r.doc_id, *s) for r in pii.extracted(corpus(spark, data)).collect() for s in set(map(tuple, r.spans or ())) - set(map(tuple, r.base or ()))}
+    right = {(i, s, k, e) for i, (s, k, e) in truth.items()}
+    assert len(found & right) >= 0.95 * len(right) and len(found & right) >= 0.95 * len(found) and (1400, *truth[1400]) in found
+
+
+def test_personal_data_in_one_very_long_text(spark):
+    t = " ".join(f"id{i}x" if i % 3 else f"a{i}@b.co" for i in range(20_000))
+    (row,) = pii.extracted(corpus(spark, [(1, t, "en", "s")])).collect()
+    assert len(row.base) == len(brute_spans(t)) == 6667
+
+
 # 8 decontamination
 
 
@@ -573,6 +664,11 @@ def test_decontamination(spark, docs, empty, block):
     assert got == {1: ([1], [2]), 2: ([], []), 3: ([], []), 4: ([None], [0])}
     out = decontamination.decontaminated(corpus(spark, data), bench, block_chars=block)
     assert sorted(r.doc_id for r in out.collect()) == [2, 3] and out.columns == corpus(spark, data).columns
+    named = bench.select(F.concat(F.lit("q"), "item_id").alias("item_id"), "text")
+    clash = corpus(spark, data * 2).withColumn("__items", F.lit(1))
+    both = decontamination.matched(clash, named).collect()
+    plain = {r.doc_id: r["__items"] for r in decontamination.matched(corpus(spark, data), bench).collect()}
+    assert len(both) == 2 * len(data) and all(r["___items"] == [x if x is None else f"q{x}" for x in plain[r.doc_id]] and r["__items"] == 1 for r in both)
     assert decontamination.decontaminated(docs, bench.where("false")).count() == docs.count() and decontamination.matched(empty, bench).count() == 0
 
 
@@ -596,6 +692,26 @@ def test_shards_are_even_and_places_gapless(rows, docs, empty):
     assert sharding.sharded(empty).count() == 0
 
 
+def test_slot_map_is_stored_edited_and_loaded(spark, tmp_path):
+    rng = random.Random(2)
+    docs = corpus(spark, [(i, prose(rng, rng.randrange(5, 90)), "en", "s") for i in range(600)])
+    path = f"file://{tmp_path}/map"
+    place = lambda df: {r.doc_id: (r.virtual_slot, r.shard) for r in df.collect()}
+    first = sharding.sharded(docs, 4, slots=128, map_path=path)
+    assert {r.map_version for r in first.collect()} == {1} and sharding.versions(spark, path) == [1]
+    again = sharding.sharded(docs, 4, slots=128, map_path=path)
+    assert place(again) == place(first) and sharding.versions(spark, path) == [1]
+    more = docs.union(corpus(spark, [(i, prose(rng, 300), "en", "s") for i in range(1000, 1060)]))
+    grown = sharding.sharded(more, 5, slots=128, map_path=path)
+    assert {r.map_version for r in grown.collect()} == {2} and sharding.versions(spark, path) == [1, 2]
+    before, after = sharding.loaded(spark, path, 1), sharding.loaded(spark, path, 2)
+    moved = {s for s in before if before[s] != after[s]}
+    assert 0 < len(moved) < 64 and set(after) == set(before) and set(after.values()) == set(range(5))
+    old, new = place(first), place(grown)
+    assert all(new[i][0] == v and (new[i][1] == s or v in moved) for i, (v, s) in old.items())
+    assert place(sharding.with_shard(more, 5, slots=128, map_path=path)) == new and sharding.versions(spark, path) == [1, 2]
+
+
 def test_rebalancing_moves_little():
     rng = random.Random(1)
     sizes = [(s, rng.randrange(1, 1000), 1) for s in range(500)]
@@ -660,8 +776,88 @@ def test_registered_queries_return_their_columns(spark, name):
     out = llm_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     want = {
         "op2": "doc_id n_bytes n_removed n_spans kept_sha256", "op3": "page_id payload_bytes payload_digest record_type refers_to", "op4": "doc_id size source_size target taken",
-        "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6": "doc_id fingerprint component_id", "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+        "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6": "doc_id fingerprint component_id", "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_spans",
         "op9": "doc_id size text_crc32 law shard slot grown_shard", "op10": "doc_id held_out lang_pred score",
     }.get(name.split("_")[0], "doc_id")
     assert set(want.split()) <= set(out.columns)
     assert out.count() == spark.read.parquet(f"/root/testdata/sf0.001/{'pages' if name == 'op3_warc' else 'documents'}.parquet").count()
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def result(spark, name):
+    return {r.doc_id: r for r in llm_queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_query_of_substrings_against_brute_force(spark, texts):
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    seen = collections.Counter(b[k : k + 400] for b in data.values() for k in range(len(b) - 399))
+    got = result(spark, "op2_substring_dedup")
+    for i, b in data.items():
+        gone = np.zeros(len(b) + 1, dtype=bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        rest = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        runs = int((gone[1:] < gone[:-1]).sum())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), len(b) - len(rest), runs, hashlib.sha256(rest).hexdigest())
+
+
+def test_query_of_fingerprints_against_brute_force(spark, texts):
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    root = {i: i for i in fps}
+    for i in sorted(fps):
+        for j in fps:
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    got = result(spark, "op6_simhash")
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fps[i]:016x}", root[i]) for i in fps}
+
+
+def test_query_of_personal_data_against_brute_force(spark, texts):
+    names = ("email", "ip", "card", "phone")
+    for i, r in result(spark, "op7_pii").items():
+        base = brute_spans(texts[i])
+        written = [f"{names[k]}:{s}:{e}" for s, k, e in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest() and set(written) <= set(r.spans.split(",") if r.spans else [])
+        assert r.n_spans == len(r.spans.split(",") if r.spans else [])
+
+
+def test_query_of_mixing_takes_what_it_says(spark, texts):
+    got = result(spark, "op4_mixing")
+    size = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
+    source = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    total = collections.Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+    want = mixing.targets(list(total.items()))
+    taken = collections.Counter()
+    for i, r in got.items():
+        assert (r.size, r.source_size, r.target) == (size[i], total[source[i]], pytest.approx(want[source[i]])) and 0 <= r.taken <= 3 * r.size
+        taken[source[i]] += r.taken
+    # sources of a few documents cannot come nearer than their documents are long
+    longest = {s: max(n for i, n in size.items() if source[i] == s) for s in total}
+    assert all(abs(taken[s] - t) <= longest[s] for s, t in want.items())
+    assert sum(taken.values()) == pytest.approx(sum(want.values()), rel=0.05)
+
+
+def test_query_of_quality_and_shards_and_languages(spark, texts):
+    quality_rows, shards, langs = (result(spark, n) for n in ("op5_quality", "op9_sharding", "op10_language_id"))
+    lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for i, t in texts.items():
+        r, data = quality_rows[i], (t or "").encode()
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_measures(t)
+        s = shards[i]
+        assert (s.size, s.text_crc32, s.law, s.grown_shard) == (len(data) + 8, zlib.crc32(data), "bytes", None) and 0 <= s.shard < 24
+        assert langs[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= langs[i].score <= 1
+    held = [i for i, r in langs.items() if r.held_out and lang[i]]
+    assert np.mean([langs[i].lang_pred == lang[i] for i in held]) > 0.95
+    places = collections.defaultdict(list)
+    for r in shards.values():
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())

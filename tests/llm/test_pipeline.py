@@ -22,14 +22,14 @@ def test_run_equals_brute_force(spark):
     model = langid.trained(docs)
     left = {i for i, r in rows.items() if not model.score(r.text)[2]}
     assert len(left) >= 0.99 * len(rows)
-    fps = {i: simhash.fingerprint(rows[i].text) for i in left}
+    sets = {i: simhash.shingles(rows[i].text) for i in left}
     groups, todo = [], set(left)
     while todo:
         group, edge = set(), [todo.pop()]
         while edge:
             i = edge.pop()
             group.add(i)
-            near = {j for j in todo if (fps[i] ^ fps[j]).bit_count() <= 4}
+            near = {j for j in todo if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
             todo -= near
             edge += near
         groups.append(group)
