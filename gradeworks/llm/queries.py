@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import decontamination, langid, lines, mixing, pii, quality, sharding, simhash, substrings, warc
+from gradeworks.llm import decontamination, digests, langid, lines, mixing, pii, quality, sharding, simhash, substrings, warc
 from gradeworks.sources.tables import table
 
 
@@ -66,6 +66,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = digests.judged(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op12_exact_dedup": op12_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 #: The digest's 160 bits come as 40 hexadecimal digits: five of them make four letters.
@@ -91,4 +97,10 @@ SELECT page_id, payload_bytes,
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op12_exact_dedup": OP12_SQL}
