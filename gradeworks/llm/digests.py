@@ -67,6 +67,8 @@ class Index:
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, n_chars BIGINT, id {id_type}, row BIGINT, batch INT) USING parquet "
             f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
+        if made:
+            spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")  # batches that other sessions took in
 
     def before(self, batch: int) -> DataFrame:
         """Entries of earlier batches, bucket by bucket."""
