@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import decontamination, digests, langid, lines, mixing, pii, quality, sharding, simhash, substrings, warc
+from gradeworks.llm import decontamination, digests, langid, lines, mixing, pii, quality, search, sharding, simhash, substrings, warc
 from gradeworks.sources.tables import table
 
 
@@ -66,6 +66,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.built(table(spark, sf_dir, "documents"))
+    return search.searched(index, table(spark, sf_dir, "benchmark")).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = digests.judged(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_search": op11_search,
     "op12_exact_dedup": op12_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
@@ -97,10 +103,25 @@ SELECT page_id, payload_bytes,
 FROM g
 """
 
+#: Terms with A-Z lower-cased alone; ``//`` divides whole numbers.
+TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS_SQL} AS t FROM documents),
+size AS (SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+total AS (SELECT count(*)::bigint AS docs, sum(n)::bigint AS terms FROM size),
+posting AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2.0 * docs + 2) / (2 * df + 1)))::bigint AS w FROM (SELECT term, count(*) AS df FROM posting GROUP BY 1), total),
+hit AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint AS score
+ FROM asked JOIN posting USING (term) JOIN weight USING (term) JOIN size USING (doc_id), total GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM hit WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op12_exact_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op11_search": OP11_SQL, "op12_exact_dedup": OP12_SQL}
