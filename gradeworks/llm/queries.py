@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import decontamination, digests, langid, lines, mixing, pii, quality, search, sharding, simhash, substrings, warc
+from gradeworks.llm import decontamination, digests, langid, lines, mixing, negatives, pii, quality, search, sharding, simhash, substrings, warc
 from gradeworks.sources.tables import table
 
 
@@ -76,6 +76,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(ident % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mined(rows, "vec_id", "embedding", "label", ident % 100 == 0)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -89,6 +95,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_search": op11_search,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 #: The digest's 160 bits come as 40 hexadecimal digits: five of them make four letters.
@@ -124,4 +131,14 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op11_search": OP11_SQL, "op12_exact_dedup": OP12_SQL}
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS q
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label <> b.label AS other, list_inner_product(a.q, b.q)::bigint AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE NOT other QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::int AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE other AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op11_search": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
