@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeworks.functions import metrics
 from gradeworks.functions import scalars as S
-from gradeworks.operators import blending, heads, resampling, stacking
+from gradeworks.operators import blending, heads, kernels, resampling, stacking
 from gradeworks.plans.registry import query
 from gradeworks.plans.relational import PREDICTED, RMSE, RP, predicted, r6
 from gradeworks.sources.tables import table
@@ -125,6 +125,13 @@ def r4(spark, sf_dir):
     return metrics.report(out, ["fold"], "y", "pred").select("fold", "n", F.round("rmse", 3).alias("rmse"))
 
 
+@query("r4_support_vectors_cv")
+def r4s(spark, sf_dir):
+    rows = design(spark, sf_dir).withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    out, _ = kernels.support_vectors(rows, "key", "x", "y", "fold", "inner", 5, landmarks=64)
+    return metrics.report(out, ["fold"], "y", "pred").select("fold", "n", F.round("rmse", 1).alias("rmse"))
+
+
 @query("r4_boosted_trees_cv")
 def r4b(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_orderkey") % 3).cast("int").alias("fold"))
