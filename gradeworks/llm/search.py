@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from gradeworks.llm.common import dropped, written
+from gradeworks.llm.common import arrow_rows, dropped, written
 from gradeworks.sources.scratch import new_path
 
 #: Fixed value: a term is a run of ASCII letters and digits and of all code points beyond ASCII. In UTF-8, with A-Z lower-cased:
@@ -42,6 +42,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PIECE = 1 << 24
 #: A block ends at so many documents or (document, term) pairs.
 BLOCK_DOCS, BLOCK_POSTINGS = 256, 1 << 17
+#: Documents that are handed to Python at once.
+BATCH_DOCS = 500
 #: Items that meet a block in one task, and blocks that an item scores in the first rounds.
 ITEM_GROUP, ROUNDS = 512, (4, 32)
 #: Distinct terms of all items that are broadcast at most; more are met by a shuffle.
@@ -103,20 +105,34 @@ def contribution(tf: np.ndarray, n: np.ndarray, docs: int, terms: int) -> np.nda
 def block_maxima(forward: DataFrame, docs: int, terms: int) -> DataFrame:
     """``block, term, most, df``: each term's largest contribution and its documents in a block.
 
-    A block that is read in two parts has two rows a term: the documents add up,
-    and the sum of both maxima is a bound as well.
+    A block whose rows are read in two tasks has two rows a term: the documents add
+    up, and the sum of both maxima is a bound as well.
     """
 
+    def maxima(t: pa.Table):
+        lists = t["terms"].combine_chunks()
+        many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        tf = t["tfs"].combine_chunks().flatten().to_numpy()
+        most = contribution(tf, np.repeat(t["n"].to_numpy(), many), docs, terms)
+        flat = pa.table({"block": np.repeat(t["block"].to_numpy(), many), "term": lists.flatten(), "most": most})
+        got = flat.group_by(["block", "term"], use_threads=False).aggregate([("most", "max"), ("most", "count")])
+        return got.select(["block", "term", "most_max", "most_count"]).rename_columns(["block", "term", "most", "df"]).to_batches(max_chunksize=50_000)
+
     def work(batches):
+        held = None  # the last block may go on in the next batch
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
-            lists = t["terms"].combine_chunks()
-            many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            tf = t["tfs"].combine_chunks().flatten().to_numpy()
-            most = contribution(tf, np.repeat(t["n"].to_numpy(), many), docs, terms)
-            flat = pa.table({"block": np.repeat(t["block"].to_numpy(), many), "term": lists.flatten(), "most": most})
-            got = flat.group_by(["block", "term"], use_threads=False).aggregate([("most", "max"), ("most", "count")])
-            yield from got.select(["block", "term", "most_max", "most_count"]).rename_columns(["block", "term", "most", "df"]).to_batches(max_chunksize=50_000)
+            t = t if held is None else pa.concat_tables([held, t])
+            block = t["block"].to_numpy()
+            others = np.flatnonzero(block != block[-1])
+            whole = int(others[-1]) + 1 if len(others) else 0
+            if whole:
+                yield from maxima(t.slice(0, whole))
+            held = t.slice(whole)
+        if held is not None:
+            yield from maxima(held)
 
     return forward.select("block", "n", "terms", "tfs").mapInArrow(work, "block long, term string, most long, df long")
 
@@ -141,9 +157,10 @@ def built(docs: DataFrame, path: str | None = None, ident: str = "doc_id", text:
     """Index a table; with ``path`` the index stays there for ``opened``."""
     spark = docs.sparkSession
     path = path or new_path(spark, "search")
-    forward_index(docs, ident, text).write.parquet(f"{path}/forward")
-    forward = spark.read.parquet(f"{path}/forward")
-    block_maxima(forward, *(n := totals(forward))).write.parquet(f"{path}/maxima")
+    with arrow_rows(spark, BATCH_DOCS):
+        forward_index(docs, ident, text).write.parquet(f"{path}/forward")
+        forward = spark.read.parquet(f"{path}/forward")
+        block_maxima(forward, *(n := totals(forward))).write.parquet(f"{path}/maxima")
     return Index(forward, spark.read.parquet(f"{path}/maxima"), *n)
 
 
@@ -217,7 +234,8 @@ def best(hits: DataFrame, k: int) -> DataFrame:
 
 def searched(index: Index, queries: DataFrame, k: int = 20, ident: str = "item_id", text: str = "text", rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` best documents of every row of ``queries``, in all columns but ``rank`` as scored."""
-    items = written(forward_index(queries, ident, text).drop("block"), "search-items")
+    with arrow_rows(queries.sparkSession, BATCH_DOCS):
+        items = written(forward_index(queries, ident, text).drop("block"), "search-items")
     asked = asked_for(items)
     maxima = maxima_of(index, asked)
     weights = written(weighted(index, asked, maxima), "search-weights")
