@@ -71,8 +71,8 @@ def similar_pairs(df: DataFrame, ident: str, vec: str, cut: float, blocks: int |
     return spread.groupBy("i", "j").applyInPandas(multiply, "a long, b long, sim double")
 
 
-def nearest(queries: DataFrame, base: DataFrame, ident: str, vec: str, exclude_self: bool = True, blocks: int | None = None) -> DataFrame:
-    """The base row with the largest dot product for each query: ``id, nn, sim``; ties go to the least id."""
+def nearest(queries: DataFrame, base: DataFrame, ident: str, vec: str, exclude_self: bool = True, blocks: int | None = None, digits: int | None = None) -> DataFrame:
+    """The base row with the largest dot product (to so many ``digits``) for each query: ``id, nn, sim``; ties go to the least id."""
     k = blocks or n_blocks(base)
     m = n_blocks(queries)
     q = _blocks(queries.select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")), m, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -84,6 +84,8 @@ def nearest(queries: DataFrame, base: DataFrame, ident: str, vec: str, exclude_s
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "nn": [], "sim": []}).astype({"id": "int64", "nn": "int64"})
         sims = _matrix(left) @ _matrix(right).T
+        if digits is not None:
+            sims = sims.round(digits)
         ids = right["id"].to_numpy()
         if exclude_self:
             sims[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf

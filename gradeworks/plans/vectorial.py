@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeworks.functions import vectors as V
-from gradeworks.operators import folds, heads, relations, stacking
+from gradeworks.operators import folds, heads, linkage, relations, stacking
 from gradeworks.plans.registry import query
 from gradeworks.plans.relational import r6
 from gradeworks.sources.tables import table
@@ -135,14 +135,14 @@ THRESHOLDS = [0.7, 0.75, 0.8, 0.85]
 
 
 def small(spark, sf_dir):
-    """Vectors that exact average linkage is run on, and their similar pairs."""
+    """Vectors to cluster, and their similar pairs."""
     e = emb(spark, sf_dir).select("vec_id", "embedding")
     return e, relations.similar_pairs(e, "vec_id", "embedding", CUT).select("a", "b")
 
 
 @query("c1_average_linkage")
 def c1(spark, sf_dir):
-    return folds.clustered(small(spark, sf_dir)[0], "vec_id", "embedding", [0.8]).select("id", "cluster")
+    return linkage.clustered(small(spark, sf_dir)[0], "vec_id", "embedding", [0.8]).select("id", "cluster")
 
 
 SIMILAR = f"(SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {DOT} > {CUT})"
@@ -157,7 +157,7 @@ def c1s(spark, sf_dir):
 @query("c2_threshold_sweep")
 def c2(spark, sf_dir):
     e, pairs = small(spark, sf_dir)
-    return folds.sweep(folds.clustered(e, "vec_id", "embedding", THRESHOLDS), pairs)
+    return folds.sweep(linkage.clustered(e, "vec_id", "embedding", THRESHOLDS), pairs)
 
 
 SWEPT = [(0.1, 400, 10, 500, 0.5), (0.2, 300, 20, 500, 0.015), (0.3, 200, 25, 500, 0.01), (0.4, 100, 200, 500, 0.0)]
@@ -171,7 +171,7 @@ def c3(spark, sf_dir):
 @query("c3_chosen_from_sweep")
 def c3s(spark, sf_dir):
     e, pairs = small(spark, sf_dir)
-    swept = folds.sweep(folds.clustered(e, "vec_id", "embedding", THRESHOLDS), pairs)
+    swept = folds.sweep(linkage.clustered(e, "vec_id", "embedding", THRESHOLDS), pairs)
     return folds.chosen(swept, most_share=0.5).select("threshold", "n_groups", "largest_group")
 
 
