@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that a block of a similarity join is meant to hold.
-BLOCK_ROWS = 2048
+from gradeworks.operators import metric
+from gradeworks.sources.scratch import written
 
 
 def reindexed(ids: DataFrame, values: DataFrame, key: str, order: str) -> DataFrame:
@@ -34,66 +32,72 @@ def in_intervals(points: DataFrame, intervals: DataFrame, key: str, start: str,
     return p.join(i, [key, "__bin"]).where((F.col("__mid") >= F.col(low)) & (F.col("__mid") < F.col(high))).drop("__mid", "__bin")
 
 
-def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-
-
-def _matrix(part: pd.DataFrame) -> np.ndarray:
-    return np.array(part["vec"].tolist(), dtype=np.float64)
-
-
-def n_blocks(df: DataFrame) -> int:
-    return max(1, math.ceil(df.count() / BLOCK_ROWS))
-
-
-def similar_pairs(df: DataFrame, ident: str, vec: str, cut: float, blocks: int | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, ident: str, vec: str, cut: float, block_rows: int | None = None) -> DataFrame:
     """All pairs ``a < b`` whose dot product is above the cut, with it.
 
-    Rows fall into blocks of bounded size; each pair of blocks is one matrix
-    product in its own group, so no task holds more than two blocks.
+    Rows are multiplied block by block. Pairs of blocks that the metric index
+    shows to hold no such pair are skipped.
     """
-    k = blocks or n_blocks(df)
-    rows = _blocks(df.select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")), k, "b")
-    others = F.sequence(F.lit(0), F.lit(k - 1))
-    spread = rows.withColumn("o", F.explode(others)).select("id", "vec", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        left, right = part[part["b"] == i], part[part["b"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
-        sims = _matrix(left) @ _matrix(right).T
+    rows = written(metric.plain(df, ident, vec), "vectors")
+    if not rows.limit(1).count():
+        return df.sparkSession.createDataFrame([], "a long, b long, sim double")
+    few = rows.count() <= (block_rows or metric.BLOCK_ROWS)
+    index = metric.single(rows) if few else metric.indexed(rows, metric.chosen_pivots(rows), block_rows)
+    pairs = written(metric.block_pairs(index, index, cut).where("i <= j"), "block-pairs")
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+        sims = metric.matrix(left["vec"]) @ metric.matrix(right["vec"]).T
         r, c = np.nonzero(sims > cut)
         a, b = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
         keep = a < b if i == j else np.ones(len(a), dtype=bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sims[r, c][keep]})
 
-    return spread.groupBy("i", "j").applyInPandas(multiply, "a long, b long, sim double")
+    return metric.multiplied(index, index, pairs, multiply, "a long, b long, sim double")
 
 
-def nearest(queries: DataFrame, base: DataFrame, ident: str, vec: str, exclude_self: bool = True, blocks: int | None = None, digits: int | None = None) -> DataFrame:
-    """The base row with the largest dot product (to so many ``digits``) for each query: ``id, nn, sim``; ties go to the least id."""
-    k = blocks or n_blocks(base)
-    m = n_blocks(queries)
-    q = _blocks(queries.select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")), m, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    b = _blocks(base.select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")), k, "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    both = q.select("id", "vec", "i", "j", F.lit(True).alias("q")).unionByName(b.select("id", "vec", "i", "j", F.lit(False).alias("q")))
+def nearest(queries: DataFrame, base: DataFrame, ident: str, vec: str, exclude_self: bool = True, block_rows: int | None = None, digits: int | None = None) -> DataFrame:
+    """The base row with the largest dot product (to so many ``digits``) for each query: ``id, nn, sim``; ties go to the least id.
 
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part["q"]], part[~part["q"]].sort_values("id")
+    Each block of queries first meets the block with the largest bound. The least
+    of its rows' best products so far is what another block's bound has to reach.
+    """
+    base, queries = (written(metric.plain(df, ident, vec), "vectors") for df in (base, queries))
+    if not base.limit(1).count():
+        return base.sparkSession.createDataFrame([], "id long, nn long, sim double")
+    if few := max(base.count(), queries.count()) <= (block_rows or metric.BLOCK_ROWS):
+        asked, held = metric.single(queries), metric.single(base)
+    else:
+        pivots = metric.chosen_pivots(base)
+        asked, held = metric.indexed(queries, pivots, block_rows), metric.indexed(base, pivots, block_rows)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "nn": [], "sim": []}).astype({"id": "int64", "nn": "int64"})
-        sims = _matrix(left) @ _matrix(right).T
+            return pd.DataFrame({"i": [], "id": [], "nn": [], "sim": []}).astype({"i": "int64", "id": "int64", "nn": "int64"})
+        right = right.sort_values("id")
+        sims = metric.matrix(left["vec"]) @ metric.matrix(right["vec"]).T
         if digits is not None:
             sims = sims.round(digits)
         ids = right["id"].to_numpy()
         if exclude_self:
             sims[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         at = sims.argmax(1)
-        out = pd.DataFrame({"id": left["id"].to_numpy(), "nn": ids[at], "sim": sims[np.arange(len(at)), at]})
+        out = pd.DataFrame({"i": i, "id": left["id"].to_numpy(), "nn": ids[at], "sim": sims[np.arange(len(at)), at]})
         return out[np.isfinite(out["sim"])]
 
-    found = both.groupBy("i", "j").applyInPandas(best, "id long, nn long, sim double")
+    schema = "i long, id long, nn long, sim double"
+    if few:
+        return metric.multiplied(asked, held, metric.block_pairs(asked, held), best, schema).select("id", "nn", "sim")
+    bounds = written(metric.block_pairs(asked, held), "block-pairs")
+    first = bounds.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("bound"), "j"))).where("r = 1").select("i", "j")
+    first = written(first, "block-pairs")
+    found = written(metric.multiplied(asked, held, first, best, schema), "nearest")
+    # a row without a product yet leaves its block without a limit
+    reached = found.groupBy("i").agg(F.min("sim").alias("least"), F.count("*").alias("c")).join(asked.rows.groupBy(F.col("block").alias("i")).agg(F.count("*").alias("n")), "i").where("c = n")
+    slack = 10.0**-digits if digits is not None else 0.0
+    left = bounds.join(reached.select("i", "least"), "i", "left").where(F.col("least").isNull() | (F.col("bound") + slack >= F.col("least"))).join(first, ["i", "j"], "left_anti")
+    left = written(left.select("i", "j"), "block-pairs")
+    if left.limit(1).count():
+        found = found.unionByName(metric.multiplied(asked, held, left, best, schema))
     top = found.groupBy("id").agg(F.max(F.struct("sim", (-F.col("nn")).alias("m"))).alias("t"))
     return top.select("id", (-F.col("t.m")).alias("nn"), F.col("t.sim").alias("sim"))
 

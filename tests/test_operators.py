@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeworks.functions import metrics, scalars, text, vectors
-from gradeworks.operators import binning, blending, features, folds, heads, inference, relations, resampling, sequences, stacking
+from gradeworks.operators import binning, blending, features, folds, heads, inference, linkage, metric, relations, resampling, sequences, stacking
 from gradeworks.sources import files
 
 
@@ -137,12 +137,50 @@ def test_neighbours_and_pairs_over_blocks(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
     sims = x @ x.T
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if sims[i, j] > 3}
-    assert {(r.a, r.b) for r in relations.similar_pairs(df, "id", "v", 3.0, blocks=4).collect()} == want
+    assert {(r.a, r.b) for r in relations.similar_pairs(df, "id", "v", 3.0, block_rows=9).collect()} == want
     np.fill_diagonal(sims, -np.inf)
-    got = {r.id: r.nn for r in relations.nearest(df, df, "id", "v", blocks=4).collect()}
+    got = {r.id: r.nn for r in relations.nearest(df, df, "id", "v", block_rows=9).collect()}
     assert got == {i: int(sims[i].argmax()) for i in range(60)}
 
 
+@pytest.mark.parametrize("spread", [0.05, 5.0])
+def test_metric_index_skips_blocks_and_loses_nothing(spark, monkeypatch, spread):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(12, 8)) * 3)[np.arange(600) % 12] + spread * rng.normal(size=(600, 8))
+    x[5], x[7] = x[17], 0.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    sims, met = x @ x.T, []
+    one = metric.multiplied
+    monkeypatch.setattr(metric, "multiplied", lambda a, b, pairs, *how: (met.append(pairs.count()), one(a, b, pairs, *how))[1])
+    cut = float(np.quantile(sims, 0.95))
+    got = {(r.a, r.b): r.sim for r in relations.similar_pairs(df, "id", "v", cut, block_rows=20).collect()}
+    want = {(i, j): sims[i, j] for i in range(600) for j in range(i + 1, 600) if sims[i, j] > cut}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    np.fill_diagonal(sims, -np.inf)
+    got = {r.id: r.nn for r in relations.nearest(df, df, "id", "v", block_rows=20).collect()}
+    assert all(abs(sims[i, got[i]] - sims[i].max()) < 1e-9 for i in range(600)) and len(got) == 600
+    blocks = 600 // 20
+    if spread < 1:  # tight groups far apart: few pairs of blocks can hold a result
+        assert met[0] < 0.4 * blocks * (blocks + 1) / 2 and met[1] + met[2] < 0.5 * blocks**2
+
+
+def test_average_linkage_in_rounds_is_that_of_one_matrix(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20, 6))[np.arange(90) % 20] + 0.4 * rng.normal(size=(90, 6))
+    x[3], x[11] = x[80], x[80]
+    df = spark.createDataFrame([(7 * i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    cuts = [0.02, 0.1, 0.3, 0.7]
+    got = linkage.clustered(df, "id", "v", cuts).toPandas().sort_values("id")
+    merges = folds.average_linkage(x)
+    for t in cuts:
+        mine, want = got[got["threshold"] == t]["cluster"].to_numpy(), folds.cut(merges, len(x), t)
+        assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+    assert (got["cluster"] <= got["id"]).all()
+    tree = linkage.merge_tree(df, "id", "v", 0.7).toPandas()
+    assert tree["child"].is_unique and (tree["child"] > tree["parent"]).all() and (tree["height"] < 0.7).all()
+    assert linkage.clustered(df.where("id < 0"), "id", "v", [0.5]).count() == 0 and linkage.clustered(df.where("id = 7"), "id", "v", [0.5]).count() == 1
+
+
 def test_average_linkage_recovers_groups_and_folds_keep_them_whole(spark):
     rng = np.random.default_rng(7)
     centers = rng.normal(size=(12, 64))
