@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALPHAS = tuple(float(a) for a in np.logspace(0, 5, 11))
+#: The penalties of ridge, and the fewer ones of ridge on kernel features.
+ALPHAS = tuple(float(a) for a in np.logspace(-1, 5, 25))
+KERNEL_ALPHAS = tuple(float(a) for a in np.logspace(0, 5, 11))
 
 
 def grams(df: DataFrame, x: str, y: str, key: str, w: str | None = None) -> dict[int, np.ndarray]:
@@ -56,52 +58,62 @@ def squared_error(gram: np.ndarray, coef: np.ndarray, intercept: float) -> float
     return float(v @ gram @ v)
 
 
-def scaled(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sums after each x is standardised by its own mean and population deviation (1e-6 is added to it)."""
-    n, d = gram[0, 0], len(gram) - 2
-    mean = gram[0, 1 : d + 1] / n
-    sd = np.sqrt(np.maximum(np.diag(gram)[1 : d + 1] / n - mean * mean, 0)) + 1e-6
+def scaled(gram: np.ndarray, plain: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums after each x is standardised by its mean and population deviation over the rows (1e-6 is added to it).
+
+    ``plain`` are the sums without weights, where ``gram`` has weights: rows count
+    alike for mean and deviation, and weights are divided by their mean, so that
+    only their proportions matter.
+    """
+    plain = gram if plain is None else plain
+    n, d = plain[0, 0], len(plain) - 2
+    mean = plain[0, 1 : d + 1] / n
+    sd = np.sqrt(np.maximum(np.diag(plain)[1 : d + 1] / n - mean * mean, 0)) + 1e-6
     t = np.eye(d + 2)
     t[0, 1 : d + 1] = -mean / sd
     t[range(1, d + 1), range(1, d + 1)] = 1 / sd
-    return t.T @ gram @ t, mean, sd
+    return t.T @ (gram * (n / gram[0, 0])) @ t, mean, sd
 
 
-def chosen_alpha(by_part: dict[int, np.ndarray], alphas: tuple[float, ...]) -> int:
-    """The alpha with the least error over inner parts: a part's training sums are the total less its own."""
-    total, error = sum(by_part.values()), np.zeros(len(alphas))
-    for g in by_part.values():
-        if len(by_part) > 1:
-            error += [squared_error(g, c, b) for c, b in ridge(total - g, alphas)]
-    return int(np.argmin(error))
+def fitted(gram: np.ndarray, plain: np.ndarray, alphas: tuple[float, ...]) -> list[tuple[np.ndarray, float]]:
+    """(coefficients, intercept) for numbers as they are, of ridge on standardised ones, for every alpha."""
+    standard, mean, sd = scaled(gram, plain)
+    return [(c / sd, float(b - (c * mean / sd).sum())) for c, b in ridge(standard, alphas)]
 
 
-def fold_model(parts: dict[int, np.ndarray], alphas: tuple[float, ...]) -> tuple[float, list[float], float]:
-    """(alpha, coefficients, intercept) from the training sums of each inner part, standardised by the training rows alone."""
-    _, mean, sd = scaled(sum(parts.values()))
-    t = np.eye(len(mean) + 2)
-    t[0, 1:-1], t[range(1, len(mean) + 1), range(1, len(mean) + 1)] = -mean / sd, 1 / sd
-    standard = {p: t.T @ g @ t for p, g in parts.items()}
-    at = chosen_alpha(standard, alphas)
-    coef, intercept = ridge(sum(standard.values()), alphas)[at]
-    return alphas[at], (coef / sd).tolist(), float(intercept - (coef * mean / sd).sum())
+def fold_model(parts: dict[int, np.ndarray], plain: dict[int, np.ndarray], alphas: tuple[float, ...]) -> tuple[float, list[float], float]:
+    """(alpha, coefficients, intercept) from the training sums of each inner part, with and without weights.
+
+    The alpha is that with the least squared error over the inner parts, each
+    predicted by a model of the others that is standardised by the others alone.
+    """
+    total, rows, error = sum(parts.values()), sum(plain.values()), np.zeros(len(alphas))
+    for p in parts:
+        if len(parts) > 1:
+            error += [squared_error(plain[p], c, b) for c, b in fitted(total - parts[p], rows - plain[p], alphas)]
+    alpha = alphas[int(np.argmin(error))]
+    coef, intercept = fitted(total, rows, (alpha,))[0]
+    return alpha, coef.tolist(), intercept
 
 
 def cv_models(df: DataFrame, x: str, y: str, fold: str, inner: str, k: int, inner_k: int, alphas: tuple[float, ...], w: str | None, augmented: DataFrame | None, by: str | None = None) -> list[tuple]:
     """``(by, fold, alpha, coefficients, intercept)`` of every fold, from one pass over the rows whatever the number of folds and values of ``by``."""
     cells = k * inner_k
     cell = F.col(fold) * inner_k + F.col(inner) + (F.col(by) * cells if by else F.lit(0))
-    sources = [grams(d.withColumn("__k", cell), x, y, "__k", w) for d in (df, augmented) if d is not None]
+    sources = [d.withColumn("__k", cell) for d in (df, augmented) if d is not None]
+    weighted = [grams(d, x, y, "__k", w) for d in sources]
+    plain = [grams(d, x, y, "__k") for d in sources] if w else weighted
     out = []
-    for v in sorted({key // cells for g in sources for key in g}):
+    for v in sorted({key // cells for g in weighted for key in g}):
         for f in range(k):
-            parts: dict[int, np.ndarray] = {}
-            for source in sources:
-                for key, g in source.items():
-                    if key // cells == v and key % cells // inner_k != f:
-                        parts[key % inner_k] = parts.get(key % inner_k, 0) + g
+            parts, rows = {}, {}
+            for sums, got in ((weighted, parts), (plain, rows)):
+                for source in sums:
+                    for key, g in source.items():
+                        if key // cells == v and key % cells // inner_k != f:
+                            got[key % inner_k] = got.get(key % inner_k, 0) + g
             if parts:
-                out.append((v, f, *fold_model(parts, alphas)))
+                out.append((v, f, *fold_model(parts, rows, alphas)))
     return out
 
 
@@ -149,7 +161,7 @@ def fourier_features(df: DataFrame, x: str, names: int, features: int = 64, gamm
     return df.withColumn(name, F.array(*[F.cos(value(j)) * float(np.sqrt(2 / features)) for j in range(features)]))
 
 
-def kernel_ridge(df: DataFrame, ident: str, x: str, names: int, y: str, fold: str, inner: str, k: int, features: int = 64, gamma: float = 0.1, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+def kernel_ridge(df: DataFrame, ident: str, x: str, names: int, y: str, fold: str, inner: str, k: int, features: int = 64, gamma: float = 0.1, alphas: tuple[float, ...] = KERNEL_ALPHAS) -> DataFrame:
     """Out-of-fold RBF kernel ridge for any number of rows: ridge on Fourier features, every row fitted and predicted."""
     return cv_ridge(fourier_features(df, x, names, features, gamma), ident, "phi", y, fold, inner, k, alphas=alphas)[0]
 

@@ -1,13 +1,16 @@
-"""Bootstrap intervals without moving rows: each row is drawn a hashed number of times in each resample.
+"""Bootstrap intervals without moving or multiplying rows: each row is drawn a hashed number of times in each resample.
 
-The draws are Poisson(1) counts, the limit of drawing n of n rows. A resample is
-then a weighted aggregate: no row is fetched by number, partial sums are
-combined before the shuffle, and any engine with integer arithmetic gives the
-same draws.
+The draws are Poisson(1) counts, the limit of drawing n of n rows. A resample is a
+weighted aggregate, and one pass makes all of them: a task looks up a batch's draws
+for all resamples at once, and one matrix product adds up the batch's moments by
+resample. What is shuffled is a row a task and resample, whatever the rows. Draws
+come from whole-number arithmetic, so any engine gives the same.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +19,14 @@ from gradeworks.functions.scalars import hashed_unit
 
 #: Cumulative Poisson(1) probabilities of 0, 1, ... draws.
 POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
+#: What ``hashed_unit`` multiplies, adds and divides by.
+SEED, MIX, STEP, ADD, MODULUS = 12345, 7919, 104729, 17, 1000003
+#: Rows and resamples that are multiplied at once.
+ROWS, TIMES = 512, 1024
 
 
 def draws(ident: Column, resample: Column) -> Column:
+    """How often a row is drawn in a resample: what ``drawn`` looks up, as an expression."""
     u = hashed_unit(ident, resample)
     out = F.when(u < POISSON[0], 0.0)
     for k, p in enumerate(POISSON[1:], 1):
@@ -26,12 +34,62 @@ def draws(ident: Column, resample: Column) -> Column:
     return out.otherwise(float(len(POISSON)))
 
 
+def drawn() -> np.ndarray:
+    """The number of draws for each remainder of the hash."""
+    return np.searchsorted(POISSON, np.arange(MODULUS) / MODULUS, side="right").astype(np.float32)
+
+
+def repeated_sums(df: DataFrame, ident: str, y: str, predictions: list[str], times: int, tables: list[np.ndarray], w: str | None = None) -> DataFrame:
+    """``resample, part, w, wy, wyy`` and, for each prediction, ``e_, p_, pp_, yp_``: weighted sums of every resample.
+
+    A row's weight in a resample is what its part's table has for the remainder of
+    the row's and the resample's hash, times ``w``.
+    """
+    columns = ["w", "wy", "wyy", *[f"{kind}_{p}" for p in predictions for kind in ("e", "p", "pp", "yp")]]
+    twice = [np.concatenate([t, t]).astype(np.float32) for t in tables]
+
+    def work(batches):
+        second = (np.arange(times, dtype=np.int64) * STEP + ADD) % MODULUS
+        total = np.zeros((len(tables), times, len(columns)))
+        for b in batches:
+            i, yy, ww = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            first = (SEED * MIX + i % MODULUS * STEP + ADD) % MODULUS * MIX % MODULUS
+            sums = [ww, ww * yy, ww * yy * yy]
+            for p in (b.column(k).to_numpy() for k in range(3, b.num_columns)):
+                sums += [ww * (yy - p) ** 2, ww * p, ww * p * p, ww * yy * p]
+            sums = np.column_stack(sums)
+            for at in range(0, len(i), ROWS):
+                for r in range(0, times, TIMES):
+                    place = second[r : r + TIMES, None] + first[None, at : at + ROWS]
+                    for part, table in enumerate(twice):
+                        total[part, r : r + TIMES] += table[place].astype(np.float64) @ sums[at : at + ROWS]
+        for part in range(len(tables)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), pa.array(np.full(times, part, dtype=np.int32)), *[pa.array(c) for c in total[part].T]], names=["resample", "part", *columns])
+
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    rows = df.select(F.col(ident).cast("long").alias("i"), F.col(y).cast("double").alias("y"), weight.alias("w"), *[F.col(p).cast("double").alias(f"p{k}") for k, p in enumerate(predictions)])
+    rows = rows.dropna()
+    each = rows.mapInArrow(work, f"resample long, part int, {', '.join(f'{c} double' for c in columns)}")
+    return each.groupBy("resample", "part").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def composite_of_sums(p: str) -> Column:
+    """The composite of a prediction from its row of sums."""
+    mean = lambda c: metrics.safe_ratio(F.col(c), F.col("w"))
+    vy, vp, c = mean("wyy") - mean("wy") * mean("wy"), mean(f"pp_{p}") - mean(f"p_{p}") * mean(f"p_{p}"), mean(f"yp_{p}") - mean("wy") * mean(f"p_{p}")
+    r = F.when((vy <= 0) | (vp <= 0), 0.0).otherwise(c / F.sqrt(F.when((vy > 0) & (vp > 0), vy * vp)))
+    return metrics.composite(F.sqrt(mean(f"e_{p}")), r)
+
+
 def resampled(df: DataFrame, ident: str, y: str, predictions: list[str], times: int, w: str | None = None) -> DataFrame:
-    """Composite of each prediction in each resample: ``resample, <prediction>...``."""
-    numbers = df.sparkSession.range(times).select(F.col("id").alias("resample"))
-    rows = df.crossJoin(F.broadcast(numbers)).withColumn("__w", draws(F.col(ident), F.col("resample")) * (F.col(w) if w else F.lit(1.0)))
-    score = lambda p: metrics.composite(metrics.rmse(F.col(y), F.col(p), F.col("__w")), metrics.pearson(F.col(y), F.col(p), F.col("__w"))).alias(p)
-    return rows.groupBy("resample").agg(*[score(p) for p in predictions])
+    """Composite of each prediction in each resample: ``resample, <prediction>...``. Rows with a null in any of these columns are left out."""
+    return repeated_sums(df, ident, y, predictions, times, [drawn()], w).select("resample", *[composite_of_sums(p).alias(p) for p in predictions])
+
+
+def splits(df: DataFrame, ident: str, y: str, predictions: list[str], times: int, share: float) -> DataFrame:
+    """Composite of each prediction on both parts of each random split: ``resample, part`` (0 holds the share) ``, <prediction>...``."""
+    inside = (np.arange(MODULUS) / MODULUS < share).astype(np.float32)
+    return repeated_sums(df, ident, y, predictions, times, [inside, 1 - inside]).select("resample", "part", *[composite_of_sums(p).alias(p) for p in predictions])
 
 
 def interval(scores: DataFrame, name: str, level: float = 0.95) -> DataFrame:

@@ -61,7 +61,7 @@ def moments_sql(x1: str, x2: str, y: str, w: str = "1.0") -> str:
 SOLVED = """SELECT *, sy / n - k1 * s1 / n - k2 * s2 / n AS b0 FROM (SELECT *, (c * u - b * v) / (p * c - b * b) / d1 AS k1, (p * v - b * u) / (p * c - b * b) / d2 AS k2
  FROM (SELECT *, (s11 - s1 * s1 / n) / (d1 * d1) + a AS p, (s12 - s1 * s2 / n) / (d1 * d2) AS b, (s22 - s2 * s2 / n) / (d2 * d2) + a AS c, (s1y - s1 * sy / n) / d1 AS u, (s2y - s2 * sy / n) / d2 AS v FROM ({})))"""
 DEVIATIONS = "sqrt(greatest(s11 / n - (s1 / n) ** 2, 0)) + 1e-6 AS d1, sqrt(greatest(s22 / n - (s2 / n) ** 2, 0)) + 1e-6 AS d2"
-GRID = "(SELECT 10 ** (i / 2.0) AS a FROM range(0, 11) r(i))"
+GRID = "(SELECT 10 ** (i / 4.0 - 1) AS a FROM range(0, 25) r(i))"
 X1, X2, Y = "l_quantity", "l_linenumber", "l_extendedprice / 1000"
 NOISE = [f"0.05 * {{u}}".replace("{u}", "(((((12345 * 7919 + l_orderkey * 104729 + 17) % 1000003) * 7919 + (l_linenumber + {i}) * 104729 + 17) % 1000003) / 1000003.0)".format(i=i)) for i in (0, 1)]
 
@@ -72,7 +72,7 @@ def cv_sql(augmented: bool) -> str:
     more = f" UNION ALL SELECT (l_orderkey % 5)::int, (l_suppkey % 3)::int, {moments_sql(f'({X1} + {NOISE[0]})', f'({X2} + {NOISE[1]})', Y)} FROM lineitem GROUP BY 1, 2" if augmented else ""
     return f"""cells AS ({own}{more}), f AS (SELECT k::int AS f FROM range(0, 5) r(k)),
     parts AS (SELECT f, part, {ADDED} FROM cells, f WHERE fold <> f GROUP BY 1, 2), total AS (SELECT f, {ADDED} FROM parts GROUP BY 1), dev AS (SELECT f, {DEVIATIONS} FROM total),
-    inner_fit AS ({SOLVED.format(f"SELECT t.f, p.part, {LESS}, d1, d2, a FROM total t JOIN parts p ON t.f = p.f JOIN dev ON dev.f = t.f, {GRID}")}),
+    inner_fit AS ({SOLVED.format(f"SELECT *, {DEVIATIONS} FROM (SELECT t.f, p.part, {LESS} FROM total t JOIN parts p ON t.f = p.f), {GRID}")}),
     loss AS (SELECT i.f, i.a, sum(p.syy - 2 * (k1 * p.s1y + k2 * p.s2y + b0 * p.sy) + k1 * k1 * p.s11 + 2 * k1 * k2 * p.s12 + k2 * k2 * p.s22 + 2 * b0 * (k1 * p.s1 + k2 * p.s2) + b0 * b0 * p.n) AS e
       FROM inner_fit i JOIN parts p ON i.f = p.f AND i.part = p.part GROUP BY 1, 2),
     chosen AS (SELECT f AS fold, a FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY e, a) AS r FROM loss) WHERE r = 1),
@@ -91,11 +91,14 @@ def two(spark, sf_dir):
 
 @query(
     "r1_ridge_path",
-    f"WITH t AS (SELECT {moments_sql(X1, X2, Y, 'l_quantity')} FROM lineitem) SELECT round(a, 6) AS alpha, round(k1 * d1, 6) AS first, round(k2 * d2, 6) AS second, round(sy / n, 6) AS intercept FROM ({SOLVED.format(f'SELECT *, {DEVIATIONS} FROM t, {GRID}')})",
+    f"""WITH w AS (SELECT {moments_sql(X1, X2, Y, 'l_quantity')} FROM lineitem), u AS (SELECT n AS rows, {DEVIATIONS} FROM (SELECT {moments_sql(X1, X2, Y)} FROM lineitem)),
+    t AS (SELECT {', '.join(f'{m} * rows / n AS {m}' for m in SUMS)}, d1, d2 FROM w, u)
+    SELECT round(a, 6) AS alpha, round(k1, 6) AS first, round(k2, 6) AS second, round(b0, 6) AS intercept FROM ({SOLVED.format(f'SELECT * FROM t, {GRID}')})""",
 )
 def r1p(spark, sf_dir):
-    gram = heads.scaled(sum(heads.grams(two(spark, sf_dir), "x", "y", "fold", "w").values()))[0]
-    path = zip(heads.ALPHAS, heads.ridge(gram, heads.ALPHAS), strict=True)
+    rows = two(spark, sf_dir)
+    gram, plain = (sum(heads.grams(rows, "x", "y", "fold", w).values()) for w in ("w", None))
+    path = zip(heads.ALPHAS, heads.fitted(gram, plain, heads.ALPHAS), strict=True)
     return spark.createDataFrame([(round(a, 6), *[round(float(v), 6) for v in c], round(b, 6)) for a, (c, b) in path], "alpha double, first double, second double, intercept double")
 
 
@@ -271,40 +274,40 @@ def l5(spark, sf_dir):
     return spark.createDataFrame([(n, float(x)) for n, x in blending.identify(0.6 * errors + 0.4 * (1 - r), var_p)], "formula string, misfit double")
 
 
-DRAWN = "(((((12345 * 7919 + l_orderkey * 104729 + 17) % 1000003) * 7919 + draw * 104729 + 17) % 1000003) / 1000003.0) < 0.6"
+#: Both halves of a hashed number: of a row and of a resample or draw.
+FIRST = "((12345 * 7919 + {} * 104729 + 17) % 1000003 * 7919 % 1000003)"
+SECOND = "((r * 104729 + 17) % 1000003)"
 SCORED = lambda p: f"0.6 * sqrt(avg((y - {p}) ** 2)) + 0.4 * (1 - covar_pop(y, {p}) / sqrt(var_pop(y) * var_pop({p})))"
+DRAWS, SHARE, RESAMPLES = 300, 0.6, 2000
 
 
 @query(
     "l6_split_simulation",
-    f"""WITH s AS (SELECT draw, {DRAWN} AS public, {SCORED('p1')} AS p1, {SCORED('p2')} AS p2 FROM {MODELS}, range(0, 50) r(draw) GROUP BY 1, 2),
+    f"""WITH m AS (SELECT {FIRST.format('l_orderkey')} AS a, y, p1, p2 FROM {MODELS}), d AS (SELECT r AS draw, {SECOND} AS b FROM range(0, {DRAWS}) t(r)),
+    s AS (SELECT draw, ((a + b) % 1000003) / 1000003.0 < {SHARE} AS public, {SCORED('p1')} AS p1, {SCORED('p2')} AS p2 FROM m, d GROUP BY 1, 2),
     t AS (SELECT a.draw, CASE WHEN a.p1 <= a.p2 THEN 'p1' ELSE 'p2' END AS pick, b.p1, b.p2 FROM s a JOIN s b USING (draw) WHERE a.public AND NOT b.public)
     SELECT pick, count(*) AS draws, round(avg(least(p1, p2)), 4) AS best, round(avg(CASE WHEN pick = 'p1' THEN p1 ELSE p2 END), 4) AS got FROM t GROUP BY 1""",
 )
 def l6(spark, sf_dir):
     """Draws of a part of the rows to choose a model on, and the rest to judge it by."""
-    draws = spark.range(50).select(F.col("id").alias("draw"))
-    rows = models(spark, sf_dir).crossJoin(F.broadcast(draws)).withColumn("public", S.hashed_unit(F.col("l_orderkey"), F.col("draw")) < 0.6)
-    score = lambda p: metrics.composite(metrics.rmse(F.col("y"), F.col(p)), metrics.pearson(F.col("y"), F.col(p)))
-    s = rows.groupBy("draw", "public").agg(score("p1").alias("p1"), score("p2").alias("p2"))
-    both = s.where("public").select("draw", F.when(F.col("p1") <= F.col("p2"), "p1").otherwise("p2").alias("pick")).join(s.where("not public"), "draw")
+    s = resampling.splits(models(spark, sf_dir), "l_orderkey", "y", ["p1", "p2"], DRAWS, SHARE)
+    both = s.where("part = 0").select("resample", F.when(F.col("p1") <= F.col("p2"), "p1").otherwise("p2").alias("pick")).join(s.where("part = 1"), "resample")
     return both.groupBy("pick").agg(F.count("*").alias("draws"), F.round(F.avg(F.least("p1", "p2")), 4).alias("best"), F.round(F.avg(F.when(F.col("pick") == "p1", F.col("p1")).otherwise(F.col("p2"))), 4).alias("got"))
 
 
 # resampling
 
-U = "(((((12345 * 7919 + {a} * 104729 + 17) % 1000003) * 7919 + {b} * 104729 + 17) % 1000003) / 1000003.0)"
-UNIT = U.format(a="id", b="resample")
-DRAWS = "CASE " + " ".join(f"WHEN {UNIT} < {p} THEN {k}" for k, p in enumerate(resampling.POISSON)) + f" ELSE {len(resampling.POISSON)} END"
+TIMES = "CASE " + " ".join(f"WHEN u < {p} THEN {k}" for k, p in enumerate(resampling.POISSON)) + f" ELSE {len(resampling.POISSON)} END"
 WP = "((sum(w * y * {p}) / sum(w) - sum(w * y) / sum(w) * sum(w * {p}) / sum(w)) / sqrt((sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) ** 2) * (sum(w * {p} * {p}) / sum(w) - (sum(w * {p}) / sum(w)) ** 2)))"
 BOOT = lambda p: f"0.6 * sqrt(sum(w * (y - {p}) * (y - {p})) / sum(w)) + 0.4 * (1 - {WP.format(p=p)})"
-SAMPLED = lambda weight: f"(SELECT resample, {BOOT('p1')} AS p1, {BOOT('p2')} AS p2 FROM (SELECT *, {DRAWS} * {weight} AS w FROM (SELECT l_orderkey * 10 + l_linenumber AS id, y, p1, p2 FROM {MODELS}), range(0, 200) r(resample)) GROUP BY 1)"
+DRAWN = f"(SELECT resample, y, p1, p2, ((a + b) % 1000003) / 1000003.0 AS u FROM (SELECT {FIRST.format('(l_orderkey * 10 + l_linenumber)')} AS a, y, p1, p2 FROM {MODELS}), (SELECT r AS resample, {SECOND} AS b FROM range(0, {RESAMPLES}) t(r)))"
+SAMPLED = lambda weight: f"(SELECT resample, {BOOT('p1')} AS p1, {BOOT('p2')} AS p2 FROM (SELECT resample, y, p1, p2, {TIMES} * {weight} AS w FROM {DRAWN}) GROUP BY 1)"
 SAMPLES = SAMPLED("1")
 
 
 def resamples(spark, sf_dir, w=None):
     rows = models(spark, sf_dir).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return resampling.resampled(rows, "id", "y", ["p1", "p2"], 200, w)
+    return resampling.resampled(rows, "id", "y", ["p1", "p2"], RESAMPLES, w)
 
 
 @query("e5_bootstrap_interval", f"SELECT round(quantile_cont(p1, 0.025), 6) AS low, round(quantile_cont(p1, 0.5), 6) AS mid, round(quantile_cont(p1, 0.975), 6) AS high FROM {SAMPLES}")

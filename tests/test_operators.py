@@ -371,3 +371,40 @@ def test_turn_edits_are_those_of_whole_texts(spark, tmp_path):
     got = {n: registry.QUERIES[n](spark, str(tmp_path)).first() for n in ("t4_word_levenshtein", "t5_edit_rate", "t6_word_error_rate")}
     assert row[-1] == 3 == got["t4_word_levenshtein"].edits
     assert got["t5_edit_rate"].edit_rate == got["t6_word_error_rate"].wer == round(3 / 70, 6)
+
+
+def test_weights_of_ridge_count_by_their_proportions_alone(spark):
+    rng = np.random.default_rng(12)
+    n, d = 200, 5
+    x = rng.normal(size=(n, d)) * [1, 3, 0.2, 10, 1] + [0, 5, 0, -2, 1]
+    y = x @ rng.normal(size=d) + rng.normal(size=n)
+    w = rng.uniform(0.5, 2, n)
+    frame = lambda w: spark.createDataFrame([(0, [float(v) for v in x[i]], float(y[i]), float(w[i])) for i in range(n)], "k int, x array<double>, y double, w double")
+    sums = {name: heads.grams(frame(v), "x", "y", "k", "w")[0] for name, v in (("plain", np.ones(n)), ("w", w), ("twice", 2 * w))}
+    for alpha in (0.1, 10.0, 1e4):
+        # standardised by all rows alike, then weighted least squares with a penalty on weights of mean one
+        z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+        v = w / w.mean()
+        zc, yc = z - np.average(z, axis=0, weights=v), y - np.average(y, weights=v)
+        beta = np.linalg.solve((zc * v[:, None]).T @ zc + alpha * np.eye(d), (zc * v[:, None]).T @ yc)
+        want = np.average(y, weights=v) + zc @ beta
+        for name in ("w", "twice"):
+            coef, b = heads.fitted(sums[name], sums["plain"], (alpha,))[0]
+            assert np.allclose(x @ coef + b, want, atol=1e-6)
+    assert len(heads.ALPHAS) == 25 and heads.ALPHAS[0] == 0.1 and heads.ALPHAS[-1] == 100_000
+
+
+def test_one_pass_resamples_are_those_of_multiplied_rows(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "ROWS", 7)
+    monkeypatch.setattr(resampling, "TIMES", 5)
+    rng = np.random.default_rng(4)
+    rows = [(int(i) * 104_729_000_003, float(a), float(a + b), float(c), float(u)) for i, (a, b, c, u) in enumerate(zip(*rng.normal(size=(3, 60)), rng.uniform(0.1, 2, 60), strict=True))]
+    df = spark.createDataFrame([*rows, (-5, 1.0, 2.0, 0.5, 1.0), (None, 1.0, 2.0, 3.0, 1.0), (7, None, 2.0, 3.0, 1.0)], "id long, y double, p double, q double, w double").repartition(3)
+    for w in (None, "w"):
+        got = {r.resample: (r.p, r.q) for r in resampling.resampled(df, "id", "y", ["p", "q"], 12, w).collect()}
+        many = df.dropna().withColumn("id", F.pmod("id", F.lit(resampling.MODULUS))).crossJoin(spark.range(12).toDF("r")).withColumn("d", resampling.draws(F.col("id"), F.col("r")) * (F.col(w) if w else F.lit(1.0)))
+        score = lambda p: metrics.composite(metrics.rmse(F.col("y"), F.col(p), F.col("d")), metrics.pearson(F.col("y"), F.col(p), F.col("d"))).alias(p)
+        want = {r.r: (r.p, r.q) for r in many.groupBy("r").agg(score("p"), score("q")).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[r], want[r], atol=1e-9) for r in want)
+    both = resampling.splits(df, "id", "y", ["p"], 3, 0.6).collect()
+    assert {(r.resample, r.part) for r in both} == {(r, part) for r in range(3) for part in (0, 1)} and all(r.p > 0 for r in both)
