@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.functions import metrics
+from gradeworks.operators.heads import grams
+from gradeworks.operators.kernels import array_sums, filled, matrix
 
 
 def nnls(gram: np.ndarray) -> tuple[np.ndarray, float]:
@@ -86,76 +90,127 @@ def composite_of_moments(m: np.ndarray) -> float:
     return float(0.6 * np.sqrt(max((pp - 2 * py + yy) / n, 0)) + 0.4 * (1 - r))
 
 
-def by_population(gram) -> dict:
-    return gram if isinstance(gram, dict) else {None: gram}
-
-
-def fitted_stack(train: dict) -> tuple[np.ndarray, float, float, dict]:
-    """(weights, intercept, slope, intercept of each population): non-negative weights over all rows, then one slope and an intercept a population.
-
-    ``train`` holds the sums of each population. Populations without rows get
-    the mean intercept of the others when the stack is applied.
-    """
-    coef, c = nnls(sum(train.values()))
-    line = np.concatenate(([c], coef, [0.0]))
-    sums = {q: moments_of(g, line) for q, g in train.items() if g[0, 0] > 0}
-    xy = sum(m[4] - m[1] * m[2] / m[0] for m in sums.values())
-    xx = sum(m[3] - m[1] * m[1] / m[0] for m in sums.values())
+@dataclass
+class Stack:
+    """Non-negative weights and an intercept, then one slope and an intercept for each population."""
+
+    coef: np.ndarray
+    intercept: float
+    slope: float = 1.0
+    levels: dict = field(default_factory=dict)
+
+    def line(self, population) -> np.ndarray:
+        """Intercept and weights for a row of a population; one that the fit lacked gets the mean intercept of the others."""
+        level = self.levels.get(population, float(np.mean(list(self.levels.values()))) if self.levels else 0.0)
+        return np.concatenate(([self.slope * self.intercept + level], self.slope * self.coef))
+
+
+def fitted_stack(train: dict, columns: tuple[int, ...]) -> Stack:
+    """The stack of some of the models, from the sums of each population's rows (one population ``None`` where there are none)."""
+    size = len(next(iter(train.values()))) - 2
+    at = np.ix_(pick := [0, *[c + 1 for c in columns], size + 1], pick)
+    sums = {q: g[at] for q, g in train.items() if g[0, 0] > 0}
+    coef, intercept = nnls(sum(sums.values()))
+    whole = np.zeros(size)
+    whole[list(columns)] = coef
+    if list(train) == [None]:  # least squares with a free intercept is calibrated
+        return Stack(whole, intercept)
+    line = np.concatenate(([intercept], coef, [0.0]))
+    moments = {q: moments_of(g, line) for q, g in sums.items()}
+    xy = sum(m[4] - m[1] * m[2] / m[0] for m in moments.values())
+    xx = sum(m[3] - m[1] * m[1] / m[0] for m in moments.values())
     slope = float(xy / xx) if xx > 0 else 0.0
-    return coef, c, slope, {q: float((m[2] - slope * m[1]) / m[0]) for q, m in sums.items()}
+    return Stack(whole, intercept, slope, {q: float((m[2] - slope * m[1]) / m[0]) for q, m in moments.items()})
 
 
-def nested(by_fold: dict, columns: list[int] | None = None, judged: dict | None = None) -> tuple[float, dict[int, tuple[np.ndarray, float]]]:
-    """Mean composite over held-out folds of stacks fitted on the others, and each fold's weights; folds' sums are subtracted.
+def sums_by_fold(df: DataFrame, x: str, y: str, fold: str, population: str | None = None, populations: int = 4, w: str | None = None) -> dict:
+    """``{fold: {population: sums}}`` of one column of folds; populations are numbers from 0."""
+    key = F.col(fold) * populations + F.col(population) if population else F.col(fold)
+    out: dict = {}
+    for k, g in grams(df.withColumn("__cell", key), x, y, "__cell", w).items():
+        f, q = divmod(k, populations) if population else (k, None)
+        out.setdefault(f, {})[q] = g
+    return out
 
-    ``by_fold`` holds the sums of each fold, or of each population of each fold:
-    then predictions are calibrated by population. Sums made with weights fit by
-    these weights; ``judged`` are sums to score by, where they differ.
-    """
-    parts = {f: by_population(g) for f, g in by_fold.items()}
-    held = {f: by_population(g) for f, g in (judged or by_fold).items()}
-    size = len(next(iter(next(iter(parts.values())).values())))
-    pick = [0, *[c + 1 for c in (columns if columns is not None else range(size - 2))], size - 1]
-    at = np.ix_(pick, pick)
-    fits, scores = {}, []
-    for f in parts:
+
+def fold_stacks(by_fold: dict, columns: tuple[int, ...]) -> dict[int, Stack]:
+    """A stack for each fold, from the sums of all others."""
+    out = {}
+    for f in by_fold:
         train: dict = {}
-        for other, groups in parts.items():
+        for other, groups in by_fold.items():
             for q, g in groups.items():
                 if other != f:
-                    train[q] = train.get(q, 0) + g[at]
-        coef, c, slope, level = fitted_stack(train)
-        fits[f] = (coef, c)
-        if list(train) == [None]:  # no populations: the stack is not calibrated further
-            slope, level = 1.0, {None: 0.0}
-        mean = float(np.mean(list(level.values())))
-        lines = {q: np.concatenate(([slope * c + level.get(q, mean)], slope * coef, [0.0])) for q in held[f]}
-        scores.append(composite_of_moments(sum(moments_of(g[at], lines[q]) for q, g in held[f].items())))
-    return float(np.mean(scores)), fits
-
-
-def removal_path(by_fold: dict, judged: dict | None = None) -> list[tuple[float, tuple[int, ...]]]:
-    """(score, models) from all models down to one, each without the model that is missed least."""
-    size = len(next(iter(by_population(next(iter(by_fold.values()))).values()))) - 2
-    path = [(nested(by_fold, list(range(size)), judged)[0], tuple(range(size)))]
-    while len(path[-1][1]) > 1:
-        kept = path[-1][1]
-        smaller = [tuple(c for c in kept if c != out) for out in kept]
-        scores = np.array([nested(by_fold, list(c), judged)[0] for c in smaller])
-        least = int(scores.argmin())
-        path.append((float(scores[least]), smaller[least]))
-    return path
+                    train[q] = train.get(q, 0) + g
+        out[f] = fitted_stack(train, columns)
+    return out
+
 
+def judged(df: DataFrame, x: str, y: str, folds: list[str], candidates: list[list[dict[int, Stack]]], population: str | None = None, w: str | None = None, bounds: tuple[float, float] = (1.0, 5.0)) -> np.ndarray:
+    """Composites of many stacks in one pass: a row a candidate, first of the mean prediction over all columns of folds, then of each column's.
 
-def pruned(by_fold: dict, most: int = 15, tolerance: float = 1e-4, judged: dict | None = None) -> tuple[list[int], float]:
-    """Backward elimination: as far along the removal path as each step costs at most the tolerance, and at least down to ``most`` models."""
-    path = removal_path(by_fold, judged)
-    best, at = path[0][0], 0
-    for step, (score, _) in enumerate(path[1:], 1):
-        if score > best + tolerance and len(path[at][1]) <= most:
+    ``candidates`` hold, for each column of folds, the stacks of its folds. Each
+    row is predicted by the stacks that were fitted without its fold, within the
+    bounds. A clip has no sums to follow from, so rows are read once, whatever the
+    number of candidates; a task adds up six numbers for each score.
+    """
+    many, columns = len(candidates), len(folds)
+    rows = df.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), (F.col(w) if w else F.lit(1.0)).cast("double").alias("w"), (F.col(population) if population else F.lit(0)).cast("int").alias("q"), *[F.col(f).cast("int").alias(f"f{i}") for i, f in enumerate(folds)])
+
+    def add(batches):
+        total = np.zeros((many, 1 + columns, 6))
+        for b in filled(batches):
+            xx, yy, ww, q = matrix(b.column(0)), *(b.column(c).to_numpy() for c in (1, 2, 3))
+            one = np.column_stack([np.ones(len(xx)), xx])
+            pred = np.zeros((1 + columns, len(xx), many))
+            for s in range(columns):
+                fold = b.column(4 + s).to_numpy()
+                for f, group in {*zip(fold.tolist(), q.tolist(), strict=True)}:
+                    own = (fold == f) & (q == group)
+                    lines = np.array([c[s][f].line(group if population else None) for c in candidates])
+                    pred[1 + s, own] = np.clip(one[own] @ lines.T, *bounds)
+            pred[0] = pred[1:].mean(0)
+            for s, p in enumerate(pred):
+                total[:, s] += np.column_stack([np.full(many, ww.sum()), ww @ p, np.full(many, ww @ yy), ww @ (p * p), (ww * yy) @ p, np.full(many, ww @ (yy * yy))])
+        return {0: total.ravel()}
+
+    got = array_sums(rows, add, many * (1 + columns) * 6)
+    if not got:
+        return np.full((many, 1 + columns), np.nan)
+    return np.array([[composite_of_moments(m) for m in row] for row in got[0].reshape(many, 1 + columns, 6)])
+
+
+def nested(
+    df: DataFrame, x: str, y: str, folds: list[str], population: str | None = None, w_fit: str | None = None, w_judge: str | None = None, bounds: tuple[float, float] = (1.0, 5.0), columns: tuple[int, ...] | None = None,
+) -> tuple[float, list[float], list[dict[int, Stack]]]:
+    """Composite of the mean out-of-fold prediction, composites of each column of folds, and the folds' stacks."""
+    sums = [sums_by_fold(df, x, y, f, population, w=w_fit) for f in folds]
+    size = max((len(g) - 2 for by in sums for groups in by.values() for g in groups.values()), default=0)
+    stacks = [fold_stacks(by, columns if columns is not None else tuple(range(size))) for by in sums]
+    score, *each = judged(df, x, y, folds, [stacks], population, w_judge, bounds)[0]
+    return float(score), [float(v) for v in each], stacks
+
+
+def pruned(
+    df: DataFrame, x: str, y: str, folds: list[str], most: int = 15, tolerance: float = 1e-4, population: str | None = None, w_fit: str | None = None, w_judge: str | None = None, bounds: tuple[float, float] = (1.0, 5.0),
+) -> list[tuple[tuple[int, ...], float]]:
+    """The way from all models to those that stay: ``(models, composite)`` after each removal; the last entry is the result.
+
+    All ways to leave out one more model are judged in one pass, and the best of
+    them is taken as long as it costs at most the tolerance against the best
+    composite so far, or more than ``most`` models are left.
+    """
+    sums = [sums_by_fold(df, x, y, f, population, w=w_fit) for f in folds]
+    size = max((len(g) - 2 for by in sums for groups in by.values() for g in groups.values()), default=0)
+    options, way = [tuple(range(size))], []
+    while options and options[0]:
+        scores = judged(df, x, y, folds, [[fold_stacks(by, c) for by in sums] for c in options], population, w_judge, bounds)[:, 0]
+        least = int(scores.argmin())
+        if way and len(way[-1][0]) <= most and scores[least] > min(s for _, s in way) + tolerance:
             break
-        best, at = min(best, score), step
-    return list(path[at][1]), best
+        way.append((options[least], float(scores[least])))
+        options = [tuple(c for c in options[least] if c != out) for out in options[least]] if len(options[least]) > 1 else []
+    return way
 
 
 def stacked(df: DataFrame, p: str, coef: np.ndarray, intercept: float, low: float, high: float, name: str = "pred") -> DataFrame:

@@ -180,24 +180,24 @@ def k4(spark, sf_dir):
 
 
 NESTED = f"""g AS (SELECT fold, {moments_sql('p1', 'p2', 'y')} FROM {MODELS} GROUP BY 1), t AS (SELECT f.fold, {', '.join(f'sum(o.{m}) AS {m}' for m in SUMS)} FROM g f JOIN g o ON o.fold <> f.fold GROUP BY 1),
- w AS ({NNLS.format('SELECT * FROM t')}), q AS (SELECT m.fold, y, b0 + w1 * p1 + w2 * p2 AS p FROM {MODELS} m JOIN w ON m.fold = w.fold),
- c AS (SELECT avg(score) AS composite FROM (SELECT fold, 0.6 * sqrt(avg((y - p) ** 2)) + 0.4 * (1 - CASE WHEN var_pop(p) > 1e-9 THEN covar_pop(y, p) / sqrt(var_pop(y) * var_pop(p)) ELSE 0 END) AS score FROM q GROUP BY 1))"""
+ w AS ({NNLS.format('SELECT * FROM t')}), q AS (SELECT m.fold, y, greatest(1.0, least(90.0, b0 + w1 * p1 + w2 * p2)) AS p FROM {MODELS} m JOIN w ON m.fold = w.fold),
+ c AS (SELECT 0.6 * sqrt(avg((y - p) ** 2)) + 0.4 * (1 - CASE WHEN var_pop(p) > 1e-9 THEN covar_pop(y, p) / sqrt(var_pop(y) * var_pop(p)) ELSE 0 END) AS composite FROM q)"""
+BOUNDS = (1.0, 90.0)
 
 
 @query("k5_nested_stack", f"WITH {NESTED} SELECT fold, round(w1, 6) AS w1, round(w2, 6) AS w2, round(b0, 6) AS intercept, round(composite, 6) AS composite FROM w, c")
 def k5(spark, sf_dir):
-    score, fits = stacking.nested(model_grams(spark, sf_dir))
-    rows = [(f, *[round(float(c), 6) for c in w], round(b, 6), round(score, 6)) for f, (w, b) in sorted(fits.items())]
+    score, _, fits = stacking.nested(models(spark, sf_dir).withColumn("x", F.array("p1", "p2")), "x", "y", ["fold"], bounds=BOUNDS)
+    rows = [(f, *[round(float(c), 6) for c in m.coef], round(m.intercept, 6), round(score, 6)) for f, m in sorted(fits[0].items())]
     return spark.createDataFrame(rows, "fold int, w1 double, w2 double, intercept double, composite double")
 
 
 @query("k5_population_stack")
 def k5p(spark, sf_dir):
-    """The nested stack with an intercept for each population, fitted with one set of row weights and judged with another."""
-    rows = models(spark, sf_dir).withColumns({"x": F.array("p1", "p2"), "cell": F.col("fold") * 4 + F.col("pop"), "w": F.when(F.col("pop") == 0, 2.0).otherwise(1.0)})
-    sums = [{f: {q: g for k, g in got.items() if k // 4 == f for q in [k % 4]} for f in range(5)} for got in (heads.grams(rows, "x", "y", "cell"), heads.grams(rows, "x", "y", "cell", "w"))]
-    score, fits = stacking.nested(sums[0], judged=sums[1])
-    return spark.createDataFrame([(f, round(b, 6), round(score, 6)) for f, (_, b) in sorted(fits.items())], "fold int, intercept double, composite double")
+    """The nested stack over two columns of folds, with an intercept for each population, fitted with one set of row weights and judged with another."""
+    rows = models(spark, sf_dir).withColumns({"x": F.array("p1", "p2"), "fold2": (F.col("l_suppkey") % 3).cast("int"), "w": F.when(F.col("pop") == 0, 2.0).otherwise(1.0)})
+    score, each, _ = stacking.nested(rows, "x", "y", ["fold", "fold2"], "pop", w_judge="w", bounds=BOUNDS)
+    return spark.createDataFrame([(name, round(v, 6)) for name, v in zip(("mean", "fold", "fold2"), (score, *each), strict=True)], "folds string, composite double")
 
 
 @query("k6_final_stack", f"WITH s AS ({NNLS.format('SELECT * FROM ' + STACK)}) SELECT count(*) AS n, round(min(p), 4) AS low, round(max(p), 4) AS high, round(avg(p), 4) AS mean FROM (SELECT greatest(1.0, least(90.0, b0 + w1 * p1 + w2 * p2)) AS p FROM {MODELS}, s)")
@@ -209,9 +209,10 @@ def k6(spark, sf_dir):
 
 @query("k7_greedy_pruning")
 def k7(spark, sf_dir):
+    """Each step of the pruning: the models that are left, and their composite."""
     rows = models(spark, sf_dir).withColumn("noise", S.hashed_unit(F.col("l_orderkey"), F.col("l_linenumber")))
-    keep, best = stacking.pruned(heads.grams(rows.withColumn("x", F.array("p1", "p2", "noise")), "x", "y", "fold"))
-    return spark.createDataFrame([([["p1", "p2", "noise"][k] for k in keep], best)], "kept array<string>, composite double")
+    way = stacking.pruned(rows.withColumn("x", F.array("p1", "p2", "noise")), "x", "y", ["fold"], bounds=BOUNDS)
+    return spark.createDataFrame([(i, [["p1", "p2", "noise"][k] for k in kept], score) for i, (kept, score) in enumerate(way)], "step int, kept array<string>, composite double")
 
 
 @query("k8_cluster_smoothing", f"SELECT l_orderkey, l_linenumber, round(0.7 * p1 + 0.3 * avg(p1) OVER (PARTITION BY l_suppkey), 9) AS smooth FROM {MODELS}")

@@ -100,8 +100,6 @@ def test_nnls_meets_its_conditions():
     coef, b = stacking.nnls(z.T @ z)
     slope = p.T @ (y - p @ coef - b)
     assert (coef >= 0).all() and np.abs(slope[coef > 0]).max() < 1e-6 and slope[coef == 0].max() < 1e-6
-    keep, best = stacking.pruned({f: z[f::5].T @ z[f::5] for f in range(5)})
-    assert set(keep) <= {0, 2, 3, 5, 1, 4} and best <= stacking.nested({f: z[f::5].T @ z[f::5] for f in range(5)})[0] + 1e-3
 
 
 def test_blend_stays_convex_and_beats_its_parts():
@@ -287,21 +285,56 @@ def test_fourier_features_approach_the_kernel(spark):
     assert out.count() == 60 and out.where("pred is null").count() == 0
 
 
-def test_populations_have_intercepts_of_their_own_in_the_stack():
+def direct_stack(p, y, fold, pop, fit, judge, columns):
+    """Composite of clipped out-of-fold predictions, each fold's stack fitted on the other rows themselves."""
+    out = np.zeros(len(y))
+    for f in np.unique(fold):
+        tr, va = fold != f, fold == f
+        z = np.column_stack([np.ones(tr.sum()), p[tr][:, columns], y[tr]])
+        coef, c = stacking.nnls((z * fit[tr, None]).T @ z)
+        raw = p[:, columns] @ coef + c
+        design = np.column_stack([raw, np.eye(3)[pop]]) if pop is not None else np.column_stack([raw, np.ones(len(y))])
+        beta = np.linalg.lstsq(design[tr] * np.sqrt(fit[tr, None]), y[tr] * np.sqrt(fit[tr]), rcond=None)[0]
+        if pop is not None:
+            there = np.bincount(pop[tr], minlength=3) > 0
+            beta[1:][~there] = beta[1:][there].mean()
+        out[va] = np.clip(design[va] @ beta, 1, 5)
+    return out, composite(y, out, judge)
+
+
+def composite(y, p, w):
+    w = w / w.sum()
+    my, mp = w @ y, w @ p
+    r = (w @ ((y - my) * (p - mp))) / np.sqrt((w @ (y - my) ** 2) * (w @ (p - mp) ** 2))
+    return 0.6 * np.sqrt(w @ (y - p) ** 2) + 0.4 * (1 - r)
+
+
+@pytest.mark.parametrize("populations", [False, True])
+def test_nested_stack_is_that_of_direct_computation(spark, populations):
     rng = np.random.default_rng(6)
-    n = 400
-    x, pop = rng.normal(size=(n, 2)), rng.integers(0, 3, n)
-    y = 0.7 * x[:, 0] + 0.2 * x[:, 1] + np.array([0.0, 1.0, -2.0])[pop]
-    z = np.column_stack([np.ones(n), x, y])
-    fold = np.arange(n) % 4
-    plain = {f: z[fold == f].T @ z[fold == f] for f in range(4)}
-    split = {f: {q: z[(fold == f) & (pop == q)].T @ z[(fold == f) & (pop == q)] for q in range(3)} for f in range(4)}
-    assert stacking.nested(split)[0] < 0.1 < stacking.nested(plain)[0]
-    heavy = {f: {q: g * (5.0 if q == 0 else 1.0) for q, g in groups.items()} for f, groups in split.items()}
-    assert stacking.nested(split, judged=heavy)[0] != stacking.nested(split)[0]
-    path = stacking.removal_path(plain)
-    assert [len(c) for _, c in path] == [2, 1] and path[1][1] == (0,)
-    assert stacking.pruned(plain, most=1)[0] == [0]
+    n = 240
+    y = rng.uniform(1, 5, n)
+    pop = rng.integers(0, 3, n)
+    p = y[:, None] + rng.normal(size=(n, 4)) * [0.4, 0.6, 0.8, 3.0] + np.array([0.0, 1.0, -2.0])[pop][:, None] * populations
+    folds_ = np.column_stack([np.arange(n) % 4, rng.integers(0, 3, n)])
+    pop[(folds_[:, 0] == 1) & (pop == 2)] = 0
+    fit, judge = rng.uniform(0.5, 2, n), rng.uniform(0.5, 2, n)
+    rows = [([float(v) for v in p[i]], float(y[i]), int(folds_[i, 0]), int(folds_[i, 1]), int(pop[i]), float(fit[i]), float(judge[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, f0 int, f1 int, pop int, fit double, judge double").repartition(3)
+    how = {"population": "pop" if populations else None, "w_fit": "fit", "w_judge": "judge"}
+    q = pop if populations else None
+    score, each, _ = stacking.nested(df, "x", "y", ["f0", "f1"], **how)
+    direct = [direct_stack(p, y, folds_[:, s], q, fit, judge, [0, 1, 2, 3]) for s in (0, 1)]
+    assert np.allclose(each, [d[1] for d in direct], atol=1e-8) and abs(score - composite(y, np.mean([d[0] for d in direct], axis=0), judge)) < 1e-8
+    # removal by removal, against all subsets scored directly
+    way = stacking.pruned(df, "x", "y", ["f0"], most=2, tolerance=1e-4, **how)
+    assert way[0][0] == (0, 1, 2, 3) and [len(c) for c, _ in way] == list(range(4, 4 - len(way), -1)) and len(way[-1][0]) <= 2
+    for (before, _), (after, got) in zip(way, way[1:], strict=False):
+        scores = [direct_stack(p, y, folds_[:, 0], q, fit, judge, [c for c in before if c != out])[1] for out in before]
+        assert abs(min(scores) - got) < 1e-8 and after == tuple(c for c in before if c != before[int(np.argmin(scores))])
+    if len(way[-1][0]) > 1:
+        left = way[-1][0]
+        assert min(direct_stack(p, y, folds_[:, 0], q, fit, judge, [c for c in left if c != out])[1] for out in left) > min(s for _, s in way) + 1e-4
 
 
 def test_vectors(spark):
