@@ -7,9 +7,12 @@ anew. With ``map_path`` the latest version there is loaded; it is kept as long a
 it suits the sizes and the number of shards, and else edited.
 
 Defined results: a null text has no bytes and counts 8; null ids hash like any
-other value; repeated rows share a slot, and of equal rows it is open which comes
-first; the length of a text does not matter; an empty table gives an empty map of
-zero bytes; further columns are left alone.
+other value; repeated rows share a slot, unless there are more copies than shards
+and they hold more than a twentieth of a shard: then the copies are dealt over
+slots, by a number (``sharded``) or by their place in the table (``with_shard``,
+which moves no texts); of equal rows it is open which comes first; the length of a
+text does not matter; an empty table gives an empty map of zero bytes; further
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from gradeworks.sources.scratch import new_path
 SLOTS = 8192
 #: How far the fullest shard may be above the mean before a stored map is edited.
 SLACK = 0.05
+#: Records whose copies hold more than a shard's share of all bytes divided by this are dealt over slots.
+COPIES = 20
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long, first long"
 
 
@@ -32,9 +37,42 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def virtual_slot(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    """A record's slot, from its id and text, so that one repeated id is no hot slot."""
-    return F.pmod(F.xxhash64(doc_id, text), F.lit(slots)).cast("int")
+def record(docs: DataFrame) -> Column:
+    """What tells records apart, as a hash of id and text."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def heavy(sized: DataFrame, shards: int) -> DataFrame:
+    """``r``: the records with more copies than there are shards that hold more than a twentieth of a shard; there are fewer than twenty a shard."""
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    return sized.groupBy("r").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("n") > shards) & (F.col("b") > total / shards / COPIES)).select("r")
+
+
+def dealt(df: DataFrame, hot: DataFrame, key: str, name: str, slots: int) -> DataFrame:
+    """``df`` with the slot of its record hash ``key``; copies of a heavy record each get that of the hash and their place in the table."""
+    place, is_hot = fresh(df, "own_place", "own_heavy")
+    row = F.monotonically_increasing_id()
+    marked = df.withColumn(place, row * 31 + F.shiftright(row, 33)).join(F.broadcast(hot.select(F.col("r").alias(key), F.lit(True).alias(is_hot))), key, "left")
+    slot = F.when(F.col(is_hot), F.pmod(F.xxhash64(key, place), F.lit(slots))).otherwise(F.pmod(key, F.lit(slots))).cast("int")
+    return marked.withColumn(name, slot).drop(place, is_hot)
+
+
+def numbered(read: DataFrame, hot: DataFrame, slots: int) -> DataFrame:
+    """``read`` with its slots ``v``. Copies of a heavy record are numbered from 0, so that it does not matter how the table is partitioned.
+
+    A copy's number is its rank among those of its partition, plus those of the
+    partitions before: no task ranks all copies.
+    """
+    marked = read.join(F.broadcast(hot.withColumn("heavy", F.lit(True))), "r", "left")
+    rest = marked.where("heavy is null").withColumn("v", F.pmod("r", F.lit(slots)).cast("int"))
+    copies = marked.where("heavy").withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    copies = written(copies, "copies")
+    many = copies.groupBy("r", "part").agg(F.count("*").alias("c"))
+    before = many.withColumn("before", F.sum("c").over(Window.partitionBy("r").orderBy("part")) - F.col("c")).drop("c")
+    ranked = copies.withColumn("k", F.row_number().over(Window.partitionBy("r", "part").orderBy("row"))).join(before, ["r", "part"])
+    copies = ranked.withColumn("v", F.pmod(F.xxhash64("r", F.col("before") + F.col("k")), F.lit(slots)).cast("int"))
+    names = [*read.columns, "v"]
+    return rest.select(names).unionByName(copies.select(names))
 
 
 def slot_sizes(sized: DataFrame) -> list[tuple[int, int, int]]:
@@ -123,9 +161,10 @@ def current_map(spark, sizes: list[tuple[int, int, int]], shards: int, slots: in
     if not known:
         return map_table(spark, first_map(sizes, shards, slots), sizes, 1, map_path)
     before = loaded(spark, map_path, known[-1])
-    if fits(before, sizes, shards):
+    after = before if fits(before, sizes, shards) else rebalanced(before, sizes, shards)
+    if after == before:  # it suits, or no move of a slot makes it better
         return placed(spark, before, sizes, known[-1])
-    return map_table(spark, rebalanced(before, sizes, shards), sizes, known[-1] + 1, map_path)
+    return map_table(spark, after, sizes, known[-1] + 1, map_path)
 
 
 def placed(spark, shard_of: dict[int, int], sizes: list[tuple[int, int, int]], version: int) -> DataFrame:
@@ -158,10 +197,8 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = written(
-        docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(F.col("doc_id"), F.col("text"), slots).alias("v")),
-        "sized",
-    )
+    read = written(docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), record(docs).alias("r")), "read")
+    sized = written(numbered(read, heavy(read, shards), slots), "sized")
     sizes = slot_sizes(sized)
     plan = current_map(spark, sizes, shards, slots, map_path)
     within = Window.partitionBy("v").orderBy("doc_id", "text_crc32", "size")
@@ -173,9 +210,11 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str
 
 def with_shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """The records with all their columns, ``virtual_slot`` and ``shard`` (which replace columns of those names); texts are not shuffled."""
-    slot, shard = fresh(docs, "own_slot", "own_shard")
-    v = virtual_slot(F.col("doc_id"), F.col("text"), slots)
-    sizes = slot_sizes(docs.select(record_size(F.col("text")).alias("size"), v.alias("v")))
+    key, slot, shard = fresh(docs, "own_key", "own_slot", "own_shard")
+    told = docs.select(record_size(F.col("text")).alias("size"), record(docs).alias("r"))
+    hot = written(heavy(told, shards), "heavy")
+    rows = dealt(docs.withColumn(key, record(docs)), hot, key, slot, slots)
+    sizes = slot_sizes(rows.select(record_size(F.col("text")).alias("size"), F.col(slot).alias("v")))
     plan = current_map(docs.sparkSession, sizes, shards, slots, map_path).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
     kept = [F.col(c) for c in docs.columns if c.lower() not in ("shard", "virtual_slot")]
-    return docs.withColumn(slot, v).join(F.broadcast(plan), slot).select(*kept, F.col(slot).alias("virtual_slot"), F.col(shard).alias("shard"))
+    return rows.join(F.broadcast(plan), slot).select(*kept, F.col(slot).alias("virtual_slot"), F.col(shard).alias("shard"))
