@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.llm.common import fresh
+
 BUCKETS = 1 << 15
 DIM = 16
 GRAMS = (2, 3, 4)
@@ -165,30 +167,33 @@ def held_out(doc_id: Column) -> Column:
 def trained(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on a sample of at most about ``per_language`` labelled rows of each language.
 
-    A row is in the sample if the hash of its id is below its language's rate,
-    so nothing is ranked or gathered beyond the sample. Executors turn sampled
-    texts into subword shares; those come to the driver.
+    A row is in the sample if the hash of its id and text is below its language's
+    rate, so nothing is ranked or gathered beyond the sample, and one id for many
+    rows is no matter. Rows that are equal in id, text and language count as one.
+    Executors turn sampled texts into subword shares; those come to the driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    n_of = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    (mark,) = fresh(usable, "mark")
+    usable = usable.withColumn(mark, F.xxhash64(F.lit(7), "doc_id", "text"))
+    n_of = {r[0]: r[1] for r in usable.select("lang", mark).distinct().groupBy("lang").count().collect()}
     if not n_of:
         return fitted([])
     rate = F.lit(0.0)
     for lang, n in n_of.items():
         rate = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(rate)
-    u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.where(u < rate).select("doc_id", "lang", "text")
+    u = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.where(u < rate).select(F.col(mark).alias("mark"), "lang", "text").dropDuplicates(["mark", "lang"])
 
     def shares(batches):
         for b in batches:
             got = [counted(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in got], pa.list_(pa.float32()))],
-                names=["doc_id", "lang", "ids", "share"],
+                [b.column("mark"), b.column("lang"), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in got], pa.list_(pa.float32()))],
+                names=["mark", "lang", "ids", "share"],
             )
 
-    got = picked.mapInArrow(shares, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, ids array<int>, share array<float>").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "lang", "ids", "share")), strict=True), key=lambda r: (r[0], r[1]))
+    got = picked.mapInArrow(shares, "mark long, lang string, ids array<int>, share array<float>").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("mark", "lang", "ids", "share")), strict=True), key=lambda r: (r[0], r[1]))
     return fitted([(lang, np.asarray(ids, dtype=np.int64), np.asarray(s, dtype=np.float64)) for _, lang, ids, s in rows])
 
 
@@ -196,6 +201,8 @@ def identified(docs: DataFrame, model: Model | None = None, carry: tuple[str, ..
     """Predictions for every whole text: the carried columns, ``__lang, __score, __rejected``."""
     model = model or trained(docs)
     carry = list(carry or ["doc_id"])
+    if {c.lower() for c in carry} & {"__lang", "__score", "__rejected"}:
+        raise ValueError("__lang, __score and __rejected are what is returned; rename the carried columns")
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(F.col("text").alias("t"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     fields = ", ".join(f"{n} {dict(rows.dtypes)[n]}" for n in names)

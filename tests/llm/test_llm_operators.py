@@ -861,3 +861,36 @@ def test_query_of_quality_and_shards_and_languages(spark, texts):
     for r in shards.values():
         places[r.shard].append(r.slot)
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_shards_of_very_many_equal_rows_are_even_and_equal_runs_keep_the_map(spark, tmp_path):
+    rows = [(None, "one text for all", "en", "s0")] * 5000 + [(i, f"text {i} " * (i % 30), "en", "s1") for i in range(2000)]
+    docs = corpus(spark, rows).repartition(5)
+    path = f"file://{tmp_path}/map"
+    for _ in range(3):
+        got = sharding.sharded(docs, map_path=path).collect()
+    assert sharding.versions(spark, path) == [1]
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    assert len(size) == 24 and max(size.values()) < 1.05 * min(size.values())
+    for s in size:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    whole = sharding.with_shard(docs)
+    n = {r.shard: r["count"] for r in whole.groupBy("shard").count().collect()}
+    assert sum(n.values()) == 7000 and max(n.values()) < 0.1 * 7000
+    assert whole.columns == [*[c for c in docs.columns if c != "shard"], "virtual_slot", "shard"]
+
+
+def test_language_is_learned_whatever_the_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = docs.withColumn("doc_id", F.lit(4).cast("long"))
+    assert not one.select(langid.held_out(F.col("doc_id"))).first()[0]
+    model = langid.trained(one, per_language=100)
+    assert sorted(model.languages) == sorted(r.lang for r in docs.select("lang").distinct().collect())
+    again = langid.trained(one.unionByName(one).repartition(7), per_language=100)
+    assert np.array_equal(model.logits, again.logits) and model.threshold == again.threshold
+    got = langid.identified(docs, model, carry=("lang",)).where("lang is not null").collect()
+    assert sum(r.lang == r["__lang"] for r in got) > 0.95 * len(got)
+    with pytest.raises(ValueError):
+        langid.identified(docs.withColumnRenamed("lang", "__lang"), model, carry=("__lang",))
