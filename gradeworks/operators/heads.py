@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,6 +138,79 @@ def cv_ridge(
     return out, {(v, f) if by else f: alpha for v, f, alpha, _, _ in models}
 
 
+@dataclass
+class Repeated:
+    """What repeated cross-validation returns; ``per_seed`` arrays are in the order of the columns of folds."""
+
+    rows: DataFrame  # id, y, oof, per_seed, insample
+    short: DataFrame | None  # id, y, oof_short, per_seed: means over each row's short versions, null without any
+    test: DataFrame | None  # id, pred
+    alphas: list[dict[int, float]]
+
+
+def repeated_cv(
+    df: DataFrame, ident: str, x: str, y: str, folds: list[str], inner: str, k: int, inner_k: int = 3, alphas: tuple[float, ...] = ALPHAS, w: str | None = None,
+    augmented: DataFrame | None = None, short: DataFrame | None = None, source: str = "source", test: DataFrame | None = None,
+) -> Repeated:
+    """Cross-validated ridge over several columns of folds, with all that one run of it tells.
+
+    Each row is predicted by the models that were fitted without its fold, one for
+    each column, and their mean; ``insample`` is the mean of all models, most of
+    which have seen the row. ``short`` holds other versions of rows (``source``, x),
+    predicted by the models that have not seen their source, and ``test`` rows that
+    no model has seen, predicted by all. ``augmented`` rows (the columns of ``df``,
+    with their source's folds) join the training side only. All models of a table
+    are applied in one pass; a model is as many numbers as there are features.
+    """
+    fits = [{f: (alpha, c, b) for _, f, alpha, c, b in cv_models(df, x, y, fold, inner, k, inner_k, alphas, w, augmented)} for fold in folds]
+    flat = [np.append(fit[f][1], fit[f][2]) for fit in fits for f in sorted(fit)]
+    place = [{f: sum(len(p) for p in fits[:s]) + i for i, f in enumerate(sorted(fit))} for s, fit in enumerate(fits)]
+    lines = np.array(flat) if flat else np.zeros((0, 1))
+
+    def apply(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = np.array(b.column(2).to_pylist(), dtype=np.float64)
+            every = values @ lines[:, :-1].T + lines[:, -1]
+            own = [np.array([at.get(f, -1) for f in b.column(3 + s).to_pylist()]) for s, at in enumerate(place)]
+            seeds = np.column_stack([np.where(o >= 0, every[np.arange(len(o)), o], np.nan) for o in own])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(seeds), pa.list_(pa.float64())), pa.array(every.mean(1))], names=["id", "y", "per_seed", "all"])
+
+    def predicted(rows: DataFrame, key: str) -> DataFrame:
+        got = rows.select(F.col(key).alias("id"), F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x"), *[F.col(f).cast("int").alias(f"f{s}") for s, f in enumerate(folds)])
+        return got.mapInArrow(apply, f"id {dict(got.dtypes)['id']}, y double, per_seed array<double>, all double")
+
+    mean = F.aggregate("per_seed", F.lit(0.0), lambda a, v: a + v) / len(folds)
+    rows = predicted(df, ident).select("id", "y", mean.alias("oof"), "per_seed", F.col("all").alias("insample"))
+    crops = None
+    if short is not None:
+        known = df.select(F.col(ident).alias(source), y, *folds)
+        each = predicted(short.select(source, x).join(known, source), source).groupBy("id").agg(F.array(*[F.avg(F.get("per_seed", F.lit(s))) for s in range(len(folds))]).alias("per_seed"))
+        crops = df.select(F.col(ident).alias("id"), F.col(y).cast("double").alias("y")).join(each, "id", "left").select("id", "y", mean.alias("oof_short"), "per_seed")
+    unseen = None
+    if test is not None:
+        blank = test.select(ident, x).withColumn(y, F.lit(None).cast("double")).withColumns({f: F.lit(-1) for f in folds})
+        unseen = predicted(blank, ident).select("id", F.col("all").alias("pred"))
+    return Repeated(rows, crops, unseen, [{f: m[0] for f, m in fit.items()} for fit in fits])
+
+
+def summary(cv: Repeated, seeds: int) -> DataFrame:
+    """One row: composites of the mean prediction, in sample and on short versions, and how much seeds differ (population deviation)."""
+    from gradeworks.functions import metrics as M
+
+    score = lambda p: M.composite(M.rmse(F.col("y"), p), M.pearson(F.col("y"), p))
+    each = [score(F.get("per_seed", F.lit(s))).alias(f"s{s}") for s in range(seeds)]
+    out = cv.rows.agg(F.count("*").alias("n"), score(F.col("oof")).alias("composite"), score(F.col("insample")).alias("composite_insample"), *each)
+    spread = F.array(*[f"s{s}" for s in range(seeds)])
+    centre = F.aggregate(spread, F.lit(0.0), lambda a, v: a + v) / seeds
+    sd = F.sqrt(F.aggregate(F.transform(spread, lambda v: (v - centre) * (v - centre)), F.lit(0.0), lambda a, v: a + v) / seeds)
+    out = out.select("n", "composite", "composite_insample", sd.alias("sd_over_seeds"))
+    if cv.short is None:
+        return out
+    return out.crossJoin(cv.short.where("oof_short is not null").agg(F.count("*").alias("n_short"), score(F.col("oof_short")).alias("composite_short")))  # one row each
+
+
 def layer_profile(df: DataFrame, ident: str, layer: str, x: str, y: str, fold: str, inner: str, k: int) -> DataFrame:
     """``layer, n, rmse, pearson, composite`` of out-of-fold ridge on each layer, all layers in the same two passes."""
     from gradeworks.functions.metrics import report

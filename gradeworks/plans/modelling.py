@@ -122,6 +122,16 @@ def r3a(spark, sf_dir):
     return metrics.report(oof, ["fold"], "y", "pred").select("fold", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "pearson", "composite")])
 
 
+@query("r3_repeated_cv")
+def r3r(spark, sf_dir):
+    """Folds by order and by part; a line without its tax is its short version."""
+    rows = design(spark, sf_dir).withColumns({"key": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "fold2": F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).cast("int")})
+    short = rows.select(F.col("key").alias("source"), F.transform("x", lambda v, i: F.when(i == 2, 0.0).otherwise(v)).alias("x"))
+    cv = heads.repeated_cv(rows, "key", "x", "y", ["fold", "fold2"], "inner", 5, w="w", short=short)
+    out = heads.summary(cv, 2)
+    return out.select("n", "n_short", *[F.round(c, 4).alias(c) for c in ("composite", "composite_insample", "composite_short", "sd_over_seeds")])
+
+
 @query("r4_kernel_ridge_cv")
 def r4(spark, sf_dir):
     out = heads.kernel_ridge(design(spark, sf_dir), "l_orderkey", "x", 4, "y", "fold", "inner", 5)

@@ -441,3 +441,52 @@ def test_one_pass_resamples_are_those_of_multiplied_rows(spark, monkeypatch):
         assert got.keys() == want.keys() and all(np.allclose(got[r], want[r], atol=1e-9) for r in want)
     both = resampling.splits(df, "id", "y", ["p"], 3, 0.6).collect()
     assert {(r.resample, r.part) for r in both} == {(r, part) for r in range(3) for part in (0, 1)} and all(r.p > 0 for r in both)
+
+
+def test_repeated_cross_validation_is_that_of_direct_computation(spark):
+    rng = np.random.default_rng(14)
+    n, d, k = 90, 3, 3
+    x = rng.normal(size=(n, d)) * [1, 4, 0.3]
+    y = x @ [1.0, -0.2, 2.0] + 0.3 * rng.normal(size=n)
+    who = np.arange(n) // 3
+    cols = np.column_stack([who % k, rng.integers(0, k, n // 3)[who]])
+    inner, w = who // 3 % 3, rng.uniform(0.5, 2, n)
+    rows = [(i, [float(v) for v in x[i]], float(y[i]), int(cols[i, 0]), int(cols[i, 1]), int(inner[i]), float(w[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, f0 int, f1 int, inner int, w double").repartition(3)
+    src = np.repeat(np.arange(n - 10), 2)
+    crops = x[src] + 0.05 * rng.normal(size=(len(src), d))
+    short = spark.createDataFrame([(int(s), [float(v) for v in c]) for s, c in zip(src, crops, strict=True)], "source long, x array<double>")
+    test = spark.createDataFrame([(i, [float(v) for v in x[i] + 1]) for i in range(4)], "id long, x array<double>")
+    alphas = (0.1, 10.0, 1000.0)
+    cv = heads.repeated_cv(df, "id", "x", "y", ["f0", "f1"], "inner", k, alphas=alphas, w="w", short=short, test=test)
+
+    def ridge(tr, alpha):
+        mean, sd = x[tr].mean(0), x[tr].std(0) + 1e-6
+        z, v = (x[tr] - mean) / sd, w[tr] / w[tr].mean()
+        mz, my = np.average(z, axis=0, weights=v), np.average(y[tr], weights=v)
+        beta = np.linalg.solve(((z - mz) * v[:, None]).T @ (z - mz) + alpha * np.eye(d), ((z - mz) * v[:, None]).T @ (y[tr] - my))
+        return lambda q: ((q - mean) / sd - mz) @ beta + my
+
+    oof, brief, every = np.zeros((2, n)), np.zeros((2, len(src))), []
+    for s in (0, 1):
+        for f in range(k):
+            tr = np.flatnonzero(cols[:, s] != f)
+            errors = [sum(((ridge(tr[inner[tr] != p], a)(x[tr[inner[tr] == p]]) - y[tr[inner[tr] == p]]) ** 2).sum() for p in range(3)) for a in alphas]
+            alpha = alphas[int(np.argmin(errors))]
+            assert cv.alphas[s][f] == alpha
+            model = ridge(tr, alpha)
+            every.append(model)
+            oof[s, cols[:, s] == f] = model(x[cols[:, s] == f])
+            held = cols[src, s] == f
+            brief[s, held] = model(crops[held])
+    got = cv.rows.toPandas().sort_values("id")
+    assert np.allclose(np.array(got["per_seed"].tolist()).T, oof, atol=1e-6) and np.allclose(got["oof"], oof.mean(0), atol=1e-6)
+    assert np.allclose(got["insample"], np.mean([m(x) for m in every], axis=0), atol=1e-6)
+    shorts = cv.short.toPandas().sort_values("id")
+    want = brief.reshape(2, -1, 2).mean(2)
+    assert np.allclose(np.array(shorts["per_seed"].tolist()[: n - 10]).T, want, atol=1e-6) and shorts["oof_short"][shorts["id"] >= n - 10].isna().all()
+    assert np.allclose(cv.test.toPandas().sort_values("id")["pred"], np.mean([m(x[:4] + 1) for m in every], axis=0), atol=1e-6)
+    row = heads.summary(cv, 2).first()
+    one = np.ones(n)
+    assert abs(row.composite - composite(y, oof.mean(0), one)) < 1e-6 and abs(row.sd_over_seeds - np.std([composite(y, o, one) for o in oof])) < 1e-6
+    assert (row.n, row.n_short) == (n, n - 10) and abs(row.composite_short - composite(y[: n - 10], want.mean(0), one[: n - 10])) < 1e-6
