@@ -30,7 +30,9 @@ COSTS, EPSILONS, COMPONENTS = (0.3, 1.0, 3.0, 10.0), (0.05, 0.2), 128
 #: Values of an array that one task adds up.
 CHUNK = 4096
 #: Rows, first by a hash, that landmarks are chosen from and that curvature is estimated on; and single numbers ahead of a pass's sums.
-SAMPLE, HEAD = 4096, 6
+SAMPLE, HEAD = 16384, 6
+#: Rows that a task of a pass has at most, about.
+TASK_ROWS = 200_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -212,6 +214,9 @@ def support_vectors(
     its loss may still be above the least, as a share of it.
     """
     rows = written(df.select(F.col(ident).alias("id"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), F.col(inner).cast("int").alias("inner")), "kernel-rows")
+    # passes are many and heavy for the bytes they read: enough tasks for all cores, of a bounded number of rows
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    rows = written(rows.repartition(tasks, "id"), "kernel-rows")
     by_cell = grams(rows.withColumn("cell", F.col("fold") * inner_k + F.col("inner")), "x", "y", "cell")
     if not by_cell:
         return df.sparkSession.createDataFrame([], f"{ident} {dict(df.dtypes)[ident]}, fold int, y double, pred double"), []
