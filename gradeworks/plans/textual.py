@@ -160,6 +160,21 @@ def v9c(spark, sf_dir):
     return tfidf_digest(features.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", features.character_terms(F.col("text"), 2, 5), 3, 60_000))
 
 
+def both_views(spark, sf_dir):
+    """Words and pairs of words, and runs of two to five characters, side by side."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words, runs = features.word_terms(F.col("text")), features.character_terms(F.col("text"), 2, 5)
+    return features.stacked({"words": features.tfidf(docs, "doc_id", words), "characters": features.tfidf(docs, "doc_id", runs, 3, 60_000)}, "doc_id")
+
+
+ONE = [v.replace(", 6) AS", ", 12) AS") for v in (tfidf_sql(WORDS, 2), tfidf_sql(f"list_concat({RUNS})", 3, 60_000))]
+
+
+@query("v9_tfidf_stacked", f"SELECT doc_id, sum(terms)::bigint AS terms, round(max(top), 6) AS top, round(sum(total), 6) AS total FROM (({ONE[0]}) UNION ALL ({ONE[1]})) GROUP BY 1")
+def v9s(spark, sf_dir):
+    return tfidf_digest(both_views(spark, sf_dir))
+
+
 def word_weights(spark, sf_dir):
     return features.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", features.word_terms(F.col("text"), (1,)))
 
