@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeworks.sources.scratch import written
@@ -37,6 +37,37 @@ def value_counts(df: DataFrame, x: str) -> DataFrame:
     return written(counts.repartitionByRange(F.col("v")).withColumn("part", F.spark_partition_id()), "value-counts")
 
 
+def ranged_counts(df: DataFrame, key: str, x: str) -> DataFrame:
+    """``k, v, n, part``: how often each value stands in its group, in ranges of (group, value); a large group spreads over many."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(key).alias("k"), F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return written(counts.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "ranged-counts")
+
+
+def group_quantiles(df: DataFrame, key: str, x: str, shares: list[float]) -> DataFrame:
+    """``key, n, q``: exact quantiles of every group (linear interpolation), as an array in the order of the shares; nulls are left out.
+
+    A value's ranks follow from a running count within its range, after the counts
+    of the group's ranges before it. No task holds a group: what is summed up by
+    group are the few values at the asked ranks, combined before the shuffle.
+    """
+    counts = ranged_counts(df, key, x)
+    sizes = counts.groupBy("k", "part").agg(F.sum("n").alias("c"))
+    group = Window.partitionBy("k")  # a row for each range of a group
+    starts = sizes.select(F.col("k").alias("g"), F.col("part").alias("at"), (F.sum("c").over(group.orderBy("part")) - F.col("c")).alias("start"), F.sum("c").over(group).alias("total"))
+    placed = counts.join(starts, F.col("k").eqNullSafe(F.col("g")) & (F.col("part") == F.col("at")))
+    above = F.col("start") + F.sum("n").over(Window.partitionBy("k", "part").orderBy("v"))
+    placed = placed.select("k", "v", "total", above.alias("above"), (above - F.col("n")).alias("first"))
+    holds = lambda rank: (rank >= F.col("first")) & (rank < F.col("above"))
+
+    def value(share: float) -> Column:
+        place = F.lit(share) * (F.col("total") - 1)
+        part = place - F.floor(place)
+        weight = F.when(holds(F.floor(place)), 1 - part).otherwise(0.0) + F.when(holds(F.floor(place) + 1), part).otherwise(0.0)
+        return F.sum(F.when(weight > 0, F.col("v") * weight).otherwise(0.0))
+
+    return placed.groupBy(F.col("k").alias(key)).agg(F.max("total").alias("n"), F.array(*[value(s) for s in shares]).alias("q"))
+
+
 def quantile_edges(df: DataFrame, x: str, bins: int, accuracy: int | None = None) -> list[float]:
     """Distinct edges of ``bins`` quantile bins (linear interpolation), rounded to settle the last digits; ``accuracy`` asks for a sketch of that size instead."""
     shares = [i / bins for i in range(bins + 1)]

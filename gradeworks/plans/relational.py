@@ -255,18 +255,26 @@ def j13(spark, sf_dir):
 
 STATS = ("count", "mean", "std", "min", "q1", "median", "q3", "max")
 one("a1_group_count", "documents", "SELECT source, count(*) AS n FROM documents GROUP BY 1")(lambda t: t.groupBy("source").agg(F.count("*").alias("n")))
-one(
+
+
+@query(
     "a2_describe",
-    "documents",
     """SELECT lang, count(n_chars) AS count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, round(quantile_cont(n_chars, 0.25), 6) AS q1,
     round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.75), 6) AS q3, max(n_chars) AS max FROM documents GROUP BY 1""",
-)(
-    lambda t: t.groupBy("lang").agg(
-        F.count("n_chars").alias("count"), r6(F.avg("n_chars")).alias("mean"), r6(F.stddev_samp("n_chars")).alias("std"), F.min("n_chars").alias("min"),
-        *[r6(F.percentile("n_chars", F.lit(q))).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.max("n_chars").alias("max"),
-    )
 )
-one("a3_median", "lineitem", "SELECT l_returnflag, median(l_extendedprice) AS med FROM lineitem GROUP BY 1")(lambda t: t.groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("med")))
+def a2(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("lang", "n_chars")
+    plain = t.groupBy("lang").agg(F.count("n_chars").alias("count"), r6(F.avg("n_chars")).alias("mean"), r6(F.stddev_samp("n_chars")).alias("std"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"))
+    ranks = binning.group_quantiles(t, "lang", "n_chars", [0.25, 0.5, 0.75]).select(F.col("lang").alias("g"), "q")
+    out = plain.join(ranks, F.col("lang").eqNullSafe(F.col("g")), "left")
+    return out.select("lang", "count", "mean", "std", "min", *[r6(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max")
+
+
+@query("a3_median", "SELECT l_returnflag, median(l_extendedprice) AS med FROM lineitem GROUP BY 1")
+def a3(spark, sf_dir):
+    return binning.group_quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", [0.5]).select("l_returnflag", F.get("q", F.lit(0)).alias("med"))
+
+
 one("a4_count_mean_std", "orders", "SELECT o_orderkey % 5 AS fold, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std FROM orders GROUP BY 1")(
     lambda t: t.groupBy((F.col("o_orderkey") % 5).alias("fold")).agg(F.count("*").alias("n"), r6(F.avg("o_totalprice")).alias("mean"), r6(F.stddev_samp("o_totalprice")).alias("std"))
 )
@@ -310,9 +318,12 @@ query("a11b_scatter_mean_zero", A11.format("round(coalesce(m, 0), 6)"))(lambda s
 one("a12_weighted_mean", "lineitem", "SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) AS m FROM lineitem GROUP BY 1")(
     lambda t: t.groupBy("l_returnflag").agg(r6(F.sum(F.col("l_quantity") * F.col("l_extendedprice")) / F.sum("l_quantity")).alias("m"))
 )
-one("a13_percentile_spread", "lineitem", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95) - quantile_cont(l_extendedprice, 0.05), 6) AS spread FROM lineitem GROUP BY 1")(
-    lambda t: t.groupBy("l_returnflag").agg(r6(F.percentile("l_extendedprice", F.lit(0.95)) - F.percentile("l_extendedprice", F.lit(0.05))).alias("spread"))
-)
+@query("a13_percentile_spread", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95) - quantile_cont(l_extendedprice, 0.05), 6) AS spread FROM lineitem GROUP BY 1")
+def a13(spark, sf_dir):
+    q = binning.group_quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", [0.05, 0.95])
+    return q.select("l_returnflag", r6(F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("spread"))
+
+
 one("a14_conditional_share", "documents", "SELECT lang, round(avg((n_chars > 1000)::int), 6) AS share FROM documents GROUP BY 1")(
     lambda t: t.groupBy("lang").agg(r6(F.avg((F.col("n_chars") > 1000).cast("double"))).alias("share"))
 )

@@ -490,3 +490,22 @@ def test_repeated_cross_validation_is_that_of_direct_computation(spark):
     one = np.ones(n)
     assert abs(row.composite - composite(y, oof.mean(0), one)) < 1e-6 and abs(row.sd_over_seeds - np.std([composite(y, o, one) for o in oof])) < 1e-6
     assert (row.n, row.n_short) == (n, n - 10) and abs(row.composite_short - composite(y[: n - 10], want.mean(0), one[: n - 10])) < 1e-6
+
+
+def test_group_quantiles_of_a_hot_group_are_exact_and_spread(spark):
+    rng = np.random.default_rng(3)
+    values = {"hot": rng.normal(size=3000).round(3), "ties": np.repeat([1.0, 2.0], 50), "one": np.array([7.0]), None: rng.normal(size=40)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("hot", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.75, 1.0]
+    got = {r.k: (r.n, r.q) for r in binning.group_quantiles(df, "k", "x", shares).collect()}
+    assert got.keys() == values.keys()
+    for k, vs in values.items():
+        assert got[k][0] == len(vs) and np.allclose(got[k][1], np.quantile(vs, shares), atol=1e-12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables are put together again
+    try:
+        counts = binning.ranged_counts(df, "k", "x").where("k = 'hot'")
+        assert counts.select("part").distinct().count() > 1
+        assert np.allclose(binning.group_quantiles(df, "k", "x", shares).where("k = 'hot'").first().q, np.quantile(values["hot"], shares), atol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
