@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeworks.sources.scratch import written
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows with ``__part``, the number of their range of (keys, order): a key with very many rows lies in several, in order."""
+    return written(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """That two tables' keys are alike, nulls too; the right side's bear a ``__`` in front."""
+    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"__{k}"]) for k in keys))
+
 
 def gaps(df: DataFrame, key: str, start: str, end: str, name: str = "gap") -> DataFrame:
-    """Seconds from the end of the row before to this row's start within a key, not below 0; null for the first."""
-    before = F.lag(end).over(Window.partitionBy(key).orderBy(start, end))
-    return df.withColumn(name, F.when(before.isNotNull(), F.greatest(F.col(start) - before, F.lit(0.0))))
+    """Seconds from the end of the row before to this row's start within a key, not below 0; null for the first.
+
+    Rows are ordered range by range, so a key of any size is many tasks' work; the
+    end of a range's last row is handed to the key's next range.
+    """
+    rows = ranged(df, [key], [start, end])
+    last = rows.groupBy(key, "__part").agg(F.max(F.struct(start, end)).alias("l"))
+    handed = F.lag(F.col("l").getField(end)).over(Window.partitionBy(key).orderBy("__part"))  # a row for each range of a key
+    edges = last.select(F.col(key).alias(f"__{key}"), F.col("__part").alias("__at"), handed.alias("__handed"))
+    joined = rows.join(edges, same(rows, edges, [key]) & (F.col("__part") == F.col("__at")))
+    before = F.coalesce(F.lag(end).over(Window.partitionBy(key, "__part").orderBy(start, end)), "__handed")
+    return joined.withColumn(name, F.when(before.isNotNull(), F.greatest(F.col(start) - before, F.lit(0.0)))).drop(f"__{key}", "__part", "__at", "__handed")
 
 
 def pause_rates(timed: DataFrame, key: str, start: str, end: str, short: float, long: float) -> DataFrame:
@@ -30,9 +53,24 @@ def pause_rates(timed: DataFrame, key: str, start: str, end: str, short: float,
 
 
 def moving_mean(df: DataFrame, keys: list[str], order: str, x: str, width: int, name: str = "moving") -> DataFrame:
-    """Mean of ``width`` rows from each on; rows whose frame is not full are left out."""
-    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, width - 1)
-    return df.withColumns({name: F.avg(x).over(frame), "__n": F.count("*").over(frame)}).where(F.col("__n") == width).drop("__n")
+    """Mean of ``width`` rows from each on; rows whose frame is not full are left out.
+
+    Rows are ordered range by range, so a key of any size is many tasks' work; each
+    range also gets the ``width - 1`` rows of its key that follow it.
+    """
+    rows = ranged(df, keys, [order])
+    here = Window.partitionBy(*keys, "__part").orderBy(order)
+    heads = rows.withColumn("__r", F.row_number().over(here)).where(F.col("__r") < width)
+    # a key's heads are few: less than the width for each of its ranges
+    heads = written(heads.select(*keys, order, x, "__part", F.row_number().over(Window.partitionBy(*keys).orderBy("__part", "__r")).alias("__h")), "heads")
+    wanted = heads.groupBy(*keys, "__part").agg(F.max("__h").alias("__last")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__to"), F.explode(F.sequence(F.col("__last") + 1, F.col("__last") + width - 1)).alias("__at")) if width > 1 else None
+    both = rows.withColumn("__own", F.lit(True))
+    if wanted is not None:
+        carried = heads.join(wanted, same(heads, wanted, keys) & (F.col("__h") == F.col("__at"))).select(*keys, order, x, F.col("__to").alias("__part"), F.lit(False).alias("__own"))
+        both = both.unionByName(carried, allowMissingColumns=True)
+    frame = Window.partitionBy(*keys, "__part").orderBy(order, F.desc("__own")).rowsBetween(0, width - 1)
+    out = both.withColumns({name: F.avg(x).over(frame), "__n": F.count("*").over(frame)})
+    return out.where(F.col("__own") & (F.col("__n") == width)).drop("__n", "__own", "__part")
 
 
 def best_bands(df: DataFrame, keys: list[str], order: str, x: str, width: int = 4) -> DataFrame:

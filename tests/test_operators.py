@@ -509,3 +509,24 @@ def test_group_quantiles_of_a_hot_group_are_exact_and_spread(spark):
         assert np.allclose(binning.group_quantiles(df, "k", "x", shares).where("k = 'hot'").first().q, np.quantile(values["hot"], shares), atol=1e-12)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_sequences_of_one_key_for_the_whole_table(spark, coalesced):
+    rng = np.random.default_rng(11)
+    n, width = 400, 5
+    start = rng.permutation(n).astype(float)
+    rows = [("hot", float(s), float(s + rng.uniform(0, 2)), float(rng.normal())) for s in start] + [("few", float(i), i + 0.5, 1.0 * i) for i in range(3)] + [(None, 1.0, 2.0, 3.0), (None, 5.0, 6.0, 4.0)]
+    df = spark.createDataFrame(rows, "k string, s double, e double, x double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        ordered = {k: sorted(r for r in rows if r[0] == k) for k in ("hot", "few", None)}
+        want = {(k, r[1]): None if i == 0 else max(r[1] - v[i - 1][2], 0.0) for k, v in ordered.items() for i, r in enumerate(v)}
+        assert {(r.k, r.s): r.gap for r in sequences.gaps(df, "k", "s", "e").collect()} == want
+        got = {(r.k, r.s): r.moving for r in sequences.moving_mean(df, ["k"], "s", "x", width).collect()}
+        want = {(k, r[1]): np.mean([q[3] for q in v[i : i + width]]) for k, v in ordered.items() for i, r in enumerate(v) if i + width <= len(v)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        if coalesced == "false":
+            assert sequences.ranged(df, ["k"], ["s"]).where("k = 'hot'").select("__part").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
