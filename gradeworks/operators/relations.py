@@ -92,7 +92,8 @@ def nearest(queries: DataFrame, base: DataFrame, ident: str, vec: str, exclude_s
     first = written(first, "block-pairs")
     found = written(metric.multiplied(asked, held, first, best, schema), "nearest")
     # a row without a product yet leaves its block without a limit
-    reached = found.groupBy("i").agg(F.min("sim").alias("least"), F.count("*").alias("c")).join(asked.rows.groupBy(F.col("block").alias("i")).agg(F.count("*").alias("n")), "i").where("c = n")
+    sizes = asked.rows.join(asked.pieces, "piece").groupBy(F.col("block").alias("i")).agg(F.count("*").alias("n"))
+    reached = found.groupBy("i").agg(F.min("sim").alias("least"), F.count("*").alias("c")).join(sizes, "i").where("c = n")
     slack = 10.0**-digits if digits is not None else 0.0
     left = bounds.join(reached.select("i", "least"), "i", "left").where(F.col("least").isNull() | (F.col("bound") + slack >= F.col("least"))).join(first, ["i", "j"], "left_anti")
     left = written(left.select("i", "j"), "block-pairs")
