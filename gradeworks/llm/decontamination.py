@@ -14,8 +14,8 @@ against all documents without a shuffle.
 Defined results: a very long text is one row's work, linear in its length but for
 the stretches around hits; of stretches the least distance counts; null or blank
 texts match nothing, null or blank items are
-skipped, equal items are all reported, ids may be null (a null item id is not
-listed but still counts) or repeat, an empty table gives no rows, an empty
+skipped, equal items are all reported, ids may be null (a null item id is listed
+as null) or repeat, an empty table gives no rows, an empty
 benchmark leaves all documents clean; further columns are left alone.
 """
 
