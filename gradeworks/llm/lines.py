@@ -20,7 +20,8 @@ is told in ``common.same_group``.
 Defined results: null and blank texts have no lines; lines without a word are
 kept and not counted; a null id comes before all others; rows that repeat an id
 hold the same occurrences and keep or lose them together; an empty table gives
-no rows; further columns are left alone.
+no rows; a very long line is compared whole, a very long text is its lines; further
+columns are left alone.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ seeded order, by count.
 Defined results: a null text has size 0 and is taken 0 times; a null source is
 a source of its own and comes last; repeated rows are documents of their own
 (which of several equal rows is taken is left open, as they cannot be told
-apart); an empty table gives no rows; further columns are left alone.
+apart); a text's length does not matter but for its size; an empty table gives no rows; further columns are left alone.
 """
 
 from __future__ import annotations

@@ -28,9 +28,9 @@ whole texts decides. How a bucket is searched without comparing all its
 pairs is told in ``common.same_group``.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like
-any other (by similarity they are one group, the empty set); equal rows have equal fingerprints and so one component; a
-component's id is the least id in it that is not null (null if there is none);
-an empty table gives no rows; further columns are left alone.
+any other (by similarity they are one group, the empty set); very long texts are
+read in blocks; equal rows have equal fingerprints and so one component; a
+component's id is the least id in it that is not null (null if there is none); an empty table gives no rows; further columns are left alone.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ windows is missed, and about one position in 185 is an anchor.
 
 Defined results: null is the empty text; texts under ``LENGTH`` bytes keep all;
 equal rows repeat each other, so both lose what they share; ids may be null or
-repeat; an empty table gives no rows; further columns are left alone.
+repeat; very long texts are judged whole; an empty table gives no rows; further columns
+are left alone.
 """
 
 from __future__ import annotations
