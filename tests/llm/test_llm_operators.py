@@ -771,7 +771,7 @@ def test_language_blocks_agree(monkeypatch):
 # queries
 
 
-@pytest.mark.parametrize("name", [n for n in llm_queries.QUERIES if n != "pipeline"])
+@pytest.mark.parametrize("name", [n for n in llm_queries.QUERIES if n not in ("pipeline", "op11_search", "op13_hard_negatives")])  # those return no row a document
 def test_registered_queries_return_their_columns(spark, name):
     out = llm_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     want = {
