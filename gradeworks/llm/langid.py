@@ -193,8 +193,12 @@ def trained(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
             )
 
     got = picked.mapInArrow(shares, "mark long, lang string, ids array<int>, share array<float>").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("mark", "lang", "ids", "share")), strict=True), key=lambda r: (r[0], r[1]))
-    return fitted([(lang, np.asarray(ids, dtype=np.int64), np.asarray(s, dtype=np.float64)) for _, lang, ids, s in rows])
+    mark, langs = got["mark"].to_numpy(), got["lang"].to_pylist()
+    ids, share = (got[c].combine_chunks() for c in ("ids", "share"))
+    ends = ids.offsets.to_numpy()
+    ids, share = ids.values.to_numpy(), share.values.to_numpy()  # as they came: no list of Python numbers
+    order = sorted(range(len(mark)), key=lambda i: (mark[i], langs[i]))
+    return fitted([(langs[i], ids[ends[i] : ends[i + 1]].astype(np.int64), share[ends[i] : ends[i + 1]].astype(np.float64)) for i in order])
 
 
 def identified(docs: DataFrame, model: Model | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
