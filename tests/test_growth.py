@@ -18,3 +18,13 @@ def test_different_bigrams_of_a_long_text_are_hashed(spark):
     assert got.kinds == want and abs(got.rate - (n - 1 - want) / (n - 1)) < 1e-12
     few = spark.createDataFrame([([],), (["a"],), (["a", "a"],), (["a", "a", "a", "b"],)], "t array<string>")
     assert [r[0] for r in few.select(text.distinct_bigrams(F.col("t"))).collect()] == [0, 0, 1, 2]
+
+
+def test_words_of_a_long_text_are_made_once_for_all_its_chunks(spark):
+    n = 120_000  # 8,000 chunks: made anew for each, the words would be found in a gigabyte of text and more
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), F.translate(i.cast("string"), "0123456789", "abcdefghij"))), " ").alias("t"))
+    start = monotonic()
+    got = df.select(text.chunks(text.tokens(F.col("t"))).alias("c")).select(F.size("c").alias("n"), F.element_at("c", -1).alias("last"), F.get("c", F.lit(0)).alias("first")).first()
+    assert monotonic() - start < 15
+    words = ["w" + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(1, n + 1)]
+    assert (got.n, got.first, got.last) == (8000, " ".join(words[:15]), " ".join(words[-15:]))
