@@ -4,7 +4,7 @@ from time import monotonic
 
 from pyspark.sql import functions as F
 
-from gradeworks.functions import text
+from gradeworks.functions import scalars, text
 
 
 def test_different_bigrams_of_a_long_text_are_hashed(spark):
@@ -28,3 +28,9 @@ def test_words_of_a_long_text_are_made_once_for_all_its_chunks(spark):
     assert monotonic() - start < 15
     words = ["w" + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(1, n + 1)]
     assert (got.n, got.first, got.last) == (8000, " ".join(words[:15]), " ".join(words[-15:]))
+
+
+def test_logits_and_sorted_words_are_made_once(spark):
+    logits = F.array(F.length(F.upper("t")) / 1.0, F.lit(1.0))
+    plan = spark.createDataFrame([("a",)], "t string").select(scalars.softmax_terms(logits).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
