@@ -34,3 +34,5 @@ def test_logits_and_sorted_words_are_made_once(spark):
     logits = F.array(F.length(F.upper("t")) / 1.0, F.lit(1.0))
     plan = spark.createDataFrame([("a",)], "t string").select(scalars.softmax_terms(logits).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(") == 1
+    ranked = spark.createDataFrame([(["a"],)], "t array<string>").select(text.mattr(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked.count("sort_array(") == 1 and "array_sort(" not in ranked  # the one takes a comparison by an expression for each two words
