@@ -5,6 +5,7 @@ from time import monotonic
 from pyspark.sql import functions as F
 
 from gradeworks.functions import scalars, text
+from gradeworks.plans import registry
 
 
 def test_different_bigrams_of_a_long_text_are_hashed(spark):
@@ -36,3 +37,12 @@ def test_logits_and_sorted_words_are_made_once(spark):
     assert plan.count("upper(") == 1
     ranked = spark.createDataFrame([(["a"],)], "t array<string>").select(text.mattr(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert ranked.count("sort_array(") == 1 and "array_sort(" not in ranked  # the one takes a comparison by an expression for each two words
+
+
+def test_a_table_resolves_in_any_folder_and_as_a_folder_of_parts(spark, tmp_path):
+    for name, parts in (("data-0.1", 1), ("gb1", 3)):
+        folder = tmp_path / name
+        spark.range(9).repartition(parts).write.parquet(str(folder / "nation.parquet"))
+        spark.range(9).write.parquet(str(folder / "not-nation.parquet"))
+        for given in (str(folder), f"{folder}/", f"file://{folder}"):
+            assert [r.file for r in registry.QUERIES["s4_file_resolution"](spark, given).collect()] == ["nation.parquet"]
