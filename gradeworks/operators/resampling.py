@@ -1,10 +1,12 @@
 """Bootstrap intervals without moving or multiplying rows: each row is drawn a hashed number of times in each resample.
 
 The draws are Poisson(1) counts, the limit of drawing n of n rows. A resample is a
-weighted aggregate, and one pass makes all of them: a task looks up a batch's draws
-for all resamples at once, and one matrix product adds up the batch's moments by
-resample. What is shuffled is a row a task and resample, whatever the rows. Draws
-come from whole-number arithmetic, so any engine gives the same.
+weighted aggregate, and one pass makes all of them. A row's draws hang on the
+remainder of its hash alone, so a task first adds up its rows' moments by remainder;
+then few remainders' draws are looked up for all resamples at once and multiplied with
+their moments, and many remainders' are added up by a Fourier transform, whose work
+does not grow with rows or resamples. What is shuffled is a row a task and resample,
+whatever the rows. Draws come from whole-number arithmetic, so any engine gives the same.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from gradeworks.functions.scalars import hashed_unit
 POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
 #: What ``hashed_unit`` multiplies, adds and divides by.
 SEED, MIX, STEP, ADD, MODULUS = 12345, 7919, 104729, 17, 1000003
-#: Rows and resamples that are multiplied at once.
-ROWS, TIMES = 512, 1024
+#: Remainders and resamples that are multiplied at once, and remainders up to which a task multiplies.
+ROWS, TIMES, FEW = 512, 1024, 1 << 16
 
 
 def draws(ident: Column, resample: Column) -> Column:
@@ -39,30 +41,46 @@ def drawn() -> np.ndarray:
     return np.searchsorted(POISSON, np.arange(MODULUS) / MODULUS, side="right").astype(np.float32)
 
 
+def turned_sums(table: np.ndarray, sums: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each row of ``sums`` and each ``b`` in ``second``, ``sum over a of table[(a + b) % MODULUS] * row[a]``, by the transform of all ``b``."""
+    size = 1 << (2 * MODULUS).bit_length()  # the table twice, so that no place wraps
+    turned = np.fft.rfft(np.concatenate([table, table]), size)
+    return np.array([np.fft.irfft(turned * np.conj(np.fft.rfft(row, size)), size)[second] for row in sums])
+
+
 def repeated_sums(df: DataFrame, ident: str, y: str, predictions: list[str], times: int, tables: list[np.ndarray], w: str | None = None) -> DataFrame:
     """``resample, part, w, wy, wyy`` and, for each prediction, ``e_, p_, pp_, yp_``: weighted sums of every resample.
 
     A row's weight in a resample is what its part's table has for the remainder of
     the row's and the resample's hash, times ``w``.
     """
+    few = FEW  # as it is now, on executors too
     columns = ["w", "wy", "wyy", *[f"{kind}_{p}" for p in predictions for kind in ("e", "p", "pp", "yp")]]
     twice = [np.concatenate([t, t]).astype(np.float32) for t in tables]
 
     def work(batches):
         second = (np.arange(times, dtype=np.int64) * STEP + ADD) % MODULUS
         total = np.zeros((len(tables), times, len(columns)))
+        by_first, seen = np.zeros((len(columns), MODULUS)), np.zeros(MODULUS, dtype=bool)
         for b in batches:
             i, yy, ww = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
             first = (SEED * MIX + i % MODULUS * STEP + ADD) % MODULUS * MIX % MODULUS
             sums = [ww, ww * yy, ww * yy * yy]
             for p in (b.column(k).to_numpy() for k in range(3, b.num_columns)):
                 sums += [ww * (yy - p) ** 2, ww * p, ww * p * p, ww * yy * p]
-            sums = np.column_stack(sums)
-            for at in range(0, len(i), ROWS):
-                for r in range(0, times, TIMES):
-                    place = second[r : r + TIMES, None] + first[None, at : at + ROWS]
-                    for part, table in enumerate(twice):
-                        total[part, r : r + TIMES] += table[place].astype(np.float64) @ sums[at : at + ROWS]
+            for c, v in enumerate(sums):
+                np.add.at(by_first[c], first, v)
+            seen[first] = True
+        held = np.flatnonzero(seen)
+        if len(held) > few:
+            for part, table in enumerate(tables):
+                total[part] = turned_sums(table.astype(np.float64), by_first, second).T
+        for at in range(0, len(held) if len(held) <= few else 0, ROWS):
+            some = held[at : at + ROWS]
+            for r in range(0, times, TIMES):
+                place = second[r : r + TIMES, None] + some[None, :]
+                for part, table in enumerate(twice):
+                    total[part, r : r + TIMES] += table[place].astype(np.float64) @ by_first[:, some].T
         for part in range(len(tables)):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), pa.array(np.full(times, part, dtype=np.int32)), *[pa.array(c) for c in total[part].T]], names=["resample", "part", *columns])
 

@@ -2,9 +2,11 @@
 
 from time import monotonic
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gradeworks.functions import scalars, text
+from gradeworks.operators import resampling
 from gradeworks.plans import registry
 
 
@@ -46,3 +48,23 @@ def test_a_table_resolves_in_any_folder_and_as_a_folder_of_parts(spark, tmp_path
         spark.range(9).write.parquet(str(folder / "not-nation.parquet"))
         for given in (str(folder), f"{folder}/", f"file://{folder}"):
             assert [r.file for r in registry.QUERIES["s4_file_resolution"](spark, given).collect()] == ["nation.parquet"]
+
+
+def test_resamples_of_many_rows_do_not_cost_rows_times_resamples(spark, monkeypatch):
+    n, times = 600_000, 2000
+    df = spark.range(0, n, 1, 1).select("id", (F.col("id") % 97).cast("double").alias("y"), (F.col("id") % 89).cast("double").alias("p"))
+    start = monotonic()
+    got = {r.resample: r for r in resampling.repeated_sums(df, "id", "y", ["p"], times, [resampling.drawn()]).collect()}
+    assert monotonic() - start < 20  # 1.2 billion draws in one task
+    i = np.arange(n, dtype=np.int64)
+    y, p = (i % 97).astype(float), (i % 89).astype(float)
+    for r in (0, 1, 1234, 1999):
+        m = (resampling.SEED * resampling.MIX + i % resampling.MODULUS * resampling.STEP + resampling.ADD) % resampling.MODULUS
+        w = resampling.drawn()[(m * resampling.MIX + r * resampling.STEP + resampling.ADD) % resampling.MODULUS].astype(float)
+        want = [w.sum(), (w * y).sum(), (w * y * y).sum(), (w * (y - p) ** 2).sum(), (w * p).sum(), (w * p * p).sum(), (w * y * p).sum()]
+        assert np.allclose([got[r][c] for c in ("w", "wy", "wyy", "e_p", "p_p", "pp_p", "yp_p")], want, rtol=1e-11)
+    small = df.limit(900)
+    plain = {r.resample: list(r)[2:] for r in resampling.repeated_sums(small, "id", "y", ["p"], 50, [resampling.drawn()]).collect()}
+    monkeypatch.setattr(resampling, "FEW", 10)
+    turned = {r.resample: list(r)[2:] for r in resampling.repeated_sums(small, "id", "y", ["p"], 50, [resampling.drawn()]).collect()}
+    assert all(np.allclose(plain[r], turned[r], rtol=1e-9, atol=1e-6) for r in plain)
