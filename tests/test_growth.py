@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gradeworks.functions import scalars, text
-from gradeworks.operators import resampling
+from gradeworks.operators import features, resampling
 from gradeworks.plans import registry
 
 
@@ -68,3 +68,24 @@ def test_resamples_of_many_rows_do_not_cost_rows_times_resamples(spark, monkeypa
     monkeypatch.setattr(resampling, "FEW", 10)
     turned = {r.resample: list(r)[2:] for r in resampling.repeated_sums(small, "id", "y", ["p"], 50, [resampling.drawn()]).collect()}
     assert all(np.allclose(plain[r], turned[r], rtol=1e-9, atol=1e-6) for r in plain)
+
+
+def test_tfidf_of_odd_rows_shuffles_no_row_of_a_document_and_term(spark, monkeypatch):
+    monkeypatch.setattr(features, "BLOCK_CHARS", 30)
+    given = [(1, "Aa bb aa cc"), (2, None), (3, ""), (4, "bb aa dd"), (4, "dd Aa"), (None, "cc aa bb"), (5, "x yy")]
+    df = spark.createDataFrame(given, "id long, text string").repartition(3)
+    out = features.tfidf(df, "id", "text", features.word_terms)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate [id" not in plan
+    tf = {}
+    for i, t in given:
+        w = [x for x in (t or "").lower().split() if len(x) > 1]
+        for x in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]:
+            tf[i, x] = tf.get((i, x), 0) + 1
+    df_ = {x: sum(1 for _, y in tf if y == x) for _, x in tf}
+    raw = {(i, x): (1 + np.log(c)) * (np.log((1 + len(given)) / (1 + df_[x])) + 1) for (i, x), c in tf.items() if df_[x] >= 2}
+    length = {i: np.sqrt(sum(v * v for (j, _), v in raw.items() if i == j)) for i, _ in raw}
+    got = {(r.id, r.term): r.weight for r in out.collect()}
+    assert got.keys() == raw.keys() and all(abs(got[k] - raw[k] / length[k[0]]) < 1e-12 for k in raw)
+    runs = features.tfidf(df, "id", "text", features.character_terms, 1, 3).select("term").distinct().collect()
+    assert len(runs) == 3
