@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written and read again as the next one's input.
 
 1. language_id: documents whose language is rejected go.
-2. near_dedup: of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays.
+2. near_dedup: of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays. They are met by
+   SimHash fingerprints and vantage-point trees (operator 6) and, further apart, by bands of MinHashes.
 3. decontamination: documents that hold a benchmark item go.
 4. mixing: each document comes as often as the mix to target weights takes it.
 5. sharding: each document gets its virtual slot and shard.

@@ -16,7 +16,8 @@ replication at depth d is near 1.68 ** d, and a fingerprint meets about
 n ** 0.75 others. That is the price of the method; the depth only grows with the
 number of distinct fingerprints, to keep a shard in memory.
 
-Near copies by a word-shingle similarity (``similar_groups``) lie further apart: at
+Near copies by a word-shingle similarity (``similar_groups``) are first met the same way,
+as pairs that the trees link, and the exact similarity decides. Others lie further apart: at
 a Jaccard similarity of 0.8 of five-word shingles, fingerprints differ in 10 +- 3
 bits, a bound at which the triangle inequality prunes nothing (13 bits either way
 of 32 +- 4). Those candidates come from 36 bands of seven MinHashes instead, which
@@ -25,7 +26,8 @@ those whose fingerprints are within ``REACH`` bits, whose sizes allow the
 similarity, and whose MinHashes differ in the lowest bit no oftener than
 ``UNLIKE`` times (at 0.8 that is 25 +- 5 of 252); the exact similarity of the
 whole texts decides. How a bucket is searched without comparing all its
-pairs is told in ``common.same_group``.
+pairs is told in ``common.same_group``. What is left of a large bucket is compared
+slice by slice, and a task returns a spanning forest of its links.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like
 any other (by similarity they are one group, the empty set); very long texts are
@@ -59,6 +61,8 @@ BLOCK = 1 << 16
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, bands and MinHashes of a band, bits that fingerprints may differ in, and lowest bits of MinHashes.
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS, REACH, UNLIKE = 5, 0.8, 36, 7, 20, 42
 MINHASH_BLOCK = 1 << 10
+#: Shingles and rows of a slice of a large bucket, about: a task holds two slices.
+SLICE_PARTS, SLICE_ROWS = 1 << 21, 2048
 _RNG = np.random.default_rng(20)
 #: Odd factors and offsets of the MinHashes.
 FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -267,24 +271,23 @@ def sketched(text: str | None) -> tuple[int, int, int, np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, node, fp, size, bands, low0...low3`` of every document."""
+    """``doc_id, th, node, mark, fp, size, bands, low0...low3`` of every document; mark is the fingerprint that ``grouped`` goes by."""
     lows = [f"low{k}" for k in range(4)]
 
     def work(batches):
         for b in batches:
             node, fp, size, bands, low = zip(*(sketched(t.as_py()) for t in b.column(2)), strict=True) if b.num_rows else [()] * 5
             low = np.array(low, dtype=np.int64).reshape(-1, 4)
-            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (node, fp)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(low[:, k]) for k in range(4)]], names=["doc_id", "th", "node", "fp", "size", "bands", *lows])
+            marks = [fingerprint(t.as_py()) for t in b.column(2)]
+            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (node, marks, fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(low[:, k]) for k in range(4)]], names=["doc_id", "th", "node", "mark", "fp", "size", "bands", *lows])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, node long, fp long, size long, bands array<long>, {', '.join(f'{c} long' for c in lows)}")
+    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, node long, mark long, fp long, size long, bands array<long>, {', '.join(f'{c} long' for c in lows)}")
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Those pairs ``u, v`` of nodes whose texts are similar."""
-    pairs = written(pairs.distinct(), "near-pairs")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+def parts_of(ends: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, parts``: the sorted 64-bit hashes of the distinct shingles of each ``node``; a text is cut once, however many pairs it is in."""
     # any text of a node will do: its words are the node's
     one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
     texts = docs.select(F.xxhash64("text").alias("th"), "text").join(one, "th").groupBy("node").agg(F.first("text").alias("text"))
@@ -294,8 +297,13 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: flo
             parts = [np.array(sorted(xxhash.xxh64_intdigest(p) for p in shingles(t.as_py())), dtype=np.uint64).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int64()))], names=["node", "parts"])
 
-    # a text is cut into shingles once, however many pairs it is in
-    texts = written(texts.mapInArrow(hashed, "node long, parts array<long>"), "near-texts")
+    return written(texts.mapInArrow(hashed, "node long, parts array<long>"), "near-texts")
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Those pairs ``u, v`` of nodes whose texts are similar."""
+    pairs = written(pairs.distinct(), "near-pairs")
+    texts = parts_of(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), rows, docs)
     both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
 
     def work(batches):
@@ -309,20 +317,79 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: flo
     return out
 
 
+def may_be_similar(x: dict, y: dict, least: float) -> np.ndarray:
+    """Whether size, fingerprint and lowest bits of MinHashes allow the similarity: one row's against arrays of others'."""
+    size = np.minimum(x["size"], y["size"]) >= np.maximum(x["size"], y["size"]) * least - 1e-9
+    unlike = sum(np.bitwise_count(x[f"low{k}"] ^ y[f"low{k}"]).astype(np.int64) for k in range(4))
+    return size & (np.bitwise_count(x["fp"] ^ y["fp"]) <= REACH) & (unlike <= UNLIKE)
+
+
+def linked_slices(part: pd.DataFrame, bucket: int, i: int, j: int, least: float) -> pd.DataFrame:
+    """A spanning forest ``u, v`` of the similar pairs of slices ``i`` and ``j`` of a bucket that are not of one group yet.
+
+    A pair that shares several buckets is looked at in the first of its bands alone.
+    """
+    part = part.sort_values("node")
+    node, g, apart, own = (part[c].to_numpy() for c in ("node", "g", "apart", "slice"))
+    told = {c: part[c].to_numpy().astype(np.int64).view(np.uint64) if c != "size" else part[c].to_numpy() for c in ("fp", "size", *[f"low{k}" for k in range(4)])}
+    bands, parts = np.array(part["bands"].tolist(), dtype=np.int64), part["parts"].tolist()
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (higher := up.get(x, x)) != x:
+            up[x] = up.get(higher, higher)
+            x = higher
+        return x
+
+    out = []
+    for a in range(len(node) - 1):
+        rest = slice(a + 1, None)
+        ask = (g[rest] != g[a]) & (apart[rest] | apart[a]) & may_be_similar({c: v[a] for c, v in told.items()}, {c: v[rest] for c, v in told.items()}, least)
+        at = np.flatnonzero(ask & (own[rest] != own[a]) if i != j else ask) + a + 1
+        at = at[bands[a][(bands[at] == bands[a]).argmax(1)] == bucket]
+        for b in at:
+            x, y = root(g[a]), root(g[b])
+            if x != y and similar_parts(parts[a], parts[b], least):
+                up[x] = y
+                out.append((node[a], node[b]))
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def wide_links(told: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links of large buckets: slices of bounded size meet two by two, and a task returns a forest, not pairs."""
+    told = written(told, "near-wide-members")
+    texts = parts_of(told.select("node").distinct(), rows, docs)
+    many = F.ceil(F.greatest(F.sum("size") / SLICE_PARTS, F.count("*") / SLICE_ROWS)).cast("int")
+    cut = told.join(told.groupBy("bucket").agg(many.alias("many")), "bucket").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
+    sent = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")})
+    sent = sent.drop("many", "other").join(texts, "node").join(nodes.select("node", "bands"), "node")
+    return sent.groupBy("bucket", "i", "j").applyInPandas(lambda key, part: linked_slices(part, *key, least), "u long, v long")
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of nodes that the vantage-point trees link by their fingerprints ``mark``: one node stands for those of a fingerprint, and is paired with them."""
+    first = written(nodes.groupBy("mark").agg(F.min("node").alias("node")), "near-marks")
+    links = linked(first.select(F.col("mark").alias("fp")))
+    between = links.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
+    within = nodes.select("mark", F.col("node").alias("b")).join(first.toDF("mark", "a"), "mark").where("a <> b").select("a", "b")
+    return between.union(within).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, th, node, component`` of every document: groups of texts whose shingles are similar."""
+    """``doc_id, th, node, component`` of every document: groups of texts whose shingles are similar, of pairs that fingerprints or MinHashes bring together."""
     rows = written(sketches(docs), "near-sketches")
     # equal texts are one node before anything is compared
     lows = [f"low{k}" for k in range(4)]
-    nodes = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands", *lows)]), "near-nodes")
+    nodes = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("mark", "fp", "size", "bands", *lows)]), "near-nodes")
     stood = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = stood.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
-    members = stood.join(shared, "bucket").join(nodes.drop("bands"), "node").select("bucket", "node", "fp", "size", *lows)
+    members = stood.join(shared, "bucket").join(nodes.drop("bands", "mark"), "node").select("bucket", "node", "fp", "size", *lows)
 
     def near(a, b):
         return (F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * least - 1e-9) & (hamming(a["fp"], b["fp"]) <= REACH) & (sum((hamming(a[c], b[c]) for c in lows), F.lit(0)) <= UNLIKE)
 
-    labels = same_group(members, near, lambda pairs: similar_pairs(pairs, rows, docs, least), "near")
+    verify = lambda pairs: similar_pairs(pairs, rows, docs, least)
+    labels = same_group(members, near, verify, "near", fingerprint_pairs(nodes), wide=lambda told: wide_links(told, nodes, rows, docs, least))
     return rows.join(labels, rows.node == labels.id, "left").select("doc_id", "th", "node", F.coalesce("component", "node").alias("component"))
 
 

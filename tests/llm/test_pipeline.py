@@ -85,3 +85,40 @@ def test_near_dedup_keeps_one_of_each_group_of_similar_texts(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
     narrow = sum((simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1])).bit_count() <= 4 for a, b in zip(rows[0:160:4], rows[1:160:4], strict=True))
     assert narrow < 20
+
+
+def test_near_dedup_meets_by_fingerprints_and_compares_large_buckets_slice_by_slice(spark, monkeypatch):
+    from gradeworks.llm import common
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(70):  # each a few words from one before it: most pairs are below the similarity, chains hold the group together
+        w = texts[rng.randrange(len(texts))].split()
+        for _ in range(4):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(5000)}"
+        texts.append(" ".join(w))
+    sets = [simhash.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    monkeypatch.setattr(common, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(simhash, "SLICE_ROWS", 7)
+    met = []
+    one = simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda told, *how: (met.append(told.count()), one(told, *how))[1])
+    got = collections.defaultdict(set)
+    for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.component].add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, r in enumerate(root) if r == g) for g in set(root))
+    assert met[0] > 0
+    # without any band, the vantage-point trees still bring copies together
+    monkeypatch.setattr(simhash, "same_group", lambda members, near, verify, label, pairs, **how: common.same_group(members.where("false"), near, verify, label, pairs))
+    long = " ".join(f"v{i}" for i in range(3000))
+    rows = [(0, "a b"), (1, "A\tb"), (2, long), (3, f"{long} z y x")]
+    assert 0 < (simhash.fingerprint(long) ^ simhash.fingerprint(f"{long} z y x")).bit_count() <= simhash.BITS
+    groups = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert groups[0] == groups[1] != groups[2] == groups[3]
