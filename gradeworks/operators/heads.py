@@ -8,12 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The penalties of ridge, and the fewer ones of ridge on kernel features.
 ALPHAS = tuple(float(a) for a in np.logspace(-1, 5, 25))
 KERNEL_ALPHAS = tuple(float(a) for a in np.logspace(0, 5, 11))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix; numbers that are null become NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
 def grams(df: DataFrame, x: str, y: str, key: str, w: str | None = None) -> dict[int, np.ndarray]:
     """Weighted sums of products of ``[1, x..., y]`` for each value of ``key``.
 
@@ -28,7 +34,7 @@ def grams(df: DataFrame, x: str, y: str, key: str, w: str | None = None) -> dict
             if not b.num_rows:
                 continue
             k, yy, ww = (b.column(i).to_numpy() for i in (0, 2, 3))
-            xx = np.array(b.column(1).to_pylist(), dtype=np.float64)
+            xx = matrix(b.column(1))
             z = np.column_stack([np.ones(len(xx)), xx, yy])
             for v in np.unique(k):
                 m = k == v
@@ -171,11 +177,14 @@ def repeated_cv(
         for b in batches:
             if not b.num_rows:
                 continue
-            values = np.array(b.column(2).to_pylist(), dtype=np.float64)
-            every = values @ lines[:, :-1].T + lines[:, -1]
-            own = [np.array([at.get(f, -1) for f in b.column(3 + s).to_pylist()]) for s, at in enumerate(place)]
+            every = matrix(b.column(2)) @ lines[:, :-1].T + lines[:, -1]
+            own = []
+            for s, at in enumerate(place):
+                folds_, back = np.unique(b.column(3 + s).to_numpy(zero_copy_only=False), return_inverse=True)
+                own.append(np.array([at.get(f, -1) for f in folds_.tolist()])[back])
             seeds = np.column_stack([np.where(o >= 0, every[np.arange(len(o)), o], np.nan) for o in own])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(seeds), pa.list_(pa.float64())), pa.array(every.mean(1))], names=["id", "y", "per_seed", "all"])
+            listed = pa.ListArray.from_arrays(np.arange(0, seeds.size + 1, seeds.shape[1], dtype=np.int32), pa.array(seeds.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), listed, pa.array(every.mean(1))], names=["id", "y", "per_seed", "all"])
 
     def predicted(rows: DataFrame, key: str) -> DataFrame:
         got = rows.select(F.col(key).alias("id"), F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x"), *[F.col(f).cast("int").alias(f"f{s}") for s, f in enumerate(folds)])
@@ -232,13 +241,21 @@ def fourier_features(df: DataFrame, x: str, names: int, features: int = 64, gamm
     rng = np.random.default_rng(seed)
     turn = rng.normal(size=(features, names)) * np.sqrt(2 * gamma) / sd
     phase = rng.uniform(0, 2 * np.pi, features) - turn @ mean
-    value = lambda j: sum((F.get(x, F.lit(i)) * float(turn[j, i]) for i in range(names)), F.lit(float(phase[j])))
-    return df.withColumn(name, F.array(*[F.cos(value(j)) * float(np.sqrt(2 / features)) for j in range(features)]))
+    listed_names, place = [*df.columns, name], df.columns.index(x)
+
+    def work(batches):
+        for b in batches:
+            phi = np.cos(matrix(b.column(place))[:, :names] @ turn.T + phase) * np.sqrt(2 / features) if b.num_rows else np.zeros((0, features))
+            listed = pa.ListArray.from_arrays(np.arange(0, phi.size + 1, features, dtype=np.int32), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, listed], names=listed_names)
+
+    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def kernel_ridge(df: DataFrame, ident: str, x: str, names: int, y: str, fold: str, inner: str, k: int, features: int = 64, gamma: float = 0.1, alphas: tuple[float, ...] = KERNEL_ALPHAS) -> DataFrame:
     """Out-of-fold RBF kernel ridge for any number of rows: ridge on Fourier features, every row fitted and predicted."""
-    return cv_ridge(fourier_features(df, x, names, features, gamma), ident, "phi", y, fold, inner, k, alphas=alphas)[0]
+    rows = df.select(*dict.fromkeys((ident, x, y, fold, inner)))
+    return cv_ridge(fourier_features(rows, x, names, features, gamma), ident, "phi", y, fold, inner, k, alphas=alphas)[0]
 
 
 def boosted_trees(df: DataFrame, features: list[str], y: str, fold: str, k: int, **params) -> DataFrame:

@@ -89,3 +89,26 @@ def test_tfidf_of_odd_rows_shuffles_no_row_of_a_document_and_term(spark, monkeyp
     assert got.keys() == raw.keys() and all(abs(got[k] - raw[k] / length[k[0]]) < 1e-12 for k in raw)
     runs = features.tfidf(df, "id", "text", features.character_terms, 1, 3).select("term").distinct().collect()
     assert len(runs) == 3
+
+
+def test_rows_of_models_are_read_as_arrays_and_not_as_python_lists(spark):
+    from gradeworks.operators import heads
+
+    n = 300_000  # as lists, or by an expression a feature, the rows alone took most of a minute
+    df = spark.range(0, n, 1, 4).select(F.col("id").alias("key"), F.array(*[F.pmod(F.col("id") * p, F.lit(101)).cast("double") for p in (3, 7, 11, 13)]).alias("x"), (F.col("id") % 17).cast("double").alias("y"), (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") % 3).cast("int").alias("inner"))
+    phi = heads.fourier_features(df, "x", 4)
+    assert "cos(" not in phi._jdf.queryExecution().optimizedPlan().toString().lower()
+    start = monotonic()
+    out = heads.kernel_ridge(df, "key", "x", 4, "y", "fold", "inner", 5)
+    assert out.count() == n and monotonic() - start < 40
+    i = np.arange(2000)
+    x = np.column_stack([i * p % 101 for p in (3, 7, 11, 13)]).astype(float)
+    small = df.where("key < 2000")
+    got = heads.grams(small, "x", "y", "fold")
+    for f in range(5):
+        z = np.column_stack([np.ones(len(i)), x, i % 17])[i % 5 == f]
+        assert np.allclose(got[f], z.T @ z)
+    cv = heads.repeated_cv(small.withColumn("other", F.lit(None).cast("int")), "key", "x", "y", ["fold"], "inner", 5)
+    assert cv.rows.where("oof is null or isnan(oof)").count() == 0
+    blank = heads.repeated_cv(small, "key", "x", "y", ["fold"], "inner", 5, test=small.limit(9)).test
+    assert blank.count() == 9
