@@ -124,12 +124,20 @@ def soft_loss(r: np.ndarray, epsilon: float, smooth: float) -> tuple[np.ndarray,
     return np.where(over < smooth, np.maximum(over, 0) ** 2 / (2 * smooth), over - smooth / 2), np.sign(r) * np.clip(over / smooth, 0, 1), between
 
 
-def loss_sums(y: np.ndarray, f: np.ndarray, k: np.ndarray, cost: float, epsilon: float, smooth: float) -> np.ndarray:
-    """A batch's part of a pass: smooth and exact loss, and sums of the dual variables above and below zero."""
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that differ from the row before, and each row's place among them: sorted, equal rows have their kernel values made once."""
+    new = np.append(True, (x[1:] != x[:-1]).any(1))
+    return x[new], np.cumsum(new) - 1
+
+
+def loss_sums(y: np.ndarray, f: np.ndarray, k: np.ndarray, cost: float, epsilon: float, smooth: float, at: np.ndarray | None = None) -> np.ndarray:
+    """A batch's part of a pass: smooth and exact loss, and sums of the dual variables above and below zero. ``at`` is each row's place in ``k`` where rows share kernel values."""
     r = y - f
     soft, rate, _ = soft_loss(r, epsilon, smooth)
     up, down = cost * np.maximum(rate, 0), cost * np.minimum(rate, 0)
     head = [cost * soft.sum(), cost * np.maximum(np.abs(r) - epsilon, 0).sum(), up.sum(), up @ y, down.sum(), down @ y]
+    if at is not None:
+        up, down = (np.bincount(at, v, len(k)) for v in (up, down))
     return np.concatenate([head, up @ k, down @ k])
 
 
@@ -216,7 +224,8 @@ def support_vectors(
     rows = written(df.select(F.col(ident).alias("id"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), F.col(inner).cast("int").alias("inner")), "kernel-rows")
     # passes are many and heavy for the bytes they read: enough tasks for all cores, of a bounded number of rows
     tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
-    rows = written(rows.repartition(tasks, "id"), "kernel-rows")
+    # equal rows stand together, and a row that is very frequent may be in several tasks
+    rows = written(rows.repartitionByRange(tasks, "x", "id").sortWithinPartitions("x"), "kernel-rows")
     by_cell = grams(rows.withColumn("cell", F.col("fold") * inner_k + F.col("inner")), "x", "y", "cell")
     if not by_cell:
         return df.sparkSession.createDataFrame([], f"{ident} {dict(df.dtypes)[ident]}, fold int, y double, pred double"), []
@@ -242,12 +251,16 @@ def support_vectors(
     def first(batches):
         total = {s: np.zeros((size + 2) ** 2) for s in range(len(sets))}
         for b in filled(batches):
-            xx, yy = matrix(b.column(0)), b.column(1).to_numpy()
+            (xx, at), yy = runs(matrix(b.column(0))), b.column(1).to_numpy()
             for s, kn in enumerate(kernels):
                 own = training(b, s)
-                v = np.zeros((len(own), size + 2))
-                v[:, : len(kn.points)], v[:, -2], v[:, -1] = kn.values(xx[own]), 1, yy[own]
-                total[s] += (v.T @ v).ravel()
+                many, sums = np.bincount(at[own], minlength=len(xx)), np.bincount(at[own], yy[own], len(xx))
+                v = np.zeros((len(xx), size + 2))
+                v[:, : len(kn.points)], v[:, -2] = kn.values(xx), 1
+                products = v.T @ (many[:, None] * v)
+                products[-1] = products[:, -1] = sums @ v
+                products[-1, -1] = yy[own] @ yy[own]
+                total[s] += products.ravel()
         return total
 
     start = array_sums(plain, first, (size + 2) ** 2)
@@ -274,13 +287,13 @@ def support_vectors(
         def one_pass(batches, live=live):
             total = {m[0]: np.zeros(HEAD + 2 * size) for m in live}
             for b in filled(batches):
-                xx, yy = matrix(b.column(0)), b.column(1).to_numpy()
+                (xx, at), yy = runs(matrix(b.column(0))), b.column(1).to_numpy()
                 for s in sorted({m[1] for m in live}):
                     own = training(b, s)
-                    kk = kernels[s].values(xx[own])
+                    kk, place, truth = kernels[s].values(xx), at[own], yy[own]
                     for j, of_, beta, b0, cost, epsilon, smooth in live:
                         if of_ == s:
-                            got, p = loss_sums(yy[own], kk @ beta + b0, kk, cost, epsilon, smooth), kk.shape[1]
+                            got, p = loss_sums(truth, (kk @ beta + b0)[place], kk, cost, epsilon, smooth, place), kk.shape[1]
                             total[j][: HEAD + p] += got[: HEAD + p]
                             total[j][HEAD + size : HEAD + size + p] += got[HEAD + p :]
             return total
@@ -296,14 +309,14 @@ def support_vectors(
     def held_errors(batches):
         total = {j: np.zeros(2) for j, s, _, _ in ready if sets[s][1] is not None}
         for b in filled(batches):
-            xx, yy, ff, ii = matrix(b.column(0)), *(b.column(c).to_numpy() for c in (1, 2, 3))
+            (xx, at), yy, ff, ii = runs(matrix(b.column(0))), *(b.column(c).to_numpy() for c in (1, 2, 3))
             for s, (f, i) in enumerate(sets):
                 own = np.flatnonzero((ff != f) & (ii == i)) if i is not None else []
                 if len(own):
-                    kk = kernels[s].values(xx[own])
+                    kk = kernels[s].values(xx)
                     for j, of_, beta, b0 in ready:
                         if of_ == s:
-                            total[j] += [((yy[own] - kk @ beta - b0) ** 2).sum(), len(own)]
+                            total[j] += [((yy[own] - (kk @ beta + b0)[at[own]]) ** 2).sum(), len(own)]
         return total
 
     held = array_sums(plain, held_errors, 2) if inner_k > 1 else {}

@@ -92,3 +92,22 @@ def test_empty_and_constant(spark):
     rows = spark.createDataFrame([(i, [1.0, 2.0], 4.0, i % 2, i % 3) for i in range(12)], SCHEMA)
     out, _ = kernels.support_vectors(rows, "id", "x", "y", "fold", "inner", 2, costs=(1.0,), epsilons=(0.05,))
     assert out.where(F.abs(F.col("pred") - 4) > 0.06).count() == 0 and out.count() == 12
+
+
+def test_equal_rows_share_their_kernel_values(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    y, f, at = rng.normal(size=400), rng.normal(size=7), np.sort(rng.integers(0, 7, 400))
+    k = rng.normal(size=(7, 5))
+    assert np.allclose(kernels.loss_sums(y, f[at], k[at], 2.0, 0.1, 0.05), kernels.loss_sums(y, f[at], k, 2.0, 0.1, 0.05, at))
+    x, place = kernels.runs(np.array([[1.0, 2.0], [1.0, 2.0], [1.0, 3.0], [1.0, 2.0]]))
+    assert x.tolist() == [[1, 2], [1, 3], [1, 2]] and place.tolist() == [0, 0, 1, 2]
+    stood = []  # whole passes: no row is lost where a batch holds rows of many folds
+    one = kernels.array_sums
+    monkeypatch.setattr(kernels, "array_sums", lambda *how: stood.append(one(*how)) or stood[-1])
+    df = spark.range(6000).select("id", F.array((F.col("id") % 11).cast("double"), (F.col("id") % 3).cast("double")).alias("x"), F.sin(F.col("id") % 11).alias("y"), (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") % 2).cast("int").alias("inner"))
+    out, models = kernels.support_vectors(df, "id", "x", "y", "fold", "inner", 5, 2, landmarks=32, costs=(1.0,), epsilons=(0.05,))
+    assert out.where("abs(pred - y) < 0.2").count() == 6000 and all(m.done for m in models)
+    first = stood[0][2].reshape(34, 34)  # fold 0, all inner parts
+    assert first[-2, -2] == 4800
+    rows = np.array([np.sin(i % 11) for i in range(6000) if i % 5 != 0])
+    assert np.allclose([first[-2, -1], first[-1, -1]], [rows.sum(), rows @ rows])
