@@ -1,6 +1,7 @@
 """Golden values, invariants and edge cases of the core operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,32 @@ def test_metric_index_skips_blocks_and_loses_nothing(spark, monkeypatch, spread)
         assert met[0] < 0.4 * blocks * (blocks + 1) / 2 and met[1] + met[2] < 0.5 * blocks**2
 
 
+def test_rows_go_to_neighbourhoods_and_forests_connect_what_all_pairs_connect(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 6))
+    df = spark.createDataFrame([((1 << 60) + i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    rows = metric.plain(df, "id", "v")
+    index = metric.indexed(rows, metric.chosen_pivots(rows), 10)
+    sent = lambda: metric.multiplied(index, index, metric.block_pairs(index, index), lambda a, b, i, j: pd.DataFrame({"n": [len(a) * len(b)]}), "n long", lambda t: pd.DataFrame({"n": [t["n"].sum()]}))
+    assert index.blocks.count() >= 40
+    got = sent().toPandas()["n"]
+    assert got.sum() == 400 * 400 and len(got) <= 100  # not one task's group for each of 1,600 pairs of blocks
+    every = {(r.a, r.b) for r in relations.similar_pairs(df, "id", "v", 7.0, block_rows=10).collect()}
+    some = {(r.a, r.b) for r in relations.spanning(df, "id", "v", 7.0, block_rows=10).collect()}
+    assert len(some) < len(every)
+
+    def groups(pairs):
+        root = {}
+        for a, b in pairs:
+            a, b = root.get(a, {a}), root.get(b, {b})
+            if a is not b:
+                a |= b
+            root |= dict.fromkeys(a, a)
+        return {frozenset(g) for g in root.values()}
+
+    assert groups(some) == groups(every)
+
+
 def test_average_linkage_in_rounds_is_that_of_one_matrix(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(20, 6))[np.arange(90) % 20] + 0.4 * rng.normal(size=(90, 6))
