@@ -206,6 +206,39 @@ def test_average_linkage_in_rounds_is_that_of_one_matrix(spark):
     assert linkage.clustered(df.where("id < 0"), "id", "v", [0.5]).count() == 0 and linkage.clustered(df.where("id = 7"), "id", "v", [0.5]).count() == 1
 
 
+def test_average_linkage_takes_few_rounds_for_near_and_equal_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(2, 12))
+    x = np.concatenate([centers[np.arange(120) % 2] + 0.03 * rng.normal(size=(120, 12)), np.repeat(rng.normal(size=(1, 12)), 30, axis=0), rng.normal(size=(30, 12))])
+    df = spark.createDataFrame([(5 * i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    one, labels = linkage.written, []
+    monkeypatch.setattr(linkage, "written", lambda t, label: labels.append(label) or one(t, label))
+    monkeypatch.setattr(linkage, "LEAST_ROWS", 70)  # several blocks
+    monkeypatch.setattr(linkage, "CELLS", 70 * 12)
+    got = linkage.clustered(df, "id", "v", [0.001, 0.3, 0.8]).toPandas().sort_values("id")
+    merges = folds.average_linkage(x)
+    for t in (0.001, 0.3, 0.8):
+        mine, want = got[got["threshold"] == t]["cluster"].to_numpy(), folds.cut(merges, len(x), t)
+        assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+    assert labels.count("nearest") <= 8
+    # groups that are cut give the same tree, in more rounds
+    monkeypatch.setattr(linkage, "MOST_MEMBERS", 12)
+    again = linkage.clustered(df.where("id < 150"), "id", "v", [0.3]).toPandas().sort_values("id")
+    mine, want = again["cluster"].to_numpy(), folds.cut(folds.average_linkage(x[:30]), 30, 0.3)
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+
+
+def test_leakage_counts_the_pairs_that_lie_apart(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 5))
+    df = spark.createDataFrame([(3 * i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    clusters = spark.createDataFrame([(3 * i, t, i % k) for i in range(90) for t, k in ((0.1, 7), (0.2, 2))], "id long, threshold double, cluster long")
+    a, b = np.nonzero(np.triu(x @ x.T > 2.0, 1))
+    want = [(t, len(a), int((a % k != b % k).sum())) for t, k in ((0.1, 7), (0.2, 2))]
+    for block in (None, 16):
+        assert rows(relations.leakage(df, "id", "v", 2.0, clusters, block), "threshold") == want
+
+
 def test_average_linkage_recovers_groups_and_folds_keep_them_whole(spark):
     rng = np.random.default_rng(7)
     centers = rng.normal(size=(12, 64))
