@@ -228,6 +228,14 @@ def test_average_linkage_takes_few_rounds_for_near_and_equal_rows(spark, monkeyp
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+def test_boosted_trees_are_fitted_on_distinct_rows_in_bounded_tasks(spark, monkeypatch):
+    few = spark.range(600).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"), (F.col("id") % 7).cast("double").alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
+    kept = heads.tree_rows(few, ["a", "b"], "y", "fold", {})
+    assert kept.count() == 30 and kept.agg(F.sum("__n"), F.round(F.sum(F.col("__n") * F.col("__y")), 6)).first() == (600.0, float(sum(i % 7 for i in range(600))))
+    monkeypatch.setattr(heads, "TREE_ROWS", 100)
+    assert heads.tree_rows(few, ["a", "b"], "y", "fold", {"subsamplingRate": 0.5}).rdd.getNumPartitions() == 6
+
+
 def test_leakage_counts_the_pairs_that_lie_apart(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 5))
