@@ -178,6 +178,56 @@ def test_lines_blocks_grow_with_nodes():
     assert lines.n_blocks(0, 3) == lines.n_blocks(2_000_000, 3) == 5 < lines.n_blocks(10**9, 3) <= 12
 
 
+def shared_end(rng, n):
+    """Lines that share their second half and a large part of their words: some are similar, most are near but not."""
+    end = prose(rng, 30)
+    return [(2000 + i, f"{prose(rng, rng.randrange(6, 22))} {end}", "en", "s") for i in range(n)]
+
+
+def test_lines_large_buckets_slice_by_slice(spark, monkeypatch):
+    """Slices give the groups of all pairs of a bucket, and no row for a pair that is not similar."""
+    data = shared_end(random.Random(5), 150)
+    groups = []
+    for small, shape in ((10**6, {}), (8, {"SLICE_ROWS": 16}), (8, {"SLICE_CHARS": 500, "MOST_TASKS": 3})):
+        monkeypatch.setattr(common, "SMALL_BUCKET", small)
+        monkeypatch.setattr(lines, "SMALL_BUCKET", small)
+        for k, v in shape.items():
+            monkeypatch.setattr(lines, k, v)
+        seen = []
+        verified = lines.verified
+        monkeypatch.setattr(lines, "verified", lambda pairs, *a: (seen.append(pairs.distinct().count()), verified(pairs, *a))[1])
+        got = lines.grouped(lines.written(lines.lines_of(corpus(spark, data)), "lines"), pieces=True)
+        monkeypatch.setattr(lines, "verified", verified)
+        groups.append(({(r.id, r.component) for r in got.collect()}, sum(seen)))
+    assert groups[0][0] and all(found == groups[0][0] for found, _ in groups)
+    # the pairs that are looked at one by one grow with the lines, not with their square
+    assert groups[0][1] > 1000 > 500 > groups[1][1] == groups[2][1]
+
+
+def test_lines_similar_is_the_edit_distance(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(400):
+        a = [rng.choice(WORDS) + rng.choice(["", "é", "x"]) for _ in range(rng.randrange(1, 30))]
+        b = edited(rng, " ".join(a)) if rng.random() < 0.7 else prose(rng, rng.randrange(1, 30))
+        pairs.append((" ".join(a), edited(rng, b)))
+    rows = spark.createDataFrame(pairs, "x string, y string").withColumn("t", lines.most_edits(F.length("x"), F.length("y"), 0.8))
+    told = [lines.similar(F.split("x", " "), F.split("y", " "), F.col("t"), *how).alias(f"r{k}") for k, how in enumerate(((), ((256,), 2000), ((), 10**9)))]
+    got = rows.select("x", "y", "t", *told).collect()
+    want = [levenshtein(r.x, r.y) <= r.t for r in got]
+    assert [r.r0 for r in got] == [r.r1 for r in got] == [r.r2 for r in got] == want and 100 < sum(want) < 350
+
+
+def test_lines_strangers_in_a_bucket_are_left_out(spark):
+    """A bucket's members that are near none of it are gone before they are joined."""
+    cols = "bucket long, node long, fp long, len long, reach long, n long"
+    rows = [(b, 100 * b + i, (b * 37 + i) << (9 * i), 50, 3, 3) for b in range(20) for i in range(1, 4)] + [(99, 1, 7, 50, 3, 3), (99, 2, 5, 50, 3, 3), (99, 3, -1, 50, 3, 3)]
+    near = lambda a, b: common.hamming(a["fp"], b["fp"]) <= a["reach"]
+    got = {(r.bucket, r.node) for r in lines.with_near(spark.createDataFrame(rows, cols), near).collect()}
+    want = {(b, i) for b, i, fp, *_ in rows if any(b == c and i != j and ((fp ^ other) % 2**64).bit_count() <= 3 for c, j, other, *_ in rows)}
+    assert got == want and (99, 1) in got and (99, 3) not in got and len(got) < len(rows)
+
+
 def test_lines_white_space(spark):
     kinds = [" ", "\t", "\x0b", "\x0c", "\r"]
     rng = random.Random(7)
