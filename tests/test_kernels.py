@@ -111,3 +111,28 @@ def test_equal_rows_share_their_kernel_values(spark, monkeypatch):
     assert first[-2, -2] == 4800
     rows = np.array([np.sin(i % 11) for i in range(6000) if i % 5 != 0])
     assert np.allclose([first[-2, -1], first[-1, -1]], [rows.sum(), rows @ rows])
+
+
+def test_sorted_truths_give_the_sums_of_single_rows_and_models_settle_in_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(9, 2)), 60, axis=0)
+    x = x[np.lexsort(x.T[::-1])]
+    y = 100 + 30 * rng.normal(size=540)
+    at = kernels.runs(x)[1]
+    y, fold, inner = y[np.lexsort((y, at))], rng.integers(0, 3, 540), rng.integers(0, 2, 540)
+    kinds, kind = np.unique(np.column_stack([fold, inner]), axis=0, return_inverse=True)
+    pack = kernels.Pack(kernels.runs(x)[0], at, y, kind.ravel(), kinds)
+    own = pack.own(1, 0)
+    assert (own == (fold != 1) & (inner != 0)).all() and (pack.own(1, 0, True) == (fold != 1) & (inner == 0)).all() and (pack.own(1, None) == (fold != 1)).all()
+    f, k, how = 100 + 20 * rng.normal(size=(9, 3)), rng.normal(size=(9, 4)), (np.array([0.3, 2.0, 10.0]), np.array([0.05, 0.2, 4.0]), np.array([9.0, 0.5, 1e-6]))
+    got = kernels.Sorted(pack).losses(own, f, k, *how)
+    for j in range(3):
+        assert np.allclose(got[j], kernels.loss_sums(y[own], f[at[own], j], k, *(h[j] for h in how), at[own]), rtol=1e-9, atol=1e-6)
+    passes = []
+    one = kernels.array_sums
+    monkeypatch.setattr(kernels, "array_sums", lambda *a: passes.append(1) or one(*a))
+    u = lambda n: F.pmod(F.xxhash64(F.lit(n), "id"), F.lit(1000)) / 1000
+    df = spark.range(0, 60_000, 1, 4).select("id", F.array(F.floor(u(1) * 50).cast("double"), F.floor(u(2) * 9).cast("double")).alias("x"), (u(3) * 100 + F.floor(u(1) * 50)).alias("y"), (F.col("id") % 2).cast("int").alias("fold"), F.lit(0).alias("inner"))
+    out, models = kernels.support_vectors(df, "id", "x", "y", "fold", "inner", 2, 1, landmarks=48, costs=(0.3, 10.0), epsilons=(0.05,))
+    assert all(m.done and m.gap <= 0.01 for m in models) and len(passes) < 20
+    assert out.where("pred is null or isnan(pred)").count() == 0 and out.count() == 60_000
