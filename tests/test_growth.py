@@ -3,6 +3,7 @@
 from time import monotonic
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gradeworks.functions import scalars, text
@@ -112,3 +113,30 @@ def test_rows_of_models_are_read_as_arrays_and_not_as_python_lists(spark):
     assert cv.rows.where("oof is null or isnan(oof)").count() == 0
     blank = heads.repeated_cv(small, "key", "x", "y", ["fold"], "inner", 5, test=small.limit(9)).test
     assert blank.count() == 9
+
+
+def test_runs_of_characters_are_numbered_by_arrays_and_a_digest_makes_no_row_of_a_term(spark, monkeypatch):
+    words = ["a", "ab", "straße", "漢字", "😀x", "hello,", "zz", "a-b-c-d"]
+    for given in (words, []):
+        for low, high in ((2, 5), (4, 6), (1, 3), (3, 3)):
+            names, flat, many = features.runs_of(pa.array(given, pa.string()), low, high)
+            names, at = names.to_pylist(), 0
+            assert len(set(names)) == len(names) and len(many) == len(given)
+            for w, n in zip(given, many, strict=True):
+                p = f" {w} "
+                assert [names[k] for k in flat[at : at + n]] == [p[i : i + k] for k in range(low, high + 1) for i in range(max(len(p) - k + 1, 1))]
+                at += n
+    monkeypatch.setattr(features, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(features, "PLACES", 50)
+    texts = [(1, "Straße a a-b, 漢字\x0bx"), (2, None), (3, "  "), (4, "hello hello, zz"), (4, "zz  ab"), (None, "ab zz a")] + [(i, f"zz w{i % 7} ab") for i in range(5, 60)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    for how in ((features.word_terms, 2), (features.character_terms, 2, 40), (features.character_terms, 2)):
+        long = {r.id: (r.n, r.top, r.total) for r in features.tfidf(df, "id", "text", *how).groupBy("id").agg(F.count("*").alias("n"), F.max("weight").alias("top"), F.sum("weight").alias("total")).collect()}
+        short = {r.id: (r.terms, r.top, r.total) for r in features.tfidf(df, "id", "text", *how, digest=True).collect()}
+        assert long.keys() == short.keys() and all(np.allclose(long[k], short[k], rtol=1e-12) for k in long)
+    text = " ".join(f"{i * 7919 % 1000003:06d}{i:06d}" for i in range(150_000))  # 4.5 million places of runs, nearly all words different
+    block = pa.table({"id": pa.array([1]), "text": pa.array([text])})
+    made = features.character_terms(F.col("text"))
+    start = monotonic()
+    _, names, parts = features.counts(block, made.between, made.least, made.counted)
+    assert sum(len(p[0]) for p in parts) == len(names) and monotonic() - start < 8
