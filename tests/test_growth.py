@@ -140,3 +140,12 @@ def test_runs_of_characters_are_numbered_by_arrays_and_a_digest_makes_no_row_of_
     start = monotonic()
     _, names, parts = features.counts(block, made.between, made.least, made.counted)
     assert sum(len(p[0]) for p in parts) == len(names) and monotonic() - start < 8
+
+
+def test_blocks_of_a_matrix_are_small_and_not_held_in_memory(spark):
+    cells = spark.range(1_200_000).select((F.col("id") % 3000).alias("r"), F.concat(F.lit("t"), F.floor(F.col("id") / 3000).cast("string")).alias("term"), F.lit(1.0).alias("weight"))
+    blocks = features.blocks_of(cells)
+    sizes = [r.n for r in blocks.select(F.size("weight").alias("n")).collect()]
+    assert sum(sizes) == 1_200_000 and len(sizes) == 3 and max(sizes) < 600_000
+    assert blocks.storageLevel.useDisk and not blocks.storageLevel.useMemory
+    blocks.unpersist()
